@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_suffix_array import op1_suffix_array
+from .op2_line_dedup import op2_line_dedup
+from .op3_jaccard_join import op3_jaccard_join
 from .op6_phrase_automata import op6_phrase_automata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_phrase_automata": op6_phrase_automata,
 }
 
