@@ -31,7 +31,7 @@ def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | pad[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.append(True, key[order][1:] != key[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -46,7 +46,7 @@ def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
         at = order[slots]
         nxt = at + h
         key = rank[at] * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         order[slots] = at[o]
         k = key[o]
         new[slots] |= np.append(True, k[1:] != k[:-1])
@@ -62,7 +62,7 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     boundaries whose common prefix is exactly l: those between intervals that were apart one level before.
     """
     bwt = text[order - 1]
-    src = np.argsort(bwt, kind="stable")  # rows by preceding byte, in row order: the backward step's inverse
+    src = np.argsort(bwt, kind="stable").astype(np.int32)  # rows by preceding byte, in row order: the backward step's inverse
     first = bwt[src]
     is_open = np.ones(len(text), bool)
     is_open[0] = False
@@ -70,16 +70,17 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     active = np.flatnonzero(is_open & ~fresh)
     is_open &= ~fresh
     lo, hi = src[active - 1], src[active]
+    before = 0
     for _ in range(1, length):
-        if not len(active):
-            break
-        closed = np.cumsum(~is_open)
-        apart = closed[hi] != closed[lo]
-        if not apart.any():
-            break  # no interval was split: none will be
+        closed = np.cumsum(~is_open, dtype=np.int32)
+        if closed[-1] == before:
+            break  # no interval was split at the last level: none will be
+        before = closed[-1]
+        apart = np.flatnonzero(closed[hi] != closed[lo])
         is_open[active[apart]] = False
-        stay = ~apart
-        active, lo, hi = active[stay], lo[stay], hi[stay]
+        if 8 * len(apart) > len(active):
+            stay = is_open[active]
+            active, lo, hi = active[stay], lo[stay], hi[stay]
     return is_open
 
 

@@ -31,8 +31,8 @@ from .shared import materialise
 SEGMENT = "a long, d long, rk long, pos int, own int, reps int"
 PIECE = "a long, m long, rk long, pos int, own int, seg binary, w1 long, w2 long"
 _POS_BITS = 31
-#: Bytes of segments that a kernel gets at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of segments that a kernel gets at once: its index arrays then fit in a core's cache.
+CHUNK_BYTES = 1 << 17
 
 
 def row_key(id_col: str, text_col: str) -> Column:
