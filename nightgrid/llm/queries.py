@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_suffix_array import op1_suffix_array
+from .op10_quality_rules import op10_quality_rules
 from .op2_line_dedup import op2_line_dedup
 from .op3_jaccard_join import op3_jaccard_join
 from .op6_phrase_automata import op6_phrase_automata
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_phrase_automata": op6_phrase_automata,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL over whole tables. Operators without an entry are tested against brute force in tests/llm.
