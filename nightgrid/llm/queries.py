@@ -10,13 +10,19 @@ from .op1_suffix_array import op1_suffix_array
 from .op10_quality_rules import op10_quality_rules
 from .op2_line_dedup import op2_line_dedup
 from .op3_jaccard_join import op3_jaccard_join
+from .op4_surrogates import op4_surrogates
+from .op5_decontamination import op5_decontamination
 from .op6_phrase_automata import op6_phrase_automata
+from .op8_source_mixing import op8_source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_surrogates": op4_surrogates,
+    "op5_decontamination": op5_decontamination,
     "op6_phrase_automata": op6_phrase_automata,
+    "op8_source_mixing": op8_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
