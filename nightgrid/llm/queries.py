@@ -14,6 +14,7 @@ from .op4_surrogates import op4_surrogates
 from .op5_decontamination import op5_decontamination
 from .op6_phrase_automata import op6_phrase_automata
 from .op8_source_mixing import op8_source_mixing
+from .op9_chat_repair import op9_chat_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_phrase_automata": op6_phrase_automata,
     "op8_source_mixing": op8_source_mixing,
+    "op9_chat_repair": op9_chat_repair,
     "op10_quality_rules": op10_quality_rules,
 }
 
