@@ -13,6 +13,7 @@ from .op3_jaccard_join import op3_jaccard_join
 from .op4_surrogates import op4_surrogates
 from .op5_decontamination import op5_decontamination
 from .op6_phrase_automata import op6_phrase_automata
+from .op7_language_id import op7_language_id
 from .op8_source_mixing import op8_source_mixing
 from .op9_chat_repair import op9_chat_repair
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_decontamination": op5_decontamination,
     "op6_phrase_automata": op6_phrase_automata,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_repair": op9_chat_repair,
     "op10_quality_rules": op10_quality_rules,
