@@ -1,0 +1 @@
+"""Numeric kernels (numpy) and the adapters that run them in Spark."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core  # noqa: F401
+from . import core, statistics  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_subject_report"
