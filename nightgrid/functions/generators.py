@@ -1,0 +1,436 @@
+"""Feature generators: one night's channels in, named tracks out; and the Spark adapter around them.
+
+A recording is bounded by a night, so a (subject) group fits a task; subjects are the unit of parallelism.
+``signal_chunks``: subject_id, channel, chunk_id, fs, units, samples. Output (long): subject_id, algo, signal, idx, t_us, units, v.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nightgrid.operators.binning import binned_on_spine
+
+from . import dsp
+
+Channels = dict[str, tuple[np.ndarray, float]]
+#: signal -> (values, rate in Hz, seconds of the first value, units)
+Tracks = dict[str, tuple[np.ndarray, float, float, str]]
+# Bands of the spindle generator, closed at both ends, in Hz.
+BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 11), "sigma": (11, 16), "beta": (16, 30), "gamma": (30, 100)}
+# Bands of the one-second tracks, half open, in Hz.
+TRACK_BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 12), "sigma": (11, 16), "beta": (16, 30)}
+GENERATORS: dict[str, tuple[tuple[str, ...], Callable[[Channels], Tracks]]] = {}
+TRACK_SCHEMA = "subject_id long, algo string, signal string, idx long, t_us long, units string, v double"
+
+
+def generator(name: str, *channels: str):
+    def add(f):
+        GENERATORS[name] = (channels, f)
+        return f
+
+    return add
+
+
+def trailing_median(x: np.ndarray, n: int) -> np.ndarray:
+    """Median of the last ``n`` values (fewer at the start)."""
+    n = max(1, min(n, len(x)))
+    head = np.array([np.median(x[: i + 1]) for i in range(min(n - 1, len(x)))])
+    step = max(1, (1 << 22) // n)
+    win = np.lib.stride_tricks.sliding_window_view(x, n)
+    return np.concatenate([head, *[np.median(win[i : i + step], axis=1) for i in range(0, len(win), step)]]) if len(x) else x
+
+
+def trailing_mean(x: np.ndarray, n: int) -> np.ndarray:
+    c = np.concatenate([[0.0], np.cumsum(x)])
+    i = np.arange(1, len(x) + 1)
+    lo = np.maximum(0, i - max(1, n))
+    return (c[i] - c[lo]) / (i - lo)
+
+
+def long_runs(mask: np.ndarray, n: int) -> np.ndarray:
+    """Only runs of at least ``n``."""
+    m = np.asarray(mask, bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(int), [0]])))
+    out = np.zeros(len(m), bool)
+    for a, b in zip(edge[::2], edge[1::2]):
+        if b - a >= n:
+            out[a:b] = True
+    return out
+
+
+def _in(f: np.ndarray, band) -> np.ndarray:
+    return (f >= band[0]) & (f <= band[1])
+
+
+@generator("spindle_features", "eeg")
+def spindle_features(ch: Channels) -> Tracks:
+    """G1."""
+    x, fs = ch["eeg"]
+    f, t, m = dsp.magnitude_spectrogram(x, fs, int(2 * fs), 0.9)
+    if not len(t):
+        return {}
+    res = [dsp.aperiodic(f, row) for row in m]
+    resid = np.stack([r[0] for r in res])
+    power = {k: np.median(m[:, _in(f, b)], 1) if _in(f, b).any() else np.full(len(m), np.nan) for k, b in BANDS.items()}
+    over = {k: np.nanmean(resid[:, _in(f, b)], 1) if _in(f, b).any() else np.full(len(m), np.nan) for k, b in BANDS.items()}
+    rate, t0 = 1 / np.median(np.diff(t)) if len(t) > 1 else 1.0, t[0]
+    tracks = {
+        "splindex": power["sigma"] / (power["alpha"] + power["beta"] + 1e-6), "sigma_beta_ratio": power["sigma"] / np.maximum(power["beta"], dsp.TINY),
+        "sigma_beta_residual_diff": over["sigma"] - over["beta"], "aperiodic_exponent": np.array([r[1] for r in res]), "aperiodic_intercept": np.array([r[2] for r in res]),
+        **{f"{k}_power": v for k, v in power.items()}, **{f"{k}_residual_power": v for k, v in over.items()},
+    }
+    return {k: (v, rate, t0, "au") for k, v in tracks.items()}
+
+
+@generator("slow_wave_features", "eeg")
+def slow_wave_features(ch: Channels) -> Tracks:
+    """G2."""
+    x, fs = ch["eeg"]
+    low, high = dsp.envelope(x, fs, 0.3, 1.5), dsp.envelope(x, fs, 30, 100)
+    ratio = low / (high + 1e-6)
+    sec = lambda v: v[: len(v) // int(fs) * int(fs)].reshape(-1, int(fs)).mean(1)
+    raw = sec(low)
+    return {"envelope": (sec(low), 1.0, 0.5, "uV"), "high_envelope": (sec(high), 1.0, 0.5, "uV"), "raw": (raw - trailing_median(raw, 30), 1.0, 0.5, "uV"), "ratio": (sec(ratio), 1.0, 0.5, "au"), "index": (sec(ratio), 1.0, 0.5, "au")}
+
+
+@generator("eeg_arousal_features", "eeg")
+def eeg_arousal_features(ch: Channels) -> Tracks:
+    """G3."""
+    x, fs = ch["eeg"]
+    f, t, m = dsp.magnitude_spectrogram(x, fs, int(fs), 0.5)
+    if len(t) < 2:
+        return {}
+    rate = 1 / np.median(np.diff(t))
+    part = np.mean([m[:, _in(f, b)].mean(1) if _in(f, b).any() else np.zeros(len(m)) for b in (BANDS["theta"], BANDS["alpha"], (16, 100))], 0)
+    s = trailing_mean(part - trailing_median(part, int(10 * rate)), int(3 * rate))
+    return {"signal": (s, rate, t[0], "au"), "mask": (long_runs(s > 0.3, int(3 * rate)).astype(float), rate, t[0], "binary")}
+
+
+def _seconds(x: np.ndarray, fs: float, reduce=np.mean) -> np.ndarray:
+    n = int(fs)
+    return reduce(x[: len(x) // n * n].reshape(-1, n), axis=1)
+
+
+@generator("eye_movement_activity", "eog")
+def eye_movement_activity(ch: Channels) -> Tracks:
+    """G4."""
+    x, fs = ch["eog"]
+    a = _seconds(dsp.envelope(x, fs, 0.5, 8), fs)
+    return {"activity": (trailing_mean(a, 3), 1.0, 0.5, "uV"), "baseline": (trailing_median(a, 60), 1.0, 0.5, "uV")}
+
+
+@generator("emg_tone_features", "emg")
+def emg_tone_features(ch: Channels) -> Tracks:
+    """G5."""
+    x, fs = ch["emg"]
+    tone = _seconds(dsp.envelope(x, fs, 10, 100), fs)
+    base = trailing_median(tone, 60)
+    return {"tone": (tone, 1.0, 0.5, "uV"), "baseline": (base, 1.0, 0.5, "uV"), "suppression_mask": (long_runs(tone < 0.5 * base, 3).astype(float), 1.0, 0.5, "binary")}
+
+
+@generator("eog_rem_features", "eog")
+def eog_rem_features(ch: Channels) -> Tracks:
+    """G6."""
+    x, fs = ch["eog"]
+    f, t, m = dsp.magnitude_spectrogram(x, fs, int(30 * fs), 0.99)
+    if len(t) < 2:
+        return {}
+    rate = 1 / np.median(np.diff(t))
+    out = {}
+    for k, b in (("rem", (1, 5)), ("sem", (0.1, 0.8)), ("noise", (8, 15))):
+        v = m[:, _in(f, b)].mean(1)
+        n = max(1, int(round(30 * rate)))
+        blocks = v[: len(v) // n * n].reshape(-1, n)
+        out[f"{k}_fast"] = (v, rate, t[0], "au")
+        out[f"{k}_epoch_mean"] = (blocks.mean(1), rate / n, t[0] + 0.5 * (n - 1) / rate, "au")
+        out[f"{k}_epoch_var"] = (blocks.var(1), rate / n, t[0] + 0.5 * (n - 1) / rate, "au")
+    return out
+
+
+def _epochs(x: np.ndarray, fs: float, seconds: float = 30) -> np.ndarray:
+    n = int(seconds * fs)
+    return x[: len(x) // n * n].reshape(-1, n)
+
+
+@generator("epoch_ratio_features", "eeg", "eog", "emg")
+def epoch_ratio_features(ch: Channels) -> Tracks:
+    """Ratios of Welch band sums per 30-s epoch, repeated on 6-s rows."""
+    (x, fs), (eog, fe), (emg, fm) = ch["eeg"], ch["eog"], ch["emg"]
+    out: dict[str, list] = {k: [] for k in ("rel_theta", "rel_alpha", "rel_sigma", "rel_beta", "spindle_rel", "muscle_frac_db", "eog_rem_vs_noise_db", "eog_rem_vs_sem_db")}
+    for e in _epochs(x, fs):
+        f, p = dsp.welch(e, fs, int(4 * fs))
+        b = {k: dsp.band_power(f, p, lo, hi) for k, (lo, hi) in {"theta": (4, 8), "alpha": (8, 11), "sigma": (11, 16), "beta": (16, 30), "muscle": (30, 60), "all": (0.5, 60), "slow": (4, 30)}.items()}
+        for k in ("theta", "alpha", "sigma", "beta"):
+            out["rel_" + k].append(b[k] / max(b["all"], dsp.TINY))
+        out["spindle_rel"].append(b["sigma"] / max(b["theta"] + b["beta"], dsp.TINY))
+        out["muscle_frac_db"].append(dsp.db(b["muscle"] / max(b["all"] - b["muscle"], dsp.TINY)))
+    for e in _epochs(eog, fe):
+        f, p = dsp.welch(e, fe, int(8 * fe))
+        rem, sem, noise = (dsp.band_power(f, p, *b) for b in ((1, 5), (0.1, 0.8), (8, 15)))
+        out["eog_rem_vs_noise_db"].append(dsp.db(rem / max(noise, dsp.TINY)))
+        out["eog_rem_vs_sem_db"].append(dsp.db(rem / max(sem, dsp.TINY)))
+    tone = np.array([np.mean(dsp.bandpass(e, fm, 10, 100, safe=True) ** 2) for e in _epochs(emg, fm)])
+    if len(tone):
+        floor = np.percentile(tone, 5)
+        out["emg_floor_db"] = list(dsp.db(tone / max(floor, dsp.TINY)))
+        out["emg_baseline_floor_db"] = list(dsp.db(trailing_median(tone, 20) / max(floor, dsp.TINY)))
+    return {k: (np.repeat(np.array(v, float), 5), 1 / 6, 3.0, "au") for k, v in out.items()}
+
+
+@generator("signal_quality")
+def signal_quality(ch: Channels) -> Tracks:
+    """1 in epochs in which every channel is flat in at least half of the seconds."""
+    n = max((int(len(x) / fs // 30) for x, fs in ch.values()), default=0)
+    flat = np.ones(n, bool)
+    for x, fs in ch.values():
+        sec = np.ptp(x[: len(x) // int(fs) * int(fs)].reshape(-1, int(fs)), axis=1) == 0
+        own = sec[: len(sec) // 30 * 30].reshape(-1, 30).mean(1) >= 0.5
+        flat &= np.concatenate([own, np.zeros(max(0, n - len(own)), bool)])[:n]
+    return {"flat_dropout": (flat.astype(float), 1 / 30, 15.0, "binary")}
+
+
+def _beats(ch: Channels) -> tuple[np.ndarray, np.ndarray]:
+    x, fs = ch["ecg"]
+    t = dsp.refine_peaks(x, dsp.r_peaks(x, fs), fs)
+    return t, np.diff(t) * 1000
+
+
+@generator("pan_tompkins", "ecg")
+def pan_tompkins(ch: Channels) -> Tracks:
+    """Rate and variability from beats on a one-second grid, closed 30-s windows."""
+    x, fs = ch["ecg"]
+    t, rr = _beats(ch)
+    n = int(len(x) / fs)
+    out = {k: np.full(n, np.nan) for k in ("hr_bpm", "rmssd", "sdnn", "hr_min", "hr_range")}
+    mask = np.zeros(n)
+    mask[np.minimum(t.astype(int), n - 1)] = 1
+    at = t[1:]
+    for s in range(n):
+        w = rr[(at >= s - 15) & (at <= s + 15)]
+        if len(w) >= 3:
+            hr = 60000 / np.maximum(w, 1.0)
+            out["hr_bpm"][s], out["sdnn"][s], out["rmssd"][s] = hr.mean(), w.std(ddof=1), np.sqrt((np.diff(w) ** 2).mean())
+            out["hr_min"][s], out["hr_range"][s] = hr.min(), np.ptp(hr)
+    return {"heartbeat_mask": (mask, 1.0, 0.5, "binary"), **{k: (v, 1.0, 0.5, "ms") for k, v in out.items()}}
+
+
+@generator("hrv_features", "ecg")
+def hrv_features(ch: Channels) -> Tracks:
+    """Seven variability tracks in [c - h, c + h) with guards on clean and expected beats."""
+    x, fs = ch["ecg"]
+    t, rr = _beats(ch)
+    n = int(len(x) / fs)
+    ok = dsp.clean_beats(rr) if len(rr) else np.zeros(0, bool)
+    at = t[1:]
+    names = {"hr_bpm_30s": 15, "sdnn_150s": 75, "hr_slow_sd_300s": 150, "dfa_a2_300s": 150, "ln_lf_hf_300s": 150, "hr_surge_30s": 15, "nn_clean_frac_300s": 150}
+    out = {k: np.full(n, np.nan) for k in names}
+    for s in range(n):
+        for k, h in names.items():
+            c = s + 0.5
+            win = (at >= c - h) & (at < c + h)
+            if k == "nn_clean_frac_300s":
+                out[k][s] = ok[win].mean() if win.any() else np.nan
+                continue
+            if not win.any() or ok[win].mean() < 0.8 or win.sum() < 0.6 * (min(n, c + h) - max(0, c - h)) * 1000 / np.median(rr[win]):
+                continue
+            w, tw = rr[win & ok], at[win & ok]
+            hr = 60000 / np.maximum(w, 1.0)
+            if k == "hr_bpm_30s":
+                out[k][s] = hr.mean()
+            elif k == "sdnn_150s" and len(w) > 1:
+                out[k][s] = w.std(ddof=1)
+            elif k == "hr_slow_sd_300s":
+                bins = np.unique((tw // 10).astype(int), return_inverse=True)[1]
+                m = np.bincount(bins, hr) / np.bincount(bins)
+                out[k][s] = m.std(ddof=1) if len(m) > 1 else np.nan
+            elif k == "hr_surge_30s":
+                out[k][s] = hr.max() - np.median(hr)
+            elif s % 30 == 0:  # slow measures: every 30 s, held below
+                out[k][s] = dsp.dfa(w) if k == "dfa_a2_300s" else dsp.ln_lf_hf(tw, w)
+    for k in ("dfa_a2_300s", "ln_lf_hf_300s"):
+        out[k] = np.repeat(out[k][::30], 30)[:n]
+    return {k: (v, 1.0, 0.5, "au") for k, v in out.items()}
+
+
+@generator("breath_regularity", "effort")
+def breath_regularity(ch: Channels) -> Tracks:
+    """Coefficients of variation of breath intervals and amplitudes in 60-s windows."""
+    x, fs = ch["effort"]
+    p, amp = dsp.breaths(x, fs)
+    t, n = p / fs, int(len(x) / fs)
+
+    def cv(at, v):
+        out = np.full(n, np.nan)
+        for s in range(n):
+            w = v[(at >= s + 0.5 - 30) & (at < s + 0.5 + 30)]
+            if len(w) >= 5 and w.mean() > 0:
+                out[s] = w.std(ddof=1) / w.mean()
+        return out
+
+    return {"interval_cv_60s": (cv(t[1:], np.diff(t)), 1.0, 0.5, "au"), "amplitude_cv_60s": (cv(t, amp), 1.0, 0.5, "au")}
+
+
+@generator("cardiorespiratory_coupling", "ecg", "effort")
+def cardiorespiratory_coupling(ch: Channels) -> Tracks:
+    """Heart rate and breathing coherence at the dominant breathing frequency, 120-s windows every 30 s."""
+    x, fs = ch["effort"]
+    t, rr = _beats(ch)
+    end = len(x) / fs
+    grid = np.arange(0, end, 0.25)
+    if len(rr) < 10 or len(grid) < 480:
+        return {}
+    hr = np.interp(grid, t[1:], 60000 / rr)
+    br = np.interp(grid, np.arange(len(x)) / fs, dsp.bandpass(x, fs, 0.1, min(0.7, 0.45 * fs), order=2))
+    out = []
+    for a in range(0, len(grid) - 479, 120):
+        f, c = dsp.coherence(hr[a : a + 480], br[a : a + 480], 4, 128)
+        p = np.abs(np.fft.rfft(br[a : a + 480] * np.hanning(480)))
+        top = np.argmin(np.abs(f - np.fft.rfftfreq(480, 0.25)[p.argmax()]))
+        out.append(c[max(0, top - 1) : top + 2].mean())
+    return {"hr_resp_coherence_120s": (np.array(out), 1 / 30, 60.0, "au")}
+
+
+@generator("respiration", "effort")
+def respiration(ch: Channels) -> Tracks:
+    """Band-passed effort, cosine of its phase, envelope and breathing rate."""
+    x, fs = ch["effort"]
+    y = dsp.bandpass(x, fs, 0.1, min(0.7, 0.45 * fs), order=2)
+    z = dsp.analytic(y)
+    cos = np.cos(np.angle(z))
+    p = dsp.spaced_peaks(cos, max(1, int(fs)), 1.0)
+    rate = np.full(len(x), np.nan)
+    if len(p) > 1:
+        r = 60 * fs / np.diff(p)
+        rate = np.interp(np.arange(len(x)), p, np.append(r, r[-1]))
+    return {"filtered": (y, fs, 0.0, "au"), "phase_cos": (cos, fs, 0.0, "au"), "envelope": (np.abs(z), fs, 0.0, "au"), "rate": (rate, fs, 0.0, "bpm")}
+
+
+@generator("effort_snore_features", "effort")
+def effort_snore_features(ch: Channels) -> Tracks:
+    """G15."""
+    x, fs = ch["effort"]
+    a = dsp.envelope(x, fs, 0.1, min(0.7, 0.45 * fs))
+    a = a - trailing_median(a, int(20 * fs))
+    return {"amplitude": (a, fs, 0.0, "au"), "mask": (long_runs(a > 100, 16).astype(float), fs, 0.0, "binary")}
+
+
+@generator("airflow_morphology", "airflow")
+def airflow_morphology(ch: Channels) -> Tracks:
+    """G16."""
+    x, fs = ch["airflow"]
+    p = np.log10(trailing_mean(dsp.bandpass(x, fs, 0.1, min(0.5, 0.45 * fs), order=2) ** 2, int(6 * fs)) + 1e-12)
+    return {"log_power": (p, fs, 0.0, "au"), "relative": (p - trailing_median(p, int(30 * fs)), fs, 0.0, "au")}
+
+
+@generator("paradoxical_breathing", "thorax", "abdomen")
+def paradoxical_breathing(ch: Channels) -> Tracks:
+    """Rolling 30-s correlation of the belts."""
+    (a, fs), (b, _) = ch["thorax"], ch["abdomen"]
+    n = min(len(a), len(b))
+    a, b = (dsp.bandpass(v[:n], fs, 0.1, min(0.7, 0.45 * fs), order=2) for v in (a, b))
+    m = lambda v: trailing_mean(v, int(30 * fs))
+    cov = m(a * b) - m(a) * m(b)
+    den = np.sqrt(np.maximum(m(a * a) - m(a) ** 2, 0) * np.maximum(m(b * b) - m(b) ** 2, 0))
+    r = np.where(den > 1e-12, np.clip(cov / np.maximum(den, 1e-12), -1, 1), np.nan)
+    return {"thor_abd_corr": (r, fs, 0.0, "au"), "mask": ((r < 0).astype(float), fs, 0.0, "binary")}
+
+
+@generator("apnea_events", "airflow")
+def apnea_events(ch: Channels) -> Tracks:
+    """Envelope against the adapting peak baseline; drops of 8 s and more are events (2), shallower ones 1."""
+    x, fs = ch["airflow"]
+    y = dsp.bandpass(x, fs, 0.1, min(0.5, 0.45 * fs), order=2)
+    p = dsp.spaced_peaks(y, max(1, int(1.5 * fs)), 0.0)
+    env = trailing_median(np.abs(dsp.analytic(y)), max(1, int(fs)))
+    if not len(p):
+        return {}
+    base, _ = dsp.adaptive_baseline(p / fs, y[p])
+    line = np.interp(np.arange(len(x)), p, base)
+    full, part = long_runs(env < 0.1 * line, int(8 * fs)), long_runs(env < 0.5 * line, int(8 * fs))
+    return {"event_vector": (np.where(full, 2.0, np.where(part, 1.0, 0.0)), fs, 0.0, "class"), "envelope": (env, fs, 0.0, "au"), "baseline": (line, fs, 0.0, "au")}
+
+
+@generator("topography_features", "frontal", "occipital")
+def topography_features(ch: Channels) -> Tracks:
+    """G19."""
+    (x, fs), (o, fo) = ch["frontal"], ch["occipital"]
+    slow = [m.mean() for m in _epochs(dsp.slow_wave_mask(x, fs).astype(float), fs)]
+    alpha = []
+    for e in _epochs(o, fo):
+        f, p = dsp.welch(e, fo, int(4 * fo))
+        alpha.append(dsp.band_power(f, p, 8, 12) / max(dsp.band_power(f, p, 0.5, 30), dsp.TINY))
+    return {"frontal_slow_wave_fraction": (np.array(slow), 1 / 30, 15.0, "au"), "occipital_rel_alpha": (np.array(alpha), 1 / 30, 15.0, "au")}
+
+
+@generator("one_second_tracks", "eeg", "eog", "emg")
+def one_second_tracks(ch: Channels) -> Tracks:
+    """Relative band powers of the EEG, eye bands and muscle power per second."""
+    (x, fs), (eog, fe), (emg, fm) = ch["eeg"], ch["eog"], ch["emg"]
+    f, p = dsp.second_periodogram(x, fs)
+    total = np.maximum(dsp.band_power(f, p, 0.5, 30), dsp.TINY)
+    out = {f"c_rel_{k}": dsp.band_power(f, p, *b) / total for k, b in TRACK_BANDS.items()}
+    f, p = dsp.second_periodogram(eog, fe)
+    out |= {"eog_low": np.log10(dsp.band_power(f, p, 0.5, 2) + 1e-6), "eog_high": np.log10(dsp.band_power(f, p, 2, 8) + 1e-6)}
+    f, p = dsp.second_periodogram(emg, fm)
+    out["emg"] = 0.5 * np.log10(dsp.band_power(f, p, 10, 80) + 1e-6)
+    return {k: (v, 1.0, 0.5, "au") for k, v in out.items()}
+
+
+@generator("channel_quality", "eeg", "ecg")
+def channel_quality(ch: Channels) -> Tracks:
+    """log power, share of mains power, flatness, peak to peak, correlation with the ECG, per second."""
+    (x, fs), (e, fe) = ch["eeg"], ch["ecg"]
+    f, p = dsp.second_periodogram(x, fs)
+    n = int(fs)
+    s = x[: len(x) // n * n].reshape(-1, n)
+    q = np.interp(np.arange(s.size) / fs, np.arange(len(e)) / fe, e).reshape(s.shape)
+    cs, cq = s - s.mean(1, keepdims=True), q - q.mean(1, keepdims=True)
+    corr = np.abs((cs * cq).sum(1)) / np.maximum(np.sqrt((cs**2).sum(1) * (cq**2).sum(1)), dsp.TINY)
+    total = np.maximum(p.sum(1), dsp.TINY)
+    line = dsp.band_power(f, p, 48, 52) / total
+    out = {"log_power": np.log10(total), "line": line, "flat": (np.ptp(s, axis=1) == 0).astype(float), "ptp": np.ptp(s, axis=1), "ecg_corr": corr}
+    return {k: (v[: len(s)], 1.0, 0.5, "binary" if k == "flat" else "au") for k, v in out.items()}
+
+
+def run_generator(chunks: DataFrame, name: str) -> DataFrame:
+    """Tracks of one generator for every subject, long form. A subject without a required channel gives no rows."""
+    need, f = GENERATORS[name]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("channel", "ascending"), ("chunk_id", "ascending")])
+        ch: Channels = {}
+        names = table.column("channel").to_pylist()
+        for c in sorted(set(names)):
+            rows = [i for i, x in enumerate(names) if x == c]
+            part = table.column("samples").take(pa.array(rows)).combine_chunks()
+            ch[c] = part.flatten().to_numpy(zero_copy_only=False).astype(float), table.column("fs")[rows[0]].as_py()
+        cols: list[list] = [[] for _ in range(5)]
+        if all(c in ch for c in need):
+            for signal, (v, rate, start, units) in f(ch).items():
+                n = len(v)
+                t = np.round((start + np.arange(n) / rate) * 1e6).astype(np.int64)
+                for c, x in zip(cols, ([signal] * n, range(n), t.tolist(), [units] * n, np.where(np.isfinite(v), v, np.nan).tolist())):
+                    c.extend(x)
+        m = len(cols[0])
+        subject = table.column("subject_id")[0].as_py()
+        v = pa.array(cols[4], pa.float64(), from_pandas=True)
+        return pa.table({"subject_id": pa.array([subject] * m, pa.int64()), "algo": pa.array([name] * m, pa.string()), "signal": pa.array(cols[0], pa.string()), "idx": pa.array(cols[1], pa.int64()), "t_us": pa.array(cols[2], pa.int64()), "units": pa.array(cols[3], pa.string()), "v": v})
+
+    src = chunks.select("subject_id", "channel", "chunk_id", F.col("fs").cast("double").alias("fs"), F.col("samples").cast("array<double>").alias("samples"))
+    if need:
+        src = src.filter(F.col("channel").isin(*need))
+    return src.groupBy("subject_id").applyInArrow(run, TRACK_SCHEMA)
+
+
+def feature_table(tracks: DataFrame, width_us: int = 6_000_000) -> DataFrame:
+    """Wide table, one row per ``width_us``: means of finite values; masks, classes and vectors are left out."""
+    x = tracks.filter(~F.col("units").isin("binary", "class") & ~F.col("signal").rlike("mask|vector"))
+    x = x.withColumn("name", F.concat_ws("__", "algo", "signal"))
+    rows = binned_on_spine(x, width_us, 1_000_000, keys=("subject_id", "name"))
+    names = [r[0] for r in x.select("name").distinct().orderBy("name").collect()]  # a generator names a few dozen signals
+    return rows.groupBy("subject_id", "row").pivot("name", names).agg(F.first("v"))
