@@ -10,8 +10,13 @@ from nightgrid.operators import asof, binning, intervals, rolling, runs
 from .adapter import EPISODES, EPOCH, PAIRS, ROW, ROWS6, SIG, STAGES, UNIT, episodes, pairs, rows6, sig, table
 from .registry import query, r6
 
-W = Window.partitionBy("subject_id").orderBy("slot")
-T = Window.partitionBy("subject_id").orderBy("t_us")
+def W():  # noqa: N802
+    return Window.partitionBy("subject_id").orderBy("slot")
+
+
+def T():  # noqa: N802
+    return Window.partitionBy("subject_id").orderBy("t_us")
+
 
 
 # --- aggregation -------------------------------------------------------------------------------------------------
@@ -44,19 +49,19 @@ def a3(spark, sf):
 g AS (SELECT subject_id, j, j * m / 20.0 AS x FROM n, range(21) t(j)), h AS (SELECT *, CAST(floor(x) AS BIGINT) AS i FROM g)
 SELECT h.subject_id, CAST(h.j AS INT) AS j, round(a.v + CASE WHEN x - h.i > 0 THEN (x - h.i) * (b.v - a.v) ELSE 0 END, 6) AS v FROM h LEFT JOIN i a USING (subject_id, i) LEFT JOIN i b ON b.subject_id = h.subject_id AND b.i = h.i + 1""")
 def a4(spark, sf):
-    s = sig(spark, sf).withColumn("i", F.row_number().over(T) - 1)
+    s = sig(spark, sf).withColumn("i", F.row_number().over(T()) - 1)
     return binning.resample_linear(s, "i", "v", 21).select("subject_id", "j", r6("v"))
 
 
 @query("a5_block_max", f"WITH {SIG}, i AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS i, v FROM sig) SELECT subject_id, i // 8 AS block, max(v) AS v FROM i GROUP BY 1, 2 HAVING count(*) = 8")
 def a5(spark, sf):
-    s = sig(spark, sf).withColumn("i", F.row_number().over(T) - 1)
+    s = sig(spark, sf).withColumn("i", F.row_number().over(T()) - 1)
     return binning.block_reduce(s, "i", 8, {"v": F.max("v")})
 
 
 @query("a6_block_mean_var", f"WITH {SIG}, i AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS i, v FROM sig) SELECT subject_id, i // 8 AS block, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS var FROM i GROUP BY 1, 2 HAVING count(*) = 8")
 def a6(spark, sf):
-    s = sig(spark, sf).withColumn("i", F.row_number().over(T) - 1)
+    s = sig(spark, sf).withColumn("i", F.row_number().over(T()) - 1)
     return binning.block_reduce(s, "i", 8, {"mean": F.avg("v"), "var": F.var_pop("v")}).select("subject_id", "block", r6("mean"), r6("var"))
 
 
@@ -132,7 +137,7 @@ RR = f"{SIG}, rr AS (SELECT subject_id, t_us, (t_us - lag(t_us) OVER (PARTITION
 
 
 def with_rr(spark, sf):
-    return sig(spark, sf).withColumn("rr", (F.col("t_us") - F.lag("t_us").over(T)) / float(UNIT)).filter("rr IS NOT NULL")
+    return sig(spark, sf).withColumn("rr", (F.col("t_us") - F.lag("t_us").over(T())) / float(UNIT)).filter("rr IS NOT NULL")
 
 
 @query("a18_rr_summary", f"WITH {RR} SELECT subject_id, count(*) AS n, round(avg(CASE WHEN rr < 1 THEN 1.0 ELSE 0.0 END), 6) AS short, round(avg(CASE WHEN rr > 24 THEN 1.0 ELSE 0.0 END), 6) AS long, round(min(rr), 6) AS lo, round(max(rr), 6) AS hi FROM rr WHERE rr IS NOT NULL GROUP BY 1")
@@ -318,13 +323,13 @@ def w4(spark, sf):
 
 @query("w5_centred_median_min_count", f"WITH {ROWS6} SELECT subject_id, slot, round(CASE WHEN count(v) {FR.format('4 PRECEDING', '4 FOLLOWING')} >= 4 THEN quantile_cont(v, 0.5) {FR.format('4 PRECEDING', '4 FOLLOWING')} END, 6) AS m FROM rows6")
 def w5(spark, sf):
-    w = W.rowsBetween(-4, 4)
+    w = W().rowsBetween(-4, 4)
     return rows6(spark, sf).select("subject_id", "slot", r6(rolling.guarded(F.percentile("v", F.lit(0.5)), "v", w, 4), "m"))
 
 
 @query("w6_trailing_mean_min_count", f"WITH {ROWS6} SELECT subject_id, slot, round(CASE WHEN count(v) {FR.format('4 PRECEDING', 'CURRENT ROW')} >= 4 THEN avg(v) {FR.format('4 PRECEDING', 'CURRENT ROW')} END, 6) AS m FROM rows6")
 def w6(spark, sf):
-    return rows6(spark, sf).select("subject_id", "slot", r6(rolling.guarded(F.avg("v"), "v", W.rowsBetween(-4, 0), 4), "m"))
+    return rows6(spark, sf).select("subject_id", "slot", r6(rolling.guarded(F.avg("v"), "v", W().rowsBetween(-4, 0), 4), "m"))
 
 
 @query("w7_closed_range_window", f"WITH {SIG} SELECT event_id, count(*) OVER w AS n, round(avg(v) OVER w, 6) AS m FROM sig WINDOW w AS (PARTITION BY subject_id ORDER BY t_us RANGE BETWEEN {15 * UNIT} PRECEDING AND {15 * UNIT} FOLLOWING)")
@@ -393,7 +398,7 @@ def w17(spark, sf):
 
 @query("w18_transition_rows", f"WITH {PAIRS}, x AS (SELECT *, lag(truth) OVER w AS before, t_us - lag(t_us) OVER w AS gap FROM pairs WINDOW w AS (PARTITION BY subject_id ORDER BY t_us)) SELECT event_id, before <> truth AS changed, truth = pred AS correct FROM x WHERE gap <= {6 * UNIT}")
 def w18(spark, sf):
-    x = pairs(spark, sf).withColumns({"before": F.lag("truth").over(T), "gap": F.col("t_us") - F.lag("t_us").over(T)}).filter(F.col("gap") <= 6 * UNIT)
+    x = pairs(spark, sf).withColumns({"before": F.lag("truth").over(T()), "gap": F.col("t_us") - F.lag("t_us").over(T())}).filter(F.col("gap") <= 6 * UNIT)
     return x.select("event_id", (F.col("before") != F.col("truth")).alias("changed"), (F.col("truth") == F.col("pred")).alias("correct"))
 
 
@@ -466,7 +471,7 @@ def w28(spark, sf):
 
 @query("p8_stable_stage", f"WITH {ROWS6}, x AS (SELECT *, lag(stage) OVER w AS a, lead(stage) OVER w AS b FROM rows6 WINDOW w AS (PARTITION BY subject_id ORDER BY slot)) SELECT subject_id, slot, stage FROM x WHERE a = stage AND b = stage AND stage >= 0")
 def p8(spark, sf):
-    x = rows6(spark, sf).withColumns({"a": F.lag("stage").over(W), "b": F.lead("stage").over(W)})
+    x = rows6(spark, sf).withColumns({"a": F.lag("stage").over(W()), "b": F.lead("stage").over(W())})
     return x.filter("a = stage AND b = stage AND stage >= 0").select("subject_id", "slot", "stage")
 
 
@@ -489,8 +494,8 @@ def p7(spark, sf):
 
 @query("p12_contiguous", f"WITH {ROWS6}, u AS (SELECT *, slot - lag(slot) OVER (PARTITION BY subject_id ORDER BY slot) AS d FROM rows6 WHERE slot % 17 <> 3) SELECT subject_id, slot FROM (SELECT subject_id, slot, max(abs(d - 1)) OVER (PARTITION BY subject_id ORDER BY slot ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e FROM u) WHERE e = 0")
 def p12(spark, sf):
-    x = rows6(spark, sf).filter("slot % 17 <> 3").withColumn("d", F.abs(F.col("slot") - F.lag("slot").over(W) - 1))
-    return x.withColumn("e", F.max("d").over(W.rowsBetween(-4, 0))).filter("e = 0").select("subject_id", "slot")
+    x = rows6(spark, sf).filter("slot % 17 <> 3").withColumn("d", F.abs(F.col("slot") - F.lag("slot").over(W()) - 1))
+    return x.withColumn("e", F.max("d").over(W().rowsBetween(-4, 0))).filter("e = 0").select("subject_id", "slot")
 
 
 @query("p4_clean_model_frame", f"WITH {ROWS6} SELECT subject_id, slot, round(v, 6) AS v, CAST(stage AS INT) AS target FROM rows6 WHERE stage >= 0 AND v IS NOT NULL")

@@ -11,7 +11,9 @@ from .adapter import PAIRS, ROWS6, SIG, UNIT, pairs, rows6, sig, table
 from .registry import query, r6
 
 LABELS = [0, 1, 2, 3, 4]
-W = Window.partitionBy("subject_id").orderBy("slot")
+def W():  # noqa: N802
+    return Window.partitionBy("subject_id").orderBy("slot")
+
 
 # --- labels ------------------------------------------------------------------------------------------------------
 
@@ -296,7 +298,7 @@ def m5(spark, sf):
     r = rows6(spark, sf)
     fit = r.filter("subject_id % 5 <> 0").agg(F.avg("v").alias("m"), (F.stddev_pop("v") + 1e-6).alias("s"))  # one row
     z = r.crossJoin(F.broadcast(fit)).withColumn("z", F.coalesce(F.least(F.greatest((F.col("v") - F.col("m")) / F.col("s"), F.lit(-10.0)), F.lit(10.0)), F.lit(0.0)))
-    at = lambda i: F.round(F.coalesce((F.lag("z", 10 - i) if i < 10 else F.lead("z", i - 10)).over(W), F.lit(0.0)), 5).alias(f"z{i}")
+    at = lambda i: F.round(F.coalesce((F.lag("z", 10 - i) if i < 10 else F.lead("z", i - 10)).over(W()), F.lit(0.0)), 5).alias(f"z{i}")
     return z.select("subject_id", "slot", *[at(i) for i in (0, 5, 10, 15, 24)])
 
 
