@@ -11,7 +11,7 @@ of the corpus, is dealt again with the next round's key. What is left after ``MA
 has fewer values than the corpus has entities) is masked by a keyed tag that is longer than the form and cannot collide.
 
 Defined results: null texts stay null with 0 entities, empty ones stay empty; null ids stay null; rows with equal id
-and text get equal results; other columns pass through.
+and text get equal results; other columns pass through (input columns named ``n_entities`` or ``kinds`` are replaced).
 """
 
 from __future__ import annotations
@@ -153,16 +153,16 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialise(found.withColumn("canon", F.expr(canonical("kind", "m"))), "mentions")
     table = surrogates(found.select("kind", "canon").distinct(), key)
     new = found.join(table, ["kind", "canon"]).select("_pii_key", "at", "kind", F.expr(RENDER).alias("to"))
-    by_doc = new.groupBy("_pii_key").agg(F.sort_array(F.collect_list(F.struct("at", "to", "kind"))).alias("new"))
-    changed = keyed.filter("_pii_hint").join(by_doc, "_pii_key", "left").withColumn("_pii_parts", F.when(F.col("new").isNotNull(), F.split(F.col(text_col), ALL)))
-    pieces = F.expr("array_join(zip_with(_pii_parts, new, (p, x) -> concat(p, coalesce(x.to, ''))), '')")
-    text = F.when(F.col("new").isNull(), F.col(text_col)).otherwise(pieces)
-    counts = F.expr("map_from_entries(transform(array_distinct(transform(new, x -> x.kind)), k -> struct(k, cast(size(filter(new, x -> x.kind = k)) AS bigint))))")
+    by_doc = new.groupBy("_pii_key").agg(F.sort_array(F.collect_list(F.struct("at", "to", "kind"))).alias("_pii_new"))
+    changed = keyed.filter("_pii_hint").join(by_doc, "_pii_key", "left").withColumn("_pii_parts", F.when(F.col("_pii_new").isNotNull(), F.split(F.col(text_col), ALL)))
+    pieces = F.expr("array_join(zip_with(_pii_parts, _pii_new, (p, x) -> concat(p, coalesce(x.to, ''))), '')")
+    text = F.when(F.col("_pii_new").isNull(), F.col(text_col)).otherwise(pieces)
+    counts = F.expr("map_from_entries(transform(array_distinct(transform(_pii_new, x -> x.kind)), k -> struct(k, cast(size(filter(_pii_new, x -> x.kind = k)) AS bigint))))")
     empty = F.lit(None).cast("map<string,bigint>")
-    out = changed.withColumns({text_col: text, "n_entities": F.coalesce(F.size("new"), F.lit(0)).cast("long"), "kinds": counts})
+    out = changed.withColumns({text_col: text, "n_entities": F.coalesce(F.size("_pii_new"), F.lit(0)).cast("long"), "kinds": counts})
     same = keyed.filter("NOT _pii_hint").withColumns({"n_entities": F.lit(0).cast("long"), "kinds": empty})
-    drop = ["_pii_key", "_pii_hint", "_pii_parts", "new"]
-    out = out.withColumn("n_entities", F.when(F.col("new").isNull(), 0).otherwise(F.col("n_entities")).cast("long"))
+    drop = ["_pii_key", "_pii_hint", "_pii_parts", "_pii_new"]
+    out = out.withColumn("n_entities", F.when(F.col("_pii_new").isNull(), 0).otherwise(F.col("n_entities")).cast("long"))
     return out.drop(*drop).unionByName(same.drop(*drop))
 
 

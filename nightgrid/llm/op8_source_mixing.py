@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: Mapping, budget_tokens: int | None = None, id_
     sums = own.filter("_mix_rest > 0").groupBy(*names, "_mix_b").agg(F.sum("n_tokens").alias("t"), F.first("_mix_rest").alias("rest"))
     upto = F.sum("t").over(Window.partitionBy(*names).orderBy("_mix_b"))  # 4096 rows a leaf at most
     edge = sums.withColumn("upto", upto).filter("upto > rest").groupBy(*names).agg(F.min("_mix_b").alias("_mix_edge"), F.min_by(F.col("upto") - F.col("t"), "_mix_b").alias("_mix_before"))
-    own = own.join(edge, names, "left")
+    own = own.join(F.broadcast(edge), names, "left")  # one row per leaf at most
     whole = own.filter("_mix_rest > 0 AND (_mix_edge IS NULL OR _mix_b < _mix_edge)").withColumn("n", F.col("_mix_full") + 1)
     run = F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("_mix_h", "_mix_key").rowsBetween(Window.unboundedPreceding, 0))
     at = own.filter("_mix_rest > 0 AND _mix_b = _mix_edge").withColumn("n", F.when(F.col("_mix_before") + run <= F.col("_mix_rest"), F.col("_mix_full") + 1).otherwise(F.col("_mix_full")))
@@ -136,9 +136,9 @@ def mix(docs: DataFrame, weights: Mapping, budget_tokens: int | None = None, id_
     cols = ["_mix_key", "n"]
     copies = whole.select(*cols).unionByName(at.select(*cols)).unionByName(rest.select(*cols)).filter("n > 0")
     # rows with equal id and text: as many copies in all as they were given, dealt to each in turn
-    copies = copies.groupBy("_mix_key").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
-    joined = tagged.join(copies, "_mix_key").withColumn("copies", F.ceil(F.col("total") / F.col("rows")).cast("long"))
-    return joined.drop(*names, "_mix_id", "_mix_key", "total", "rows")
+    copies = copies.groupBy("_mix_key").agg(F.sum("n").alias("_mix_total"), F.count("*").alias("_mix_rows"))
+    joined = tagged.join(copies, "_mix_key").withColumn("copies", F.ceil(F.col("_mix_total") / F.col("_mix_rows")).cast("long"))
+    return joined.drop(*names, "_mix_id", "_mix_key", "_mix_total", "_mix_rows")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
