@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .op1_suffix_array import op1_suffix_array
 from .op10_quality_rules import op10_quality_rules
 from .op2_line_dedup import op2_line_dedup
@@ -30,5 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-#: DuckDB SQL over whole tables. Operators without an entry are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL over whole tables. Operators without an entry are tested against plain versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array": oracle.OP1,
+    "op2_line_dedup": oracle.OP2,
+    "op3_jaccard_join": oracle.OP3,
+    "op6_phrase_automata": oracle.OP6,
+}
