@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that go to a Python worker at once; several workers share an executor's memory.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where the session has Spark's default of 64 MB; a set value stays."""
+    if spark.conf.get(_BATCH, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession):
     """While open, shuffle files of a finished write are removed at once."""
@@ -39,6 +48,7 @@ def tidy_shuffles(spark: SparkSession):
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; removed when the session ends."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}-{name}"
     with tidy_shuffles(spark):
         df.write.parquet(path)
@@ -49,4 +59,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table by Spark's own reader, so any store that Spark knows will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
