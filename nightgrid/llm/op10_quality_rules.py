@@ -178,6 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Rules from at most ``max_train`` labelled documents (label 0: bad)."""
     key = F.xxhash64(F.col(id_col), F.lit(SEED))
     picked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_qr_id"), (F.col(label_col) == 0).alias("_qr_bad"), key.alias("_qr_key"))
+    n = picked.count()
+    if n > 4 * max_train:  # only keys that can be among the smallest go to the sort: twice as many as wanted on average
+        picked = picked.filter(F.col("_qr_key") <= int(-(1 << 63) + (1 << 64) * (2 * max_train / n)))
     picked = picked.orderBy("_qr_key", "_qr_id", "_qr_bad").limit(max_train)
     own = docs.select(F.col(id_col).alias("_qr_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_qr_id")  # max_train rows at most
     f = _features("_qr_stats")
