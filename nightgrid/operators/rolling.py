@@ -87,6 +87,24 @@ def average_rank(value: str, keys: tuple[str, ...]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
 
 
+def rank_table(df: DataFrame, value: str, keys: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """W27 for large groups: ``keys, value, count, rank`` (average rank) of every distinct value.
+
+    Rows are counted per distinct value first. Distinct values are cut into buckets at approximate quantiles; totals before a bucket come
+    from bucket sums, ranks inside it from one bucket's values, so no task orders a whole group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("count"))
+    cuts = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("c")).collect()[0]["c"] or []
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    counts = counts.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col(value).cast("double"))))
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("count").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")  # ``buckets`` rows a key
+    inside = F.sum("count").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    out = counts.join(sums, [*keys, "_b"]).withColumn("_in", F.coalesce(inside, F.lit(0)))
+    return out.withColumn("rank", F.col("_before") + F.col("_in") + (F.col("count") + 1) / F.lit(2.0)).drop("_b", "_before", "_in")
+
+
 def sliding_slots(df: DataFrame, slot: str, size: int, stride: int, aggs: dict[str, Column], keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
     """Aggregates of every ``size`` rows without a slot gap, from the first of each gapless stretch on, every ``stride`` rows."""
     w0 = by(slot, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binning import clean
+from .rolling import rank_table
 
 ALIASES = {"none": "none", "standard": "standard_global", "standard_global": "standard_global", "robust": "robust_global", "robust_global": "robust_global", "robust_by_subject": "robust_by_subject"}
 
@@ -78,13 +79,11 @@ def cohens_d(value: Column, group: Column) -> Column:
 def rank_auc(df: DataFrame, value: str, group: str, keys: tuple[str, ...]) -> DataFrame:
     """Area under the ROC curve by average ranks; NULL if a class is empty. ``group`` is 0/1.
 
-    Ranks come from counts per distinct value, so the sort is over distinct values, not over rows.
+    Ranks come from counts per distinct value, in buckets of values (see ``rank_table``).
     """
-    from pyspark.sql.window import Window
-
-    c = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), F.sum(F.col(group).cast("long")).alias("_p"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("_r", F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / F.lit(2.0))
+    x = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    pos = x.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.sum(F.col(group).cast("long")).alias("_p"))
+    c = pos.join(rank_table(x, value, keys).withColumnRenamed("rank", "_r"), [*keys, value])
     g = c.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_p")).alias("_s"), F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"))
     auc = F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, (F.col("n_pos") * F.col("n_neg")).cast("double"))
     return g.withColumn("auc", auc).drop("_s")

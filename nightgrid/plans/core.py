@@ -420,8 +420,10 @@ def w21(spark, sf):
 
 @query("w22_percentile_rank_pick", f"WITH {SIG}, r AS (SELECT subject_id, event_id, stage, (rank() OVER (PARTITION BY stage ORDER BY v) + (count(*) OVER (PARTITION BY stage, v) - 1) / 2.0) / count(*) OVER (PARTITION BY stage) AS pct FROM sig), p AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY abs(pct - 0.9), event_id) AS rn FROM r) SELECT stage, event_id, round(pct, 6) AS pct FROM p WHERE rn = 1")
 def w22(spark, sf):
-    x = sig(spark, sf).withColumn("pct", rolling.average_rank("v", ("stage",)) / F.count("*").over(Window.partitionBy("stage")))
-    x = x.withColumn("rn", F.row_number().over(Window.partitionBy("stage").orderBy(F.abs(F.col("pct") - 0.9), "event_id"))).filter("rn = 1")
+    s = sig(spark, sf)
+    n = s.groupBy("stage").agg(F.count("*").alias("n"))
+    x = s.join(rolling.rank_table(s, "v", ("stage",)), ["stage", "v"]).join(F.broadcast(n), "stage").withColumn("pct", F.col("rank") / F.col("n"))  # n: one row per stage
+    x = x.groupBy("stage").agg(F.min_by(F.struct("event_id", "pct"), F.struct(F.abs(F.col("pct") - 0.9), "event_id")).alias("b")).select("stage", "b.*")
     return x.select("stage", "event_id", r6("pct"))
 
 

@@ -221,10 +221,8 @@ def m22(spark, sf):
 def m27(spark, sf):
     s = sig(spark, sf)
 
-    def ranks(c):  # from counts per distinct value: one sort of distinct values, not of rows
-        g = s.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy().orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return g.select(c, (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)).alias("r_" + c))
+    def ranks(c):
+        return rolling.rank_table(s, c).select(c, F.col("rank").alias("r_" + c))
 
     return s.join(ranks("v"), "v").join(ranks("stage"), "stage").agg(r6(F.corr("r_v", "r_stage"), "rho"))
 
