@@ -30,6 +30,8 @@ from .shared import read_table
 MAX_DOCS = 1500
 #: Languages that can be learned, those with the most documents first.
 MAX_LANGS = 64
+#: Parts in which a language's sample is looked for.
+SPLITS = 64
 REJECT_SHARE = 0.002
 #: Characters that count at most towards the score's sharpness.
 SHARP_CHARS = 60
@@ -179,8 +181,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Models from documents that are not held out and have a language and a text."""
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    top = Window.partitionBy("lang").orderBy("h", "rk")
-    keys = known.select("lang", "h", "rk").withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_docs)
+    keys = known.select("lang", "h", "rk", F.pmod("h", F.lit(SPLITS)).alias("split"))
+    for by in (["lang", "split"], ["lang"]):  # a language may hold most rows: its first ones are found in parts first
+        top = Window.partitionBy(*by).orderBy("h", "rk")
+        keys = keys.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_docs)
     picked = keys.groupBy("lang").agg(F.collect_list("rk").alias("rks")).orderBy(F.desc(F.size("rks")), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in picked)
     if not langs:
