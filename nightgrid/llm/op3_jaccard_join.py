@@ -211,21 +211,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = entries(labels)
     split = every.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     open_lists = materialise(every.join(split, "tok"), "open")
-    heads = open_lists.groupBy("tok", "center", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("lack").alias("lack"), F.max("reach").alias("reach"))
+    heads = open_lists.groupBy("tok", "center", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("lack").alias("lack"), F.max("reach").alias("reach"), F.max(F.col("rk") != F.col("center")).alias("more"))
     heads = heads.join(bitmaps("center"), "center")
     a, b = heads.alias("a"), heads.alias("b")
     meet = F.expr(f"a.tok = b.tok AND a.center < b.center AND a.comp <> b.comp AND 100 * a.hi >= {percent} * b.lo AND 100 * b.hi >= {percent} * a.lo AND {100 + percent} * least(a.reach, b.reach) >= {percent} * (a.lo + b.lo) "
                   f"AND {100 + percent} * (a.center_size + b.center_size - ({apart('a.center', 'b.center')}) + 2 * (a.lack + b.lack)) >= {2 * percent} * (a.lo + b.lo)")
-    meets = a.join(b, meet).select("a.tok", F.col("a.center").alias("x"), F.col("b.center").alias("y"), F.col("a.lack").alias("a_lack"), F.col("b.lack").alias("b_lack"), F.col("a.lo").alias("a_lo"), F.col("b.lo").alias("b_lo"))
+    meets = a.join(b, meet).select("a.tok", F.col("a.center").alias("x"), F.col("b.center").alias("y"), F.col("a.lack").alias("a_lack"), F.col("b.lack").alias("b_lack"), F.col("a.lo").alias("a_lo"), F.col("b.lo").alias("b_lo"), F.expr("a.more OR b.more").alias("more"))
     meets = materialise(meets, "meets")
-    pairs = meets.groupBy("x", "y").agg(F.max(F.col("a_lack") + F.col("b_lack")).alias("lack"), F.min(F.col("a_lo") + F.col("b_lo")).alias("sizes"))
+    pairs = meets.groupBy("x", "y").agg(F.max(F.col("a_lack") + F.col("b_lack")).alias("lack"), F.min(F.col("a_lo") + F.col("b_lo")).alias("sizes"), F.max("more").alias("more"))
     pairs = materialise(pairs, "centers")
     across = verified(pairs.select("x", "y"), "across")
     labels = connected_components(edges(stars, across))
 
-    # what the centers' overlap does not rule out
+    # what the centers' overlap does not rule out; members that lack nothing of their centers can link as well, only centers alone are done
     least_both = f"{percent} * sizes <= {100 + percent} * (both + lack)"
-    doubt = across.filter(~_linked(percent)).join(pairs, ["x", "y"]).filter("lack > 0").filter(least_both).select("x", "y", "both")
+    doubt = across.filter(~_linked(percent)).join(pairs, ["x", "y"]).filter("more").filter(least_both).select("x", "y", "both")
     comp = known(labels)
     doubt = doubt.join(comp.select(F.col("rk").alias("x"), F.col("comp").alias("cx")), "x", "left").join(comp.select(F.col("rk").alias("y"), F.col("comp").alias("cy")), "y", "left")
     doubt = materialise(doubt.filter("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y", "both"), "doubt")

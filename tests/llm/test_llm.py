@@ -141,6 +141,18 @@ def test_op3_against_brute_force(spark, texts):
     assert op3_jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_op3_members_that_are_subsets_of_their_centers(spark):
+    rnd, rows = random.Random(5), []
+    for f in range(24):
+        own = lambda n: " ".join(f"{f}w{rnd.randrange(1 << 40)}" for _ in range(n))
+        x = own(88)
+        y = x + " " + own(10)
+        rows += [(len(rows) + k, t) for k, t in enumerate([x, x + " " + own(9), y, y + " " + own(16)])]
+    want = brute.op3(rows)
+    assert {c for _, _, c in want} == set(range(0, 96, 4))
+    check(op3_jaccard_join.jaccard_components(frame(spark, rows)).collect(), want)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
