@@ -3,11 +3,13 @@
 1. Document frequencies of the benchmark's words over all passages; words in more than ``MAX_DF`` of them carry no meaning.
 2. Distributed randomised SVD of the passages' TF-IDF matrix A over the benchmark's words: every task adds its part of
    ``A^T (A Omega)``, a (words x rank) matrix whose size the benchmark fixes; the Nystroem formula gives right singular vectors.
-3. Every passage (two neighbouring half windows) is folded in; cosine against all items gives candidates.
+3. Every passage (two neighbouring half windows) is folded in; cosine against all items gives candidates. An item longer than a
+   passage is searched for by its pieces of at most a passage's length as well, each with its own share of words to be found.
 4. A candidate's region must share a longest common subsequence of ``MIN_LCS`` of the item's words within a bounded stretch, and the
    item's answer (its last words) must be there as well, unless nearly all of the item is.
 
-Items are taken in blocks of ``BLOCK_ITEMS``, so what reaches the driver and the tasks is bounded whatever the benchmark's size.
+Items are taken in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words (a longer item is a block of its own), so what reaches the
+driver and the tasks is bounded whatever the benchmark's size.
 
 Defined results: null or word-less texts match nothing; null or word-less items are ignored; ids may be null or repeat: each row of
 ``docs`` is judged for itself, equal item ids are told apart by their text only; other columns are ignored.
@@ -16,7 +18,6 @@ Defined results: null or word-less texts match nothing; null or word-less items
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ MIN_LCS = 0.6
 SURE_LCS = 0.8
 MIN_ANSWER = 0.5
 BLOCK_ITEMS = 512
+BLOCK_WORDS = 1 << 15
 
 
 def half_windows(buf: np.ndarray, offs: np.ndarray):
@@ -168,8 +170,17 @@ def meaningful(df: np.ndarray, n: float, number: np.ndarray, first: np.ndarray)
     return np.where(rare, idf, 0.0)
 
 
-def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries: np.ndarray, items: list[Item], ids: list[int], holds: np.ndarray):
+def pieces(n: int) -> list[tuple[int, int]]:
+    """What an item of ``n`` words is searched for by: the whole, and even pieces of a passage's length at most where it is longer."""
+    count = -(-n // (2 * HALF))
+    cuts = [n * k // count for k in range(count + 1)]
+    return [(0, n)] + (list(zip(cuts[:-1], cuts[1:])) if count > 1 else [])
+
+
+def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries: np.ndarray, items: list[Item], ids: list[int], holds: np.ndarray, owner: np.ndarray):
+    """``owner``: the item of each query."""
     need = np.maximum(np.minimum(MIN_HITS, holds.sum(1)), np.ceil(MIN_SHARED * holds.sum(1))).astype(np.int64)
+    least = min(MIN_HITS, need[need > 0].min(initial=MIN_HITS))
     names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +201,9 @@ def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries:
                 follow = np.append(text[1:] == text[:-1], False)
                 hits = np.diff(cut)
                 pair_hits = hits + np.where(follow, np.append(hits[1:], 0), 0)
-                live = np.flatnonzero(pair_hits >= min(MIN_HITS, need.min()))
+                live = np.flatnonzero(pair_hits >= least)
                 found: dict[tuple[int, int], float] = {}
-                windows: dict[tuple[int, int], list[int]] = {}
+                windows: dict[tuple[int, int], set[int]] = {}
                 for lo in range(0, len(live), 8192):
                     p = live[lo : lo + 8192]
                     x = sums[p] + np.where(follow[p][:, None], sums[np.minimum(p + 1, n - 1)], 0)
@@ -206,14 +217,14 @@ def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries:
                     shared = np.add.reduceat(holds[np.repeat(q, pair_hits[p[r]]), word[K.ranges_concat(cut[p[r]], pair_hits[p[r]])]].astype(np.int64), np.cumsum(pair_hits[p[r]]) - pair_hits[p[r]])
                     enough = shared >= need[q]
                     for r, q in zip(r[enough], q[enough]):
-                        key = int(text[p[r]]), int(q)
+                        key = int(text[p[r]]), int(owner[q])
                         found[key] = max(found.get(key, 0.0), float(c[r, q]))
-                        windows.setdefault(key, []).append(int(start[p[r]]))
+                        windows.setdefault(key, set()).add(int(start[p[r]]))
                 out = []
                 for (t, q), starts in windows.items():
                     best = (0.0, 0.0)
                     item = items[q]
-                    for s in starts:
+                    for s in sorted(starts):
                         lo, hi = max(w.first[t], s - item.n), min(w.first[t + 1], s + 2 * HALF + item.n)
                         best = max(best, item.check(h[lo:hi].tolist()))
                         if best[0] == 1:
@@ -230,7 +241,15 @@ def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.lower(text_col).alias("t")).orderBy("i", "t").toLocalIterator()
-    while block := list(islice(rows, BLOCK_ITEMS)):
+    block, words = [], 0
+    for row in rows:
+        n = len(row["t"].split())
+        if block and (len(block) == BLOCK_ITEMS or words + n > BLOCK_WORDS):
+            yield block
+            block, words = [], 0
+        block.append(row)
+        words += n
+    if block:
         yield block
 
 
@@ -283,14 +302,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             total[sw[cut]] += np.add.reduceat(y[local[o]], cut) * weight[sw[cut], None]
 
         vectors = right_vectors(summed(texts, products, (size, k)), omega)
-        q = np.stack([(vectors[number[w.first[i] : w.first[i + 1]]] * weight[number[w.first[i] : w.first[i + 1]], None]).sum(0) for i in full])
+        spans = [(k, w.first[i] + a, w.first[i] + b) for k, i in enumerate(full) for a, b in pieces(int(w.first[i + 1] - w.first[i]))]
+        q = np.stack([(vectors[number[a:b]] * weight[number[a:b], None]).sum(0) for _, a, b in spans])
         q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         items = [Item(h[w.first[i] : w.first[i + 1]].tolist()) for i in full]
-        holds = np.zeros((len(full), size), bool)
-        for k, i in enumerate(full):
-            holds[k, number[w.first[i] : w.first[i + 1]]] = True
+        holds = np.zeros((len(spans), size), bool)
+        for k, (_, a, b) in enumerate(spans):
+            holds[k, number[a:b]] = True
         holds[:, weight == 0] = False
-        found = rows.mapInArrow(_scorer(vocab, weight, vectors, q, items, [block[i][0] for i in full], holds), schema)
+        found = rows.mapInArrow(_scorer(vocab, weight, vectors, q, items, [block[i][0] for i in full], holds, np.array([k for k, _, _ in spans])), schema)
         out = out.unionByName(found)
     return out
 

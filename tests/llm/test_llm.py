@@ -219,6 +219,20 @@ def test_op5_finds_exact_and_changed_items_and_no_others(spark):
     assert op5_decontamination.contaminated(frame(spark, rows), bench.limit(0)).count() == 0 and op5_decontamination.contaminated(frame(spark, []), bench).count() == 0
 
 
+def test_op5_long_items_exact_and_changed(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [say(200), say(1000), say(30)]
+    changed = lambda t, share: " ".join(word() if rnd.random() < share else x for x in t.split())
+    rows = [(i, say(150)) for i in range(200)]
+    for k, t in enumerate(items[:2]):
+        rows += [(300 + k, say(40) + " " + t + " " + say(40)), (310 + k, say(30) + " " + changed(t, 0.25) + " " + say(70)), (320 + k, say(50) + " " + " ".join(t.split()[: len(t.split()) // 3]))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op5_decontamination.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(300, 0), (301, 1), (310, 0), (311, 1)}
+
+
 def test_op5_alignment():
     it = op5_decontamination.Item([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
     assert it.lcs([1, 2, 9, 3, 4, 5]) == 5 and it.check([0, 0, *range(1, 11), 0])[0] == 1.0 and it.check([5, 4, 3])[0] == 0.0
