@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One four-gram model per language. N-gram counts come from a bounded sample of labelled documents (``MAX_DOCS`` a language, those with the
-smallest keyed hash); the models are sorted arrays of n-gram keys with log probabilities, so a text is scored by binary search. The language with
+smallest keyed hash; fewer where the languages are so many that ``MAX_SAMPLE`` is reached); every language is learned; the models are sorted arrays of n-gram keys with log probabilities, so a text is scored by binary search. The language with
 the lowest cross-entropy per character wins. Rejection is calibrated: a prediction is marked ``rejected`` if its cross-entropy is above what
 all but ``REJECT_SHARE`` of the language's own calibration documents (a fifth of the sample, not trained on) have.
 
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .shared import read_table
+from .shared import materialise, read_table
 
 #: Documents of a language that its model may learn from, calibration included.
 MAX_DOCS = 1500
-#: Languages that can be learned, those with the most documents first.
-MAX_LANGS = 64
+#: Documents of all languages together; more languages share it evenly, each has one at least.
+MAX_SAMPLE = 64 * MAX_DOCS
+#: Languages that are scored at once.
+SCORED = 64
 #: Parts in which a language's sample is looked for.
 SPLITS = 64
 REJECT_SHARE = 0.002
@@ -132,16 +134,18 @@ class Model:
         key = self.grams(low, starts)
         key[starts[:-1]] = 0
         at = np.minimum(np.searchsorted(self.keys[0], key), len(self.keys[0]) - 1)
-        logp = self.logp[0][at]
         miss = np.flatnonzero(self.keys[0][at] != key)
-        if len(miss):
-            unseen, inv = np.unique(key[miss], return_inverse=True)
-            logp[miss] = np.log2(np.stack([self._prob(t, 3, unseen.astype(np.int64)) for t in self.tables], 1)).astype(np.float32)[inv]
-        logp[starts[:-1]] = 0  # the leading boundary is given
+        unseen, inv = np.unique(key[miss], return_inverse=True)
         n = np.diff(starts) - 1
         has = np.add.reduceat((low != 0).astype(np.int64), starts[:-1])
-        bits = -np.add.reduceat(logp, starts[:-1], axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None]
-        return np.where(has > 0, n, 0), bits
+        bits = []
+        for lo in range(0, len(self.langs), SCORED):
+            logp = self.logp[0][:, lo : lo + SCORED][at]
+            if len(miss):
+                logp[miss] = np.log2(np.stack([self._prob(t, 3, unseen.astype(np.int64)) for t in self.tables[lo : lo + SCORED]], 1)).astype(np.float32)[inv]
+            logp[starts[:-1]] = 0  # the leading boundary is given
+            bits.append(-np.add.reduceat(logp, starts[:-1], axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None])
+        return np.where(has > 0, n, 0), np.concatenate(bits, 1)
 
 
 def _gram_counts(model_symbols, frequent):
@@ -185,13 +189,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for by in (["lang", "split"], ["lang"]):  # a language may hold most rows: its first ones are found in parts first
         top = Window.partitionBy(*by).orderBy("h", "rk")
         keys = keys.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_docs)
-    picked = keys.groupBy("lang").agg(F.collect_list("rk").alias("rks")).orderBy(F.desc(F.size("rks")), "lang").limit(MAX_LANGS).collect()
+    keys = materialise(keys.select("lang", "rk", "r"), "sample")
+    share = max(1, min(max_docs, MAX_SAMPLE // max(1, keys.select("lang").distinct().count())))
+    picked = keys.filter(F.col("r") <= share).groupBy("lang").agg(F.collect_set("rk").alias("rks")).orderBy("lang").collect()
     langs = sorted(r["lang"] for r in picked)
     if not langs:
         return None
-    rows = [(langs.index(r["lang"]), rk) for r in picked for rk in r["rks"]]  # max_docs * MAX_LANGS pairs at most
-    chosen = docs.sparkSession.createDataFrame(rows, "lang int, rk long").dropDuplicates()
-    sample = known.select("rk", "text").join(F.broadcast(chosen), "rk").select("lang", "text", (F.pmod("rk", F.lit(5)) == 0).alias("calibrate"))
+    number = {g: k for k, g in enumerate(langs)}
+    # MAX_SAMPLE rows at most, or one a language; what has no document but those for calibration learns from them
+    rows = [(number[r["lang"]], rk, rk % 5 == 0 and any(x % 5 for x in r["rks"])) for r in picked for rk in r["rks"]]
+    chosen = docs.sparkSession.createDataFrame(rows, "lang int, rk long, calibrate boolean")
+    sample = known.select("rk", "text").join(F.broadcast(chosen), "rk").select(chosen["lang"], "text", "calibrate")
     fit = sample.filter("NOT calibrate").select("lang", "text")
     counts = fit.mapInArrow(_letter_counts, "letter long, n long").filter("letter > 0").groupBy("letter").agg(F.sum("n").alias("n"))
     frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "letter").limit(N_FREQUENT).collect()] or [1], np.int64)).astype(np.uint32)
@@ -199,22 +207,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     lang, key, n = (grams.column(k).to_numpy() for k in range(3))
     order = np.lexsort((key, lang))
     lang, key, n = lang[order], key[order], n[order].astype(np.float64)
-    own = [k for k in range(len(langs)) if (lang == k).any()]
+    cut = np.searchsorted(lang, np.arange(len(langs) + 1))
+    own = [k for k in range(len(langs)) if cut[k] < cut[k + 1]]
     if not own:
         return None
-    model = Model([langs[k] for k in own], frequent, [(key[lang == k], n[lang == k]) for k in own])
+    model = Model([langs[k] for k in own], frequent, [(key[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for k in own])
+    place = {k: i for i, k in enumerate(own)}
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             who = b.column(0).cast(pa.int32()).to_numpy()
             for i, j, buf, offs in K.slices(b.column(1)):
                 chars, bits = model.score(buf, offs)
-                ok = np.array([w in own for w in who[i:j]]) & (chars >= 20)
-                yield pa.RecordBatch.from_arrays([pa.array(who[i:j][ok]), pa.array(bits[np.flatnonzero(ok), [own.index(w) for w in who[i:j][ok]]])], names=["lang", "bits"])
+                ok = np.array([w in place for w in who[i:j]]) & (chars >= 20)
+                yield pa.RecordBatch.from_arrays([pa.array(who[i:j][ok]), pa.array(bits[np.flatnonzero(ok), [place[w] for w in who[i:j][ok]]])], names=["lang", "bits"])
 
     seen = sample.filter("calibrate").select("lang", "text").mapInArrow(entropies, "lang int, bits double").groupBy("lang").agg(F.percentile("bits", F.lit(1 - REJECT_SHARE)).alias("q"))
     for r in seen.collect():
-        model.limit[own.index(r["lang"])] = r["q"] * 1.05
+        model.limit[place[r["lang"]]] = r["q"] * 1.05
     return model
 
 

@@ -258,6 +258,23 @@ def test_op7_learns_and_handles_odd_texts(spark):
     assert {r["lang_pred"] for r in op7_language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_op7_learns_every_language(spark, monkeypatch):
+    rnd = random.Random(4)
+    langs = [f"l{k:02}" for k in range(70)]
+    words = {g: ["".join(chr(0x4E00 + 40 * k + rnd.randrange(40)) for _ in range(4)) for _ in range(30)] for k, g in enumerate(langs)}
+    rows = [(i, " ".join(rnd.choice(words[langs[i % 70]]) for _ in range(30)), langs[i % 70]) for i in range(70 * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert op7_language_id.train(df).langs == langs
+    monkeypatch.setattr(op7_language_id, "MAX_SAMPLE", 140)
+    model = op7_language_id.train(df)
+    assert model.langs == langs
+    want = {i: g for i, _, g in rows}
+    got = op7_language_id.predict(df, model).collect()
+    assert len(got) == len(rows) and sum(r["lang_pred"] == want[r["doc_id"]] for r in got) > 0.9 * len(rows)
+    few = spark.createDataFrame([(k, f"{'abcdefgh'[k % 8]} text number", f"one{k}") for k in range(40)], df.schema)
+    assert set(op7_language_id.train(few).langs) == {r["lang"] for r in few.filter(~op7_language_id.held_out()).collect()}
+
+
 def test_op7_probabilities_sum_to_one():
     keys, n = np.unique(np.random.default_rng(1).integers(0, 4, 500) << 24 | np.random.default_rng(2).integers(0, 4, 500) << 16 | np.random.default_rng(3).integers(0, 4, 500) << 8 | np.random.default_rng(4).integers(0, 4, 500), return_counts=True)
     m = op7_language_id.Model(["a"], np.array([97], np.uint32), [(keys, n.astype(float))])
