@@ -42,7 +42,7 @@ _TITLE = "|".join(t for g in TITLES.values() for t in g)
 #: Alternatives in order of preference, each with the type it stands for.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,31}[0-9])[A-Fa-f0-9]{32,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,31}[0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])",
     "phone": r"(?<![0-9])(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",

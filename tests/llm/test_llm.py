@@ -184,6 +184,15 @@ def test_op4_surrogates(spark):
     assert len(set(ips)) == 2 and ips[0] in new
 
 
+@pytest.mark.parametrize("digits", [128, 129, 512])
+def test_op4_long_secrets(spark, digits):
+    secret = "".join(random.Random(digits).choices("0123456789abcdef", k=digits))
+    got = op4_surrogates.replace_entities(frame(spark, [(1, f"key {secret} end"), (2, f"no key x{secret}")])).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert secret not in by[1]["text"] and re.fullmatch(f"key [0-9a-f]{{{digits}}} end", by[1]["text"]) and by[1]["kinds"] == {"secret": 1}
+    assert by[2]["text"] == f"no key x{secret}"
+
+
 def test_op4_surrogates_stay_distinct(spark):
     rows = [("ip", f"1.1.{i // 200}.{i % 200}") for i in range(500)] + [("ssn", f"{i:09d}") for i in range(500)]
     got = op4_surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
