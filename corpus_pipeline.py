@@ -13,6 +13,8 @@ from nightgrid.llm import op2_line_dedup, op3_jaccard_join, op5_decontamination,
 from nightgrid.llm.shared import materialise, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates of the stage; the op3 query has its own contract.
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    found = op3_jaccard_join.jaccard_components(docs)
+    found = op3_jaccard_join.jaccard_components(docs, shingle_words=SHINGLE_WORDS, percent=PERCENT)
     gone = found.filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -83,3 +83,22 @@ def test_stages(spark, folder):
     assert set(mixed) <= set(clean) and len(mixed) > 0.5 * len(clean) and all(r["copies"] >= 1 for r in mixed.values())
     whole = rows_of(corpus_pipeline.run(spark, d))
     assert {i: r["copies"] for i, r in whole.items()} == {i: r["copies"] for i, r in mixed.items()}
+
+
+def linked(a, b):
+    x, y = brute.shingles(a, 5), brute.shingles(b, 5)
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for k in range(20):
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(15 + k)])]
+    first = {2 * k for k in range(20)}
+    want = first | {2 * k + 1 for k in range(20) if not linked(texts[2 * k], texts[2 * k + 1])}
+    assert first < want < set(range(40))
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
