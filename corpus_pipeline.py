@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightgrid.llm import op2_line_dedup, op3_jaccard_join, op5_decontamination, op8_source_mixing, op10_quality_rules
+from nightgrid.llm.repeats import row_key
 from nightgrid.llm.shared import materialise, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,16 +33,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = op3_jaccard_join.jaccard_components(docs, shingle_words=SHINGLE_WORDS, percent=PERCENT)
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows one stays: the one with the smallest id, null ids last. Rows without words stay."""
+    rows = op3_jaccard_join.row_components(docs, shingle_words=SHINGLE_WORDS, percent=PERCENT)
+    rows = rows.groupBy("rk").agg(F.max("comp").alias("comp"), F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = materialise(rows, "row_components")
+    one = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "n")).alias("x"))
+    stay = one.select(F.col("x.rk").alias("_rk"), F.col("x.n").alias("_n")).unionByName(rows.filter("comp IS NULL").select(F.col("rk").alias("_rk"), F.lit(1).cast("long").alias("_n")))
+    kept = docs.withColumn("_rk", row_key("doc_id", "text")).join(stay, "_rk")
+    # rows with equal id and text have one key: one of them stays
+    equal = kept.filter("_n > 1").groupBy("_rk").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return kept.filter("_n = 1").select(*COLUMNS).unionByName(equal)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = op5_decontamination.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold a benchmark item go; each is judged for itself, whatever its id."""
+    keyed = docs.withColumn("_rk", row_key("doc_id", "text"))
+    found = op5_decontamination.contaminated(keyed.select(F.col("_rk").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias("_rk")).distinct(), "_rk", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

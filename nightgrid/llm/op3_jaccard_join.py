@@ -157,6 +157,11 @@ def _linked(percent: int) -> Column:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs``."""
+    return row_components(docs, id_col, text_col, shingle_words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """As ``jaccard_components``, with each row's key ``rk`` and ``comp``, its component whatever the ids (null: no words)."""
     spark = docs.sparkSession
     src = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     info = materialise(src.mapInArrow(_survey(shingle_words), "rk long, doc_id long, n long, g1 long, g2 long, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "info")
@@ -242,8 +247,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     tagged = classes.join(known(labels).withColumnRenamed("rk", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     lows = tagged.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = tagged.join(lows, "comp").select("g1", "g2", "n", "component_id")
-    return info.join(ids, ["g1", "g2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = tagged.join(lows, "comp").select("g1", "g2", "n", "comp", "component_id")
+    return info.join(ids, ["g1", "g2", "n"], "left").select("rk", "doc_id", "comp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

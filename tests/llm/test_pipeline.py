@@ -102,3 +102,23 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     assert first < want < set(range(40))
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(n))
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], cols)
+    pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [(None, a), (None, a + " x"), (4, b), (4, b), (4, b), (7, c), (7, d), (6, d), (None, d), (None, None), (None, None), (8, e)]
+    got = pairs(corpus_pipeline.near_duplicates(spark, frame(rows), ""))
+    assert sum(got[None, t] for t in (a, a + " x")) == 1
+    del got[None, a], got[None, a + " x"]
+    assert got == Counter({(4, b): 1, (7, c): 1, (6, d): 1, (None, None): 2, (8, e): 1})
+
+    item = text(30)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(3, text(60)), (None, text(60))] + [(100 + k, text(60)) for k in range(30)]
+    got = pairs(corpus_pipeline.decontaminate(spark, frame(clean + [(3, text(20) + " " + item), (None, item + " " + text(20))]), str(tmp_path)))
+    assert got == Counter(clean)
