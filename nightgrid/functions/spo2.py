@@ -1,4 +1,4 @@
-"""Oxygen drops, in SQL expressions only: bad runs, segment drops, jagged drops, depth."""
+"""Oxygen drops, in SQL expressions only: bad runs, segment drops, depth. Jagged drops (F33) are not covered."""
 
 from __future__ import annotations
 
