@@ -3,7 +3,8 @@
 The repeated strings of each anchor's segments (see ``repeats``) come from a Burrows-Wheeler transform of
 the segments: intervals are expanded breadth-first by backward extension, which yields the common-prefix
 values in increasing order, and expansion stops at the minimum length. Boundaries that are still open
-then have a common prefix of at least that length.
+then have a common prefix of at least that length. Every repeated byte is found by the transform: equal segments enter it once,
+with how often they occur.
 
 Defined results: null and empty texts have 0 bytes and no span; texts shorter than the length keep all;
 rows with the same id and text count as two documents that repeat each other; a null id stays null;
@@ -12,16 +13,20 @@ columns other than id and text are ignored. The text is taken as UTF-8 bytes, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import cut_spans, repeated_spans
+from .repeats import ANSWER, anchor_runs, answers, cut_spans, repeated_spans
 from .shared import read_table
 
 MIN_BYTES = 200
 ANCHOR_BYTES = 32
-MAX_GROUP = 20_000
+#: Different segments under one anchor before its windows elect longer anchors.
+MAX_GROUP = 2048
 
 
 def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
@@ -84,29 +89,43 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     return is_open
 
 
-def repeated_windows(segs: list[bytes], own: np.ndarray, m: np.ndarray, anchor: np.ndarray, length: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window) of each owned window whose bytes occur twice, a piece counting ``m`` times."""
+def repeated_windows(segs: list[bytes], own: np.ndarray, m: np.ndarray, length: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, window) of each owned window whose bytes occur twice, a piece counting ``m`` times; sorted."""
     # UTF-8 has no byte 255: one more than each byte leaves 0 for the end mark, the smallest symbol
     text = np.append(np.frombuffer(b"".join(segs), np.uint8) + np.uint8(1), np.uint8(0))
     offs = np.concatenate([[0], np.cumsum([len(s) for s in segs])])
     order = sorted_rotations(text, length)
     group = np.cumsum(~open_boundaries(text, order, length))[1:]  # without the end mark, which is first
     order = order[1:]
-    piece = np.searchsorted(offs, order, "right") - 1
-    window = order - offs[piece]
-    mine = window < own[piece]
+    of = np.repeat(np.arange(len(segs)), np.diff(offs))
+    piece = of[order]
+    mine = order - offs[piece] < own[piece]
     total = np.bincount(group[mine], weights=m[piece[mine]], minlength=int(group[-1]) + 1)
-    hit = mine & (total[group] >= 2)
-    return piece[hit], window[hit]
+    hit = np.zeros(len(text), bool)
+    hit[order[mine & (total[group] >= 2)]] = True
+    at = np.flatnonzero(hit)
+    return of[at], at - offs[of[at]]
+
+
+def _locate(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in anchor_runs(batches, 4):
+            piece, window = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows]), length)
+            if len(piece):
+                cut = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)))
+                last = np.append(cut[1:], len(piece)) - 1
+                yield answers(rows, piece[cut], window[cut], window[last] + length)
+
+    return run
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, anchor_bytes: int = ANCHOR_BYTES, max_group: int = MAX_GROUP) -> DataFrame:
     """One row per document: id, ``n_units`` (bytes), removed ``spans`` and ``kept`` bytes."""
 
-    def kernel(segs, own, m, anchor):
-        return repeated_windows(segs, own, m, anchor, min_bytes)
+    def locate(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition("a").sortWithinPartitions("a").mapInArrow(_locate(min_bytes), ANSWER)
 
-    spans = repeated_spans(docs, id_col, text_col, "byte", min_bytes, min(anchor_bytes, max(1, min_bytes // 2)), kernel, max_group)
+    spans = repeated_spans(docs, id_col, text_col, "byte", min_bytes, min(anchor_bytes, max(1, min_bytes // 2)), locate, max_group)
     return cut_spans(docs, spans, id_col, text_col, "byte")
 
 

@@ -6,12 +6,14 @@ window meet under their anchor, and only about 2 in ``length - k`` positions mak
 anchor form a *segment*. Then
 
 1. anchors seen once are dropped (counted with map-side combining);
-2. a segment whose digest occurs twice under its anchor is repeated as a whole;
-3. anchors under which *different* segments meet go, one row per distinct segment with its multiplicity,
-   to a kernel that works out the repeated windows on the text itself (a Burrows-Wheeler transform
-   for bytes, Aho-Corasick automata for words);
-4. anchors with more than ``max_group`` distinct segments are split by window instead: each of their windows
-   becomes a row keyed by its own 128-bit hash and is counted, so no group has to fit in one task.
+2. equal segments collapse to one *piece* with a multiplicity;
+3. the caller finds the repeated stretches of each piece from the text of all pieces under its anchor (a Burrows-Wheeler
+   transform for bytes, Aho-Corasick automata for words);
+4. what was found for a piece holds for all segments that are equal to it.
+
+An anchor with more than ``max_group`` different segments is too common for one group: its windows elect longer k-grams, half
+way to the window's length first and the window itself last, where a group has one piece. So no group grows with the corpus,
+and all text goes through the same method.
 
 Rows are told apart by a 64-bit hash of id and text, so null or repeated ids are fine.
 """
@@ -29,7 +31,9 @@ from . import kernels as K
 from .shared import materialise
 
 SEGMENT = "a long, d long, rk long, pos int, own int, reps int"
-PIECE = "a long, m long, rk long, pos int, own int, seg binary, w1 long, w2 long"
+PIECE = "a long, d long, m long, own int, seg binary"
+ANSWER = "a long, d long, spans array<struct<s:int,e:int>>"
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _POS_BITS = 31
 #: Bytes of segments that a kernel gets at once: its index arrays then fit in a core's cache.
 CHUNK_BYTES = 1 << 17
@@ -70,49 +74,61 @@ def segments(values: np.ndarray, offs: np.ndarray, length: int, k: int) -> dict[
     return {"row": row[at], "pos": (start - offs[row])[at], "own": own[at], "a": anchor[at], "d": digest[at], "reps": np.diff(np.append(at, len(new)))}
 
 
+def _segment_batch(s: dict[str, np.ndarray], keys: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array(K.signed(s["a"])), pa.array(K.signed(s["d"])), pa.array(keys)] + [pa.array(s[c].astype(np.int32)) for c in ("pos", "own", "reps")]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "d", "rk", "pos", "own", "reps"])
+
+
 def _anchored(unit: str, length: int, k: int) -> Callable:
+    """Texts (rk, text) -> their segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, offs in K.slices(b.column(1)):
                 s = segments(*symbols(buf, offs, unit), length, k)
                 if s:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(K.signed(s["a"])), pa.array(K.signed(s["d"])), pa.array(ids[i:j][s["row"]])] + [pa.array(s[c].astype(np.int32)) for c in ("pos", "own", "reps")],
-                        names=["a", "d", "rk", "pos", "own", "reps"],
-                    )
+                    yield _segment_batch(s, ids[i:j][s["row"]])
+
+    return run
+
+
+def _anchored_again(unit: str, length: int, k: int) -> Callable:
+    """Texts with runs of windows (rk, text, at) -> segments of these windows under longer k-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rk, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                raw = np.frombuffer(text.as_py().encode(), np.uint8)
+                values, _ = symbols(raw, np.array([0, len(raw)]), unit)
+                v = at.values.flatten()
+                start, end = K.merged(v[0].to_numpy().astype(np.int64), v[1].to_numpy().astype(np.int64))
+                size = end - start + length - 1
+                s = segments(values[K.ranges_concat(start, size)], np.concatenate([[0], np.cumsum(size)]), length, k)
+                s["pos"] = s["pos"] + start[s["row"]]
+                yield _segment_batch(s, np.full(len(s["pos"]), rk))
 
     return run
 
 
 def _fetch(unit: str, length: int) -> Callable:
-    """Texts with their wanted segments -> the segments' own text, or hashed windows of split anchors."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    names = ["a", "m", "rk", "pos", "own", "seg", "w1", "w2"]
+    """Texts with their wanted segments -> the segments' own text."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["a", "d", "m", "own", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in names]
             size = 0
-            for rk, text, want in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                raw = (text.as_py() or "").encode()
+            for text, want in zip(b.column(0), b.column(1)):
+                raw = text.as_py().encode()
                 words = raw.split() if unit == "word" else None  # bytes.split() splits at exactly [\x20\x09-\x0D]
-                hashes = None
                 for x in want.as_py():
-                    p, n = x["pos"], x["own"]
-                    if x["hot"]:
-                        if hashes is None:
-                            v, _ = symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), unit)
-                            hashes = [K.signed(K.RollingHash(v, m).windows(length)).tolist() for m in (K.MULT_A, K.MULT_B)]
-                        for w in range(p, p + n):
-                            for c, y in zip(out, (x["a"], x["m"], rk, w, 1, None, hashes[0][w], hashes[1][w])):
-                                c.append(y)
-                        size += 64 * n
-                    else:
-                        seg = raw[p : p + n + length - 1] if words is None else b" ".join(words[p : p + n + length - 1])
-                        for c, y in zip(out, (x["a"], x["m"], rk, p, n, seg, None, None)):
-                            c.append(y)
-                        size += len(seg) + 64
+                    p, end = x["pos"], x["pos"] + x["own"] + length - 1
+                    seg = raw[p:end] if words is None else b" ".join(words[p:end])
+                    for c, y in zip(out, (x["a"], x["d"], x["m"], x["own"], seg)):
+                        c.append(y)
+                    size += len(seg) + 64
                 if size > K.SLICE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
                     out, size = [[] for _ in names], 0
@@ -122,66 +138,58 @@ def _fetch(unit: str, length: int) -> Callable:
     return run
 
 
-def _by_anchor(kernel: Callable, length: int) -> Callable:
-    """Runs of whole anchors, of about CHUNK_BYTES, through ``kernel(segs, own, m)``.
-
-    The kernel returns index arrays (piece, window) of repeated windows; those of pieces that occur once become spans.
-    """
+def anchor_runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column -> runs of whole groups of about CHUNK_BYTES of column ``text``."""
+    rows: list[tuple] = []
+    size = 0
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if size >= CHUNK_BYTES and r[0] != rows[-1][0]:
+                yield rows
+                rows, size = [], 0
+            rows.append(r)
+            size += len(r[text])
+    if rows:
+        yield rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
-
-        def flush():
-            if len(rows) < 2:
-                return None
-            own, m = np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
-            piece, window = kernel([r[5] for r in rows], own, m, np.array([r[0] for r in rows]))
-            keep = m[piece] == 1
-            piece, window = piece[keep], window[keep]
-            if not len(piece):
-                return None
-            rk, pos = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-            s = pos[piece] + window
-            return pa.RecordBatch.from_arrays([pa.array(rk[piece]), pa.array(s.astype(np.int32)), pa.array((s + length).astype(np.int32))], names=["rk", "s", "e"])
 
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if size >= CHUNK_BYTES and r[0] != rows[-1][0]:
-                    if (x := flush()) is not None:
-                        yield x
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[5])
-        if (x := flush()) is not None:
-            yield x
+def answers(rows: list[tuple], piece: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The found stretches (row of ``rows``, start, end; sorted by row) as one record for each row that has any."""
+    at = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    own = piece[at]
+    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(SPANS.value_type))
+    offs = pa.array(np.append(at, len(piece)).astype(np.int32))
+    ids = [pa.array([rows[i][c] for i in own.tolist()], pa.int64()) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([*ids, pa.ListArray.from_arrays(offs, spans)], names=["a", "d", "spans"])
 
-    return run
 
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int, k: int, locate: Callable[[DataFrame], DataFrame], max_group: int) -> DataFrame:
+    """``rk, spans array<struct<s,e>>`` of each text with repeated windows (symbol positions, not yet merged).
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int, k: int, kernel: Callable, max_group: int) -> DataFrame:
-    """``rk, spans array<struct<s,e>>`` of each text with repeated windows (symbol positions, not yet merged)."""
-    src = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    segs = src.filter(F.col("text").isNotNull()).mapInArrow(_anchored(unit, length, k), SEGMENT)
-    seen = segs.groupBy("a").agg(F.sum("reps").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("n >= 2")
-    members = materialise(segs.join(seen.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "a"), "members")
-    whole = lambda df: df.select("rk", F.col("pos").alias("s"), F.expr(f"pos + own * reps + {length - 1}").alias("e"))
-
-    mixed = members.filter("mixed")
-    distinct = mixed.groupBy("a", "d").agg(F.sum("reps").cast("long").alias("m"), F.min_by(F.struct("rk", "pos", "own"), F.struct("rk", "pos")).alias("x"))
-    hot = distinct.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > max_group).select("a", F.lit(True).alias("hot"))
-    wanted = distinct.join(hot, "a", "left").select("x.rk", F.struct("a", "m", "x.pos", "x.own", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
-    wanted = wanted.groupBy("rk").agg(F.collect_list("w").alias("want"))
-    pieces = materialise(src.join(wanted, "rk").select("rk", "text", "want").mapInArrow(_fetch(unit, length), PIECE), "pieces")
-
-    cold = pieces.filter("seg IS NOT NULL").repartition("a").sortWithinPartitions("a").mapInArrow(_by_anchor(kernel, length), "rk long, s int, e int")
-    windows = pieces.filter("seg IS NULL")
-    again = windows.groupBy("a", "w1", "w2").agg(F.sum("m").alias("n")).filter("n >= 2").drop("n")
-    split = windows.filter("m = 1").join(again, ["a", "w1", "w2"]).select("rk", F.col("pos").alias("s"), (F.col("pos") + length).alias("e"))
-
-    copies = mixed.join(distinct.filter("m >= 2").select("a", "d"), ["a", "d"])
-    spans = whole(members.filter("NOT mixed")).unionByName(whole(copies)).unionByName(cold).unionByName(split)
-    return spans.groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    ``locate`` gets PIECE rows and gives ANSWER rows: the repeated stretches of a piece, in symbols from its start.
+    """
+    src = docs.filter(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    segs, spans = src.mapInArrow(_anchored(unit, length, k), SEGMENT), None
+    while True:
+        seen = segs.groupBy("a").agg(F.sum("reps").alias("n")).filter("n >= 2").select("a")
+        members = materialise(segs.join(seen, "a"), "members")
+        distinct = members.groupBy("a", "d").agg(F.sum("reps").cast("long").alias("m"), F.min_by(F.struct("rk", "pos", "own"), F.struct("rk", "pos")).alias("x"))
+        distinct = materialise(distinct.select("a", "d", "m", "x.*"), "distinct")
+        common = None
+        if k < length:
+            common = materialise(distinct.groupBy("a").count().filter(F.col("count") > max_group).select("a"), "common")
+        cold = distinct if common is None else distinct.join(common, "a", "left_anti")
+        wanted = cold.groupBy("rk").agg(F.collect_list(F.struct("a", "d", "m", "pos", "own")).alias("want"))
+        # rows with equal id and text have one key: one of them shows the text
+        pieces = src.join(wanted, "rk").dropDuplicates(["rk"]).select("text", "want").mapInArrow(_fetch(unit, length), PIECE)
+        found = members.join(locate(pieces), ["a", "d"]).select("rk", "pos", F.expr("own * (reps - 1)").alias("more"), F.explode("spans").alias("x"))
+        found = found.select("rk", F.expr("pos + x.s").alias("s"), F.expr("pos + more + x.e").alias("e"))
+        spans = found if spans is None else spans.unionByName(found)
+        if common is None or common.isEmpty():
+            return spans.groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        k = min(length, max(k + 1, (k + length) // 2)) if length - k > 4 else length
+        runs = members.join(common, "a").groupBy("rk").agg(F.collect_list(F.struct(F.col("pos").alias("s"), F.expr("pos + own * reps").alias("e"))).alias("at"))
+        segs = src.join(runs, "rk").select("rk", "text", "at").mapInArrow(_anchored_again(unit, length, k), SEGMENT)
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:

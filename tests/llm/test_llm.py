@@ -73,6 +73,18 @@ def test_op6_against_brute_force(spark, texts, max_group):
     check(out.select("doc_id", "n_units", removed, F.sha2("kept", 256)).collect(), brute.op6(texts))
 
 
+def test_op6_occurrences_come_from_the_automaton():
+    rnd = random.Random(11)
+    p, q = prose(50, rnd), prose(35, rnd)
+    segs = [s.encode() for s in (prose(9, rnd) + " " + p + " " + q, p + " " + prose(5, rnd), q + " x", q)]
+    own, m = np.array([len(s.split()) - 34 for s in segs]), np.ones(4, int)
+    passages = [t for _, t in op6_phrase_automata.recurring_passages(segs, own, m, 35)]
+    assert sorted(passages) == sorted([p.encode(), q.encode()])
+    spans = lambda known: [op6_phrase_automata.Shard(known).occurrences(s) for s in segs]
+    assert spans(passages) == [sorted([(9, 59), (59, 94)]), [(0, 50)], [(0, 35)], [(0, 35)]]
+    assert spans([q.encode()]) == [[(59, 94)], [], [(0, 35)], [(0, 35)]] and spans([]) == [[]] * 4
+
+
 def test_op1_and_op6_on_nothing(spark):
     empty = frame(spark, [])
     assert op1_suffix_array.remove_repeated_bytes(empty).count() == 0 and op6_phrase_automata.remove_recurring_passages(empty).count() == 0
