@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .repeats import ANSWER, anchor_runs, answers, cut_spans, repeated_spans
 from .shared import read_table
 
@@ -64,28 +65,46 @@ def open_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     """True where a suffix shares ``length`` bytes or more with the one before it in ``order``.
 
     Works on the transform only: ``src[j]`` is the row whose backward step leads to row ``j``. Level l closes the
-    boundaries whose common prefix is exactly l: those between intervals that were apart one level before.
+    boundaries whose common prefix is exactly l: those between intervals that were apart one level before. While many close,
+    all open ones are looked at; later only what the boundaries closed last lead to.
     """
+    n = len(text)
     bwt = text[order - 1]
     src = np.argsort(bwt, kind="stable").astype(np.int32)  # rows by preceding byte, in row order: the backward step's inverse
     first = bwt[src]
-    is_open = np.ones(len(text), bool)
-    is_open[0] = False
-    fresh = np.append(True, first[1:] != first[:-1])  # common prefix 0: the first byte differs
-    active = np.flatnonzero(is_open & ~fresh)
-    is_open &= ~fresh
+    is_open = np.append(False, first[1:] == first[:-1])  # common prefix 0: the first byte differs
+    active = np.flatnonzero(is_open)
     lo, hi = src[active - 1], src[active]
-    before = 0
-    for _ in range(1, length):
+    level, last = 1, np.flatnonzero(~is_open)
+    while level < length and 32 * len(last) > n:
         closed = np.cumsum(~is_open, dtype=np.int32)
-        if closed[-1] == before:
-            break  # no interval was split at the last level: none will be
-        before = closed[-1]
-        apart = np.flatnonzero(closed[hi] != closed[lo])
-        is_open[active[apart]] = False
-        if 8 * len(apart) > len(active):
+        last = active[closed[hi] != closed[lo]]
+        is_open[last] = False
+        stay = is_open[active]
+        active, lo, hi = active[stay], lo[stay], hi[stay]
+        level += 1
+    # which open boundaries a row closes: those whose two source rows it lies between; far ones are searched for
+    far = hi - lo > 64
+    width = np.where(far, 0, hi - lo)
+    rows = K.ranges_concat(lo + 1, width)
+    by = np.argsort(rows, kind="stable")
+    leads = np.repeat(active, width)[by]
+    at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    active, lo, hi = active[far], lo[far], hi[far]
+    stamp = np.empty(n, np.int32)
+    while level < length and len(last):
+        found = leads[K.ranges_concat(at[last], at[last + 1] - at[last])]
+        if len(active):
+            last = np.sort(last)
+            found = np.append(found, active[np.searchsorted(last, hi, "right") > np.searchsorted(last, lo, "right")])
+        found = found[is_open[found]]
+        stamp[found] = np.arange(len(found))
+        last = found[stamp[found] == np.arange(len(found))]
+        is_open[last] = False
+        if level % 8 == 0 and len(active):
             stay = is_open[active]
             active, lo, hi = active[stay], lo[stay], hi[stay]
+        level += 1
     return is_open
 
 
