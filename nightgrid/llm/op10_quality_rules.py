@@ -7,7 +7,9 @@ CASE expression that runs inside the scan.
 
 Defined results: null and empty texts have 0 words and fail the base rule; a null id stays null; label rows that are null or
 contradict one another count as they are, rows without a document are ignored; without labels the list is empty and the
-base rule decides alone; other columns pass through unchanged.
+base rule decides alone; equal values on both sides of a threshold go one way, and of rules with equal gain the first in the order of FEATURES
+is taken; a very long text is one row of arrays as long as its words; other columns pass through unchanged, but for
+input columns whose names start with ``_qr_``, which are dropped.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ FEATURES = {
     "repeat_share": "n_repeat_words / n_words",
 }
 _WS = r"[\\x20\\x09-\\x0D]+"
-_P = "_qr_"  # names no input column is likely to have; checked all the same
+#: Names that start so are this operator's own.
+_P = "_qr_"
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and a struct ``_qr_stats`` of STATS (all long)."""
-    cols = docs.columns
+    cols = [x for x in docs.columns if not x.startswith(_P)]
     c = lambda *more: [F.col(f"`{x}`") for x in cols] + list(more)
     e = F.expr
     df = docs.select(*c(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(_P + "t")))
@@ -177,15 +180,19 @@ def base_failed(stats: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> list[Rule]:
     """Rules from at most ``max_train`` labelled documents (label 0: bad)."""
     key = F.xxhash64(F.col(id_col), F.lit(SEED))
-    picked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_qr_id"), (F.col(label_col) == 0).alias("_qr_bad"), key.alias("_qr_key"))
+    picked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 0).alias("bad"), key.alias("key"))
     n = picked.count()
-    if n > 4 * max_train:  # only keys that can be among the smallest go to the sort: twice as many as wanted on average
-        picked = picked.filter(F.col("_qr_key") <= int(-(1 << 63) + (1 << 64) * (2 * max_train / n)))
-    picked = picked.orderBy("_qr_key", "_qr_id", "_qr_bad").limit(max_train)
-    own = docs.select(F.col(id_col).alias("_qr_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_qr_id")  # max_train rows at most
+    share, every = 2.0 * max_train, picked  # only keys that can be among the smallest go to the sort: twice as many as wanted at first
+    while share < n:
+        picked = every.filter(F.col("key") <= int(-(1 << 63) + (1 << 64) * (share / n)))
+        if picked.count() >= max_train:
+            break
+        share, picked = 4 * share, every  # few ids hold most labels
+    picked = picked.orderBy("key", "id", "bad").limit(max_train)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # max_train rows at most
     f = _features("_qr_stats")
-    seen = with_statistics(own).filter(~base_failed("_qr_stats")).select(F.array(*f.values()).alias("x"), "_qr_bad", (F.pmod("_qr_key", F.lit(3)) > 0).alias("grow"))
-    rows = seen.orderBy("x", "_qr_bad", "grow").limit(max_train).collect()
+    seen = with_statistics(own).filter(~base_failed("_qr_stats")).select(F.array(*f.values()).alias("x"), "bad", (F.pmod("key", F.lit(3)) > 0).alias("grow"), "key", F.xxhash64("text").alias("h"))
+    rows = seen.orderBy("key", "h", "bad").limit(max_train).collect()  # more only where document ids repeat
     return learn_list([(r[0], r[1], r[2]) for r in rows], list(f))
 
 
