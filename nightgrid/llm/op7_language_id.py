@@ -5,10 +5,11 @@ smallest keyed hash; fewer where the languages are so many that ``MAX_SAMPLE`` i
 the lowest cross-entropy per character wins. Rejection is calibrated: a prediction is marked ``rejected`` if its cross-entropy is above what
 all but ``REJECT_SHARE`` of the language's own calibration documents (a fifth of the sample, not trained on) have.
 
-Letters are lower-cased and numbered by frequency; anything that is not a letter is one boundary symbol, however long the run.
+Letters are lower-cased and numbered by frequency (all but the rarest of some 4,000 have a number of their own, so scripts with many
+letters keep them); anything that is not a letter is one boundary symbol, however long the run.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled document every text is; ids may
-be null or repeat; language, source and id are never inputs of a prediction; other columns are ignored.
+be null or repeat; of languages with equal cross-entropy the first by name wins; a text of any length is scored whole; language, source and id are never inputs of a prediction; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ MAX_DOCS = 1500
 MAX_SAMPLE = 64 * MAX_DOCS
 #: Languages that are scored at once.
 SCORED = 64
-#: Parts in which a language's sample is looked for.
-SPLITS = 64
 REJECT_SHARE = 0.002
 #: Characters that count at most towards the score's sharpness.
 SHARP_CHARS = 60
-N_FREQUENT, N_SYMBOLS = 223, 256
+#: Bits of a letter's number in an n-gram key, letters with a number of their own, all numbers.
+BITS, N_FREQUENT, N_SYMBOLS = 12, 3967, 4096
 SEED = 7
 
 
@@ -79,7 +79,7 @@ class Model:
         for order in range(3, -1, -1):
             keys = np.unique(np.concatenate([t[order][0] for t in tables]))
             p = np.stack([self._prob(t, order, keys) for t in tables], 1)
-            self.keys.append(keys.astype(np.uint32))
+            self.keys.append(keys)
             self.logp.append(np.log2(p).astype(np.float32))
         self.tables = tables
         self.limit = np.full(len(langs), np.inf)
@@ -89,32 +89,32 @@ class Model:
         """Per order 0-3: n-gram keys, discounted shares, and contexts with their back-off weights."""
         out = []
         for order in range(3, -1, -1):
-            context = keys >> 8
+            context = keys >> BITS
             n1, n2 = (n == 1).sum(), (n == 2).sum()
             d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             ctx, inv = np.unique(context, return_inverse=True)
             total = np.bincount(inv, weights=n)
             kinds = np.bincount(inv)
             out.append((keys, np.maximum(n - d, 0) / total[inv], ctx, d * kinds / total))
-            keys, n = np.unique(keys & ((1 << (8 * order)) - 1), return_counts=True)  # in how many contexts it goes on
+            keys, n = np.unique(keys & ((1 << (BITS * order)) - 1), return_counts=True)  # in how many contexts it goes on
         return out[::-1]
 
     @classmethod
     def _prob(cls, t, order: int, keys: np.ndarray) -> np.ndarray:
         """Interpolated probability of each key's last symbol after its context."""
-        low = cls._prob(t, order - 1, keys & ((1 << (8 * order)) - 1)) if order else np.full(len(keys), 1 / N_SYMBOLS)
+        low = cls._prob(t, order - 1, keys & ((1 << (BITS * order)) - 1)) if order else np.full(len(keys), 1 / N_SYMBOLS)
         own, share, ctx, back = t[order]
 
         def find(table, values, x, missing):
             at = np.minimum(np.searchsorted(table, x), len(table) - 1)
             return np.where(table[at] == x, values[at], missing)
 
-        return find(own, share, keys, 0.0) + find(ctx, back, keys >> 8, 1.0) * low
+        return find(own, share, keys, 0.0) + find(ctx, back, keys >> BITS, 1.0) * low
 
     def symbols(self, low: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.frequent, low), len(self.frequent) - 1)
         rest = N_FREQUENT + 1 + (low >> 7) % (N_SYMBOLS - N_FREQUENT - 1)
-        return np.where(low == 0, 0, np.where(self.frequent[at] == low, at + 1, rest)).astype(np.uint32)
+        return np.where(low == 0, 0, np.where(self.frequent[at] == low, at + 1, rest)).astype(np.int64)
 
     def grams(self, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Four-gram keys that end at each letter; what lies before a text is boundary."""
@@ -125,7 +125,7 @@ class Model:
             shifted = np.zeros_like(s)
             shifted[back:] = s[:-back] if len(s) > back else 0
             shifted[inside < back] = 0
-            key |= shifted << np.uint32(8 * back)
+            key |= shifted << (BITS * back)
         return key
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ class Model:
         for lo in range(0, len(self.langs), SCORED):
             logp = self.logp[0][:, lo : lo + SCORED][at]
             if len(miss):
-                logp[miss] = np.log2(np.stack([self._prob(t, 3, unseen.astype(np.int64)) for t in self.tables[lo : lo + SCORED]], 1)).astype(np.float32)[inv]
+                logp[miss] = np.log2(np.stack([self._prob(t, 3, unseen) for t in self.tables[lo : lo + SCORED]], 1)).astype(np.float32)[inv]
             logp[starts[:-1]] = 0  # the leading boundary is given
             bits.append(-np.add.reduceat(logp, starts[:-1], axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None])
         return np.where(has > 0, n, 0), np.concatenate(bits, 1)
@@ -154,12 +154,12 @@ def _gram_counts(model_symbols, frequent):
             lang = b.column(0).cast(pa.int32()).to_numpy()
             for i, j, buf, offs in K.slices(b.column(1)):
                 low, starts = letters(buf, offs)
-                key = model_symbols(frequent, low, starts).astype(np.int64)
+                key = model_symbols(frequent, low, starts)
                 first = np.zeros(len(key), bool)
                 first[starts[:-1]] = True
-                code = (np.repeat(lang[i:j], np.diff(starts)).astype(np.int64) << 32 | key)[~first]
+                code = (np.repeat(lang[i:j], np.diff(starts)).astype(np.int64) << (4 * BITS) | key)[~first]
                 u, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((u >> 32).astype(np.int32)), pa.array(u & 0xFFFFFFFF), pa.array(n)], names=["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((u >> (4 * BITS)).astype(np.int32)), pa.array(u & ((1 << (4 * BITS)) - 1)), pa.array(n)], names=["lang", "key", "n"])
 
     return run
 
@@ -184,22 +184,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model | None:
     """Models from documents that are not held out and have a language and a text."""
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
-    keys = known.select("lang", "h", "rk", F.pmod("h", F.lit(SPLITS)).alias("split"))
-    for by in (["lang", "split"], ["lang"]):  # a language may hold most rows: its first ones are found in parts first
-        top = Window.partitionBy(*by).orderBy("h", "rk")
-        keys = keys.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_docs)
-    keys = materialise(keys.select("lang", "rk", "r"), "sample")
-    share = max(1, min(max_docs, MAX_SAMPLE // max(1, keys.select("lang").distinct().count())))
-    picked = keys.filter(F.col("r") <= share).groupBy("lang").agg(F.collect_set("rk").alias("rks")).orderBy("lang").collect()
-    langs = sorted(r["lang"] for r in picked)
-    if not langs:
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    held = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())  # one row a language
+    if not held:
         return None
-    number = {g: k for k, g in enumerate(langs)}
-    # MAX_SAMPLE rows at most, or one a language; what has no document but those for calibration learns from them
-    rows = [(number[r["lang"]], rk, rk % 5 == 0 and any(x % 5 for x in r["rks"])) for r in picked for rk in r["rks"]]
-    chosen = docs.sparkSession.createDataFrame(rows, "lang int, rk long, calibrate boolean")
-    sample = known.select("rk", "text").join(F.broadcast(chosen), "rk").select(chosen["lang"], "text", "calibrate")
+    langs = [g for g, _ in held]
+    share = max(1, min(max_docs, MAX_SAMPLE // len(langs)))
+    # hashes up to a bound by the language's size: twice as many rows as wanted and some, whatever the language holds
+    bound = lambda n: (1 << 63) - 1 if n <= 2 * share + 64 else int(-(1 << 63) + (1 << 64) * ((2 * share + 64) / n))
+    tops = docs.sparkSession.createDataFrame([(g, k, bound(n)) for k, (g, n) in enumerate(held)], "lang string, number int, top long")
+    near = known.join(tops, "lang").filter("h <= top").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    # every fifth is for calibration; a language's first one never is
+    sample = materialise(near.filter(F.col("r") <= share).select(F.col("number").alias("lang"), "text", (F.col("r") % 5 == 0).alias("calibrate")), "sample")
     fit = sample.filter("NOT calibrate").select("lang", "text")
     counts = fit.mapInArrow(_letter_counts, "letter long, n long").filter("letter > 0").groupBy("letter").agg(F.sum("n").alias("n"))
     frequent = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "letter").limit(N_FREQUENT).collect()] or [1], np.int64)).astype(np.uint32)
