@@ -8,11 +8,13 @@
 4. A candidate's region must share a longest common subsequence of ``MIN_LCS`` of the item's words within a bounded stretch, and the
    item's answer (its last words) must be there as well, unless nearly all of the item is.
 
-Items are taken in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words (a longer item is a block of its own), so what reaches the
-driver and the tasks is bounded whatever the benchmark's size.
+A benchmark of up to ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` different words is one block: three passes over the documents whatever its
+size, with items listed by word, so a passage only meets items that it shares enough words with. A larger one is cut into such blocks, so what
+reaches the driver and the tasks is bounded.
 
-Defined results: null or word-less texts match nothing; null or word-less items are ignored; ids may be null or repeat: each row of
-``docs`` is judged for itself, equal item ids are told apart by their text only; other columns are ignored.
+Defined results: null or word-less texts match nothing; null or word-less items are ignored; ids may be of any type, null or repeat: each row of
+``docs`` is judged for itself, and so is each item; of stretches with equal shares the first counts; a text of any length is read whole, passage by
+passage; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from .shared import read_table
@@ -37,8 +40,8 @@ MIN_HITS = 3
 MIN_LCS = 0.6
 SURE_LCS = 0.8
 MIN_ANSWER = 0.5
-BLOCK_ITEMS = 512
-BLOCK_WORDS = 1 << 15
+BLOCK_ITEMS = 1 << 14
+BLOCK_WORDS = 1 << 17
 
 
 def half_windows(buf: np.ndarray, offs: np.ndarray):
@@ -177,11 +180,13 @@ def pieces(n: int) -> list[tuple[int, int]]:
     return [(0, n)] + (list(zip(cuts[:-1], cuts[1:])) if count > 1 else [])
 
 
-def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries: np.ndarray, items: list[Item], ids: list[int], holds: np.ndarray, owner: np.ndarray):
-    """``owner``: the item of each query."""
-    need = np.maximum(np.minimum(MIN_HITS, holds.sum(1)), np.ceil(MIN_SHARED * holds.sum(1))).astype(np.int64)
-    least = min(MIN_HITS, need[need > 0].min(initial=MIN_HITS))
-    names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
+def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries: np.ndarray, items: list[Item], ids: pa.Array, lists: tuple[np.ndarray, np.ndarray], owner: np.ndarray, names: list[str]):
+    """``lists``: for each word the queries that hold it (ends, queries); ``owner``: the item of each query."""
+    ends, of = lists
+    held = np.bincount(of, minlength=len(queries))
+    need = np.maximum(np.minimum(MIN_HITS, held), np.ceil(MIN_SHARED * held)).astype(np.int64)
+    width = np.diff(ends)
+    n_q = len(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = (vectors * weight[:, None]).astype(np.float32)
@@ -195,60 +200,57 @@ def _scorer(vocab: Vocabulary, weight: np.ndarray, vectors: np.ndarray, queries:
                     continue
                 n = len(text)
                 cut = np.searchsorted(of_word[at], np.arange(n + 1))
-                busy = np.flatnonzero(cut[1:] > cut[:-1])
-                sums = np.zeros((n, folded.shape[1]), np.float32)
-                sums[busy] = np.add.reduceat(folded[word], cut[busy])
                 follow = np.append(text[1:] == text[:-1], False)
-                hits = np.diff(cut)
-                pair_hits = hits + np.where(follow, np.append(hits[1:], 0), 0)
-                live = np.flatnonzero(pair_hits >= least)
+                # words that each passage (a half window and the next one) shares with each query
+                half = np.repeat(of_word[at], width[word])
+                code, shared = np.unique(half * n_q + of[K.ranges_concat(ends[word], width[word])], return_counts=True)
+                both = code >= n_q
+                both[both] = follow[code[both] // n_q - 1]
+                code, inv = np.unique(np.concatenate([code, code[both] - n_q]), return_inverse=True)
+                shared = np.bincount(inv, np.concatenate([shared, shared[both]]))
+                code = code[shared >= need[code % n_q]]
+                if not len(code):
+                    continue
+                p, row = np.unique(code // n_q, return_inverse=True)
+                q = code % n_q
+                size = np.diff(cut)[p] + np.where(follow[p], np.diff(cut, append=cut[-1])[p + 1], 0)
+                x = np.add.reduceat(folded[word[K.ranges_concat(cut[p], size)]], np.cumsum(size) - size)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                cosine = np.einsum("ij,ij->i", x[row], queries[q])
                 found: dict[tuple[int, int], float] = {}
                 windows: dict[tuple[int, int], set[int]] = {}
-                for lo in range(0, len(live), 8192):
-                    p = live[lo : lo + 8192]
-                    x = sums[p] + np.where(follow[p][:, None], sums[np.minimum(p + 1, n - 1)], 0)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    c = x @ queries.T
-                    r, q = np.nonzero(c >= MIN_COSINE)
-                    enough = pair_hits[p[r]] >= need[q]
-                    r, q = r[enough], q[enough]
-                    if not len(r):
-                        continue
-                    shared = np.add.reduceat(holds[np.repeat(q, pair_hits[p[r]]), word[K.ranges_concat(cut[p[r]], pair_hits[p[r]])]].astype(np.int64), np.cumsum(pair_hits[p[r]]) - pair_hits[p[r]])
-                    enough = shared >= need[q]
-                    for r, q in zip(r[enough], q[enough]):
-                        key = int(text[p[r]]), int(owner[q])
-                        found[key] = max(found.get(key, 0.0), float(c[r, q]))
-                        windows.setdefault(key, set()).add(int(start[p[r]]))
+                for r in np.flatnonzero(cosine >= MIN_COSINE).tolist():
+                    key = int(text[p[row[r]]]), int(owner[q[r]])
+                    found[key] = max(found.get(key, 0.0), float(cosine[r]))
+                    windows.setdefault(key, set()).add(int(start[p[row[r]]]))
                 out = []
-                for (t, q), starts in windows.items():
+                for (t, k), starts in windows.items():
                     best = (0.0, 0.0)
-                    item = items[q]
+                    item = items[k]
                     for s in sorted(starts):
                         lo, hi = max(w.first[t], s - item.n), min(w.first[t + 1], s + 2 * HALF + item.n)
                         best = max(best, item.check(h[lo:hi].tolist()))
                         if best[0] == 1:
                             break
                     if best[0] >= SURE_LCS or best[0] >= MIN_LCS and best[1] >= MIN_ANSWER:
-                        out.append((t, ids[q], found[t, q], *best))
+                        out.append((t, k, found[t, k], *best))
                 if out:
                     docs = b.column(0).take(pa.array([i + r[0] for r in out]))
-                    cols = [pa.array([r[k] for r in out], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([docs, *cols], names=names)
+                    yield pa.RecordBatch.from_arrays([docs, ids.take(pa.array([r[1] for r in out])), *(pa.array([r[k] for r in out], pa.float64()) for k in (2, 3, 4))], names=names)
 
     return run
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.lower(text_col).alias("t")).orderBy("i", "t").toLocalIterator()
-    block, words = [], 0
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.lower(text_col).alias("t")).orderBy("i", "t").toLocalIterator()
+    block, words = [], set()
     for row in rows:
-        n = len(row["t"].split())
-        if block and (len(block) == BLOCK_ITEMS or words + n > BLOCK_WORDS):
+        own = set(row["t"].split())
+        if block and (len(block) == BLOCK_ITEMS or len(words | own) > BLOCK_WORDS):
             yield block
-            block, words = [], 0
+            block, words = [], set()
         block.append(row)
-        words += n
+        words |= own
     if block:
         yield block
 
@@ -258,7 +260,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.lower(text_col).alias("text"))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.lower(text_col).alias("text"))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double"
+    names, item_type = [id_col, "item_id", "cosine", "lcs", "answer"], benchmark.schema[item_col].dataType
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {item_type.simpleString()}, cosine double, lcs double, answer double"
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text_col):
         buf, offs = K.flat(pa.array([r[1] for r in block]))
@@ -306,11 +309,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         q = np.stack([(vectors[number[a:b]] * weight[number[a:b], None]).sum(0) for _, a, b in spans])
         q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         items = [Item(h[w.first[i] : w.first[i + 1]].tolist()) for i in full]
-        holds = np.zeros((len(spans), size), bool)
-        for k, (_, a, b) in enumerate(spans):
-            holds[k, number[a:b]] = True
-        holds[:, weight == 0] = False
-        found = rows.mapInArrow(_scorer(vocab, weight, vectors, q, items, [block[i][0] for i in full], holds, np.array([k for k, _, _ in spans])), schema)
+        span = np.repeat(np.arange(len(spans)), [b - a for _, a, b in spans])
+        words = np.concatenate([number[a:b] for _, a, b in spans])
+        code = np.unique(words * len(spans) + span)
+        code = code[weight[code // len(spans)] > 0]
+        lists = np.searchsorted(code // len(spans), np.arange(size + 1)), code % len(spans)
+        ids = pa.array([block[i][0] for i in full], to_arrow_type(item_type))
+        found = rows.mapInArrow(_scorer(vocab, weight, vectors, q, items, ids, lists, np.array([k for k, _, _ in spans]), names), schema)
         out = out.unionByName(found)
     return out
 
