@@ -2,13 +2,15 @@
 
 A conversation is a walk over the automaton's states (the role of the last turn). Each given turn is kept, relabelled, merged into the
 turn before it, or preceded by empty turns; dynamic programming finds the cheapest walk. The cost of a turn depends on its role alone,
-so a stretch of turns is a small matrix in the (min, +) algebra. Long conversations are cut into blocks of turn numbers: block matrices
+so a stretch of turns is a small matrix in the (min, +) algebra. Turns are range-partitioned in their order, so a conversation of any length,
+whatever its turn numbers, spreads over partitions, and are cut into blocks of at most ``BLOCK`` turns of one conversation. Block matrices
 are made in parallel, chained per conversation, and each block is then repaired between its known end states. No task
 needs a whole conversation's texts, and rendered pieces come out turn by turn: their concatenation in order is the conversation.
 
-Defined results: turns are ordered by number, then role, then text (a null number comes first); equal turns repeat and are
-merged or relabelled as the automaton asks; a null or unknown role fits none and is relabelled; a null text is empty; a null
-conversation id is an id like others; other columns are ignored.
+Defined results: turns are ordered by number, then role, then text (a null number, or one that is no number, comes first); equal turns repeat and are
+merged or relabelled as the automaton asks; a null or unknown role fits none and is relabelled; a null text is empty; in a text ``<|`` is
+written ``< |``, so that no text can pass for a turn's mark; a text of any length is one piece; a null
+conversation id is an id like others, and ids may be of any type that has an order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import materialise, read_table
 
@@ -29,7 +33,7 @@ LEGAL = {START: (0, 1), 0: (1,), 1: (2,), 2: (1, 3), 3: (2,)}
 #: States in which a conversation may end.
 FINAL = (1, 2)
 MERGE, RELABEL, INSERT = 2, 3, 5
-#: Turn numbers in a block.
+#: Turns in a block at most.
 BLOCK = 512
 SIZE = 5
 INF = 1 << 40
@@ -110,12 +114,12 @@ def walk(roles: list[int], entry: int, exit_: int | None = None) -> tuple[int, l
     return cost[exit_], states[::-1]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], n_key: int):
-    """(key, rows) of runs of equal keys in sorted batches."""
+def _grouped(batches: Iterator[pa.RecordBatch], n_key: int, limit: int = 1 << 62):
+    """(key, rows) of runs of equal keys in sorted batches, of ``limit`` rows at most."""
     key, rows = None, []
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns)):
-            if rows and r[:n_key] != key:
+            if rows and (r[:n_key] != key or len(rows) == limit):
                 yield key, rows
                 rows = []
             key = r[:n_key]
@@ -135,30 +139,34 @@ def _batches(records: Iterator[tuple], schema: pa.Schema, size: int = 5000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
 
-def _matrices(batches):
-    schema = pa.schema([("conv", pa.int64()), ("none", pa.bool_()), ("block", pa.int64()), ("m", pa.binary())])
+def _cut(conv_type: pa.DataType):
+    """Rows in order -> the same with their block and place; the last row of a block has the block's matrix."""
+    schema = pa.schema([("conv", conv_type), ("block", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("m", pa.binary())])
 
-    def records():
-        for (conv, none, block), rows in _grouped(batches, 3):
+    def records(batches):
+        number = TaskContext.get().partitionId() << 40
+        for (conv,), rows in _grouped(batches, 1, BLOCK):
             m = np.where(np.eye(SIZE, dtype=bool), 0, INF)
             for r in rows:
-                m = np.minimum((m[:, :, None] + STEP[role_number(r[3])][None]).min(1), INF)
-            yield conv, none, block, m.astype(np.int64).tobytes()
+                m = np.minimum((m[:, :, None] + STEP[role_number(r[2])][None]).min(1), INF)
+            for k, r in enumerate(rows):
+                yield conv, number, k, *r[1:4], m.astype(np.int64).tobytes() if k == len(rows) - 1 else None
+            number += 1
 
-    return _batches(records(), schema)
+    return lambda batches: _batches(records(batches), schema)
 
 
 def _chain(batches):
-    """Entry and exit state of each block of a conversation."""
-    schema = pa.schema([("conv", pa.int64()), ("none", pa.bool_()), ("block", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
+    """Entry and exit state of each block of a conversation, from rows (conv, block, matrix) in order."""
+    schema = pa.schema([("block", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 
     def records():
-        for (conv, none), rows in _grouped(batches, 2):
+        for _, rows in _grouped(batches, 1):
             cost = np.full(SIZE, INF, np.int64)
             cost[START] = 0
             back = []
             for r in rows:
-                m = cost[:, None] + np.frombuffer(r[3], np.int64).reshape(SIZE, SIZE)
+                m = cost[:, None] + np.frombuffer(r[2], np.int64).reshape(SIZE, SIZE)
                 back.append(m.argmin(0))
                 cost = np.minimum(m.min(0), INF)
             s = int(np.argmin(cost + END_COST))
@@ -167,7 +175,7 @@ def _chain(batches):
                 ends.append((int(frm[s]), s))
                 s = int(frm[s])
             for k, (r, (a, b)) in enumerate(zip(rows, reversed(ends))):
-                yield conv, none, r[2], a, b, k == 0, k == len(rows) - 1
+                yield r[1], a, b, k == 0, k == len(rows) - 1
 
     return _batches(records(), schema)
 
@@ -176,20 +184,20 @@ def _turn(role: int) -> str:
     return f"<|{ROLES[role]}|>\n"
 
 
-def _repair(batches):
-    names = ["conv", "none", "turn", "role", "new_role", "action", "inserted", "cost", "piece"]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    schema = pa.schema(list(zip(names, types)))
+def _repair(conv_type: pa.DataType):
+    """Rows (block, conv, turn, role, text, entry, exit, first, last) in order -> repaired turns."""
+    names = ["conv", "turn", "role", "new_role", "action", "inserted", "cost", "piece"]
+    schema = pa.schema(list(zip(names, [conv_type, pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string()])))
 
-    def records():
-        for (conv, none, _), rows in _grouped(batches, 3):
-            entry, exit_, first, last = rows[0][6:10]
-            roles = [role_number(r[4]) for r in rows]
+    def records(batches):
+        for _, rows in _grouped(batches, 1):
+            entry, exit_, first, last = rows[0][5:9]
+            roles = [role_number(r[3]) for r in rows]
             _, states = walk(roles, entry, exit_)
             before = entry
             for k, (r, role, q) in enumerate(zip(rows, roles, states)):
                 cost, action, extra = OPTIONS[role][before][q]
-                text = (r[5] or "").replace("<|", "< |")
+                text = (r[4] or "").replace("<|", "< |")
                 start = first and k == 0
                 if action.startswith("merge"):
                     piece = "\n\n" + text
@@ -201,28 +209,27 @@ def _repair(batches):
                     inserted += ["+" + ROLES[x] for x in END_PATH[q]]
                     cost += int(END_COST[q])
                 before = q
-                yield conv, none, r[3], r[4], ROLES[q], action, ",".join(inserted), cost, piece
+                yield r[1], r[2], r[3], ROLES[q], action, ",".join(inserted), cost, piece
 
-    return _batches(records(), schema)
+    return lambda batches: _batches(records(batches), schema)
 
 
 def repair_roles(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: conv_id, turn, role, new_role, action, inserted roles ("+": after the last turn), cost and rendered ``piece``."""
+    conv = turns.schema[conv_col].dataType
+    kind, arrow = conv.simpleString(), to_arrow_type(conv)
     src = turns.select(
-        F.coalesce(F.col(conv_col).cast("long"), F.lit(0)).alias("conv"), F.col(conv_col).isNull().alias("none"),
-        F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(0)) / BLOCK).cast("long").alias("block"),
-        F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h"),
-    )
-    key, order = ["conv", "none", "block"], [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "h"]
-    roles = src.select(*key, "role", "turn", "h").repartition(*key).sortWithinPartitions(*key, *order).select(*key, "role")
-    blocks = roles.mapInArrow(_matrices, "conv long, none boolean, block long, m binary")
-    states = blocks.repartition("conv", "none").sortWithinPartitions(*key).mapInArrow(_chain, "conv long, none boolean, block long, entry int, exit int, first boolean, last boolean")
-    states = materialise(states, "states")
-    full = src.join(states, key).repartition(*key).sortWithinPartitions(*key, *order)
-    out = full.select(*key, "turn", "role", "text", "entry", "exit", "first", "last").mapInArrow(
-        _repair, "conv long, none boolean, turn long, role string, new_role string, action string, inserted string, cost long, piece string"
+        F.col(conv_col).alias("conv"), F.col(turn_col).try_cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("n"),
     )
-    return out.select(F.when(~F.col("none"), F.col("conv")).alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "new_role", "action", "inserted", "cost", "piece")
+    order = [F.asc_nulls_first("conv"), F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "h", "n"]
+    ordered = src.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "role", "text")
+    rows = materialise(ordered.mapInArrow(_cut(arrow), f"conv {kind}, block long, at int, turn long, role string, text string, m binary"), "turns")
+    blocks = rows.filter("m IS NOT NULL").select("conv", "block", "m").repartition("conv").sortWithinPartitions(F.asc_nulls_first("conv"), "block")
+    states = materialise(blocks.mapInArrow(_chain, "block long, entry int, exit int, first boolean, last boolean"), "states")
+    full = rows.drop("m").join(states, "block").repartition("block").sortWithinPartitions("block", "at").select("block", "conv", "turn", "role", "text", "entry", "exit", "first", "last")
+    out = full.mapInArrow(_repair(arrow), f"conv {kind}, turn long, role string, new_role string, action string, inserted string, cost long, piece string")
+    return out.withColumnsRenamed({"conv": conv_col, "turn": turn_col, "role": role_col})
 
 
 def op9_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
