@@ -8,7 +8,7 @@ there are at most two per partition. The result is a compressed keep bitmap per
 
 Defined results: a null or empty text is one empty line; a null id counts as one document below all others; rows with
 the same id count as one document and decide alike; keys shorter than the minimum, blank lines included, always
-stay; other columns pass through ``apply_bitmaps`` unchanged, whatever their names.
+stay; ids are whole numbers or strings (in the order of their bytes); a very long text is split like any other; other columns pass through ``apply_bitmaps`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 _STRIP = b" \t\n\x0b\x0c\r"
 _KEY = "_line_dedup_key"
-_DECIDED = "h1 long, h2 long, doc long, rk long, line int, n_lines int, first boolean, edge boolean"
+_ROWS = "h1 long, h2 long, doc {}, rk long, line int, n_lines int"
 
 
 def _line_keys(min_chars: int):
@@ -53,7 +53,7 @@ def _line_keys(min_chars: int):
                 counts += [len(parts)] * new
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(lines, pa.int32()), pa.array(counts, pa.int32())],
+                [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(docs, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(lines, pa.int32()), pa.array(counts, pa.int32())],
                 names=["h1", "h2", "doc", "rk", "line", "n_lines"],
             )
 
@@ -118,12 +118,16 @@ def _to_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``rk, keep`` for each document that loses lines: bit n of the zlib-compressed map is set if line n stays."""
+    # null is below all others
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.lit("0"))
+    kind = _ROWS.format("long" if whole else "string")
     src = docs.filter(F.col(text_col).isNotNull()).select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")
+        doc.alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("text")
     )
-    rows = src.mapInArrow(_line_keys(min_chars), "h1 long, h2 long, doc long, rk long, line int, n_lines int")
+    rows = src.mapInArrow(_line_keys(min_chars), kind)
     ordered = rows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.desc("doc"), "rk", "line")
-    decided = materialise(ordered.mapInArrow(_decide(min_docs), _DECIDED), "lines")
+    decided = materialise(ordered.mapInArrow(_decide(min_docs), kind + ", first boolean, edge boolean"), "lines")
     edge = decided.filter("edge")
     top = edge.groupBy("h1", "h2").agg(F.count_if("first").alias("n"), F.max("doc").alias("top")).filter(F.col("n") >= min_docs)
     late = edge.join(F.broadcast(top), ["h1", "h2"]).filter("doc < top")  # at most two keys per partition

@@ -15,7 +15,7 @@ A document's set is its distinct word shingles; documents link at Jaccard >= ``p
 
 Defined results: texts without words have the empty set, link with nothing and are their own component; with fewer words
 than a shingle the whole sequence is the one shingle; rows with a null id take part, and a component of null ids only has a null
-id; repeated rows are equal sets; other columns are ignored. Shingles are compared by 64-bit hashes.
+id; repeated rows are equal sets; ids may be of any type that has an order; a very long text is one set like any other; other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from .components import connected_components
@@ -71,7 +72,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> K.U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _survey(n: int):
+def _survey(n: int, id_type: pa.DataType):
     """Set sizes and digests of all documents; at the end of each task its part of the sketch."""
     names = ["rk", "doc_id", "n", "g1", "g2", *BITS, "block", "counts"]
 
@@ -93,7 +94,7 @@ def _survey(n: int):
                 none = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(size), *map(pa.array, sums), *bits, *none], names=names)
         used = [k for k in range(len(sketch) // _BLOCK) if sketch[k * _BLOCK : (k + 1) * _BLOCK].any()]
-        nulls = [pa.nulls(len(used), pa.int64())] * 9
+        nulls = [pa.nulls(len(used), id_type if c == "doc_id" else pa.int64()) for c in names[:9]]
         yield pa.RecordBatch.from_arrays([*nulls, pa.array(used, pa.int32()), pa.array([sketch[k * _BLOCK : (k + 1) * _BLOCK].tobytes() for k in used], pa.binary())], names=names)
 
     return run
@@ -162,9 +163,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """As ``jaccard_components``, with each row's key ``rk`` and ``comp``, its component whatever the ids (null: no words)."""
-    spark = docs.sparkSession
-    src = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    info = materialise(src.mapInArrow(_survey(shingle_words), "rk long, doc_id long, n long, g1 long, g2 long, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "info")
+    spark, kind, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    src = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    info = materialise(src.mapInArrow(_survey(shingle_words, id_type), f"rk long, doc_id {kind}, n long, g1 long, g2 long, b0 long, b1 long, b2 long, b3 long, block int, counts binary"), "info")
     ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
     blocks = info.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_sum_blocks, "block int, ranks binary")
     for r in blocks.toLocalIterator():
@@ -177,6 +178,10 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # index lists that hold different sets, with one row for each of these
     text = src.select("rk", "text")
+    repeated = materialise(info.groupBy("rk").count().filter("count > 1").select("rk"), "repeated")
+    one_text = text  # one row a key: rows with equal id and text have one
+    if not repeated.isEmpty():
+        one_text = text.join(repeated, "rk", "left_anti").unionByName(text.join(repeated, "rk", "left_semi").dropDuplicates(["rk"]))
     index = text.mapInArrow(_postings(shingle_words, percent, ranks), "tok long, rk long, g long, n int, reach int")
     shared = index.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("tok")
     lists = index.join(shared, "tok").select("tok", "rk", "n", "reach").join(classes.select(F.col("rep").alias("rk")), "rk")
@@ -184,8 +189,8 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = materialise(lists.select("tok", "rk", "n", "reach", block), "lists")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = pairs.join(text.select(F.col("rk").alias("x"), F.col("text").alias("tx")), "x")
-        both = left.join(text.select(F.col("rk").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
+        left = pairs.join(one_text.select(F.col("rk").alias("x"), F.col("text").alias("tx")), "x")
+        both = left.join(one_text.select(F.col("rk").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
         return materialise(both.mapInArrow(_overlap(shingle_words), "x long, y long, both long, nx long, ny long"), name)
 
     def edges(*tables: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is made only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``. A temporary one is made only where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         if known.isDefined():
             base = known.get()
         else:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="nightgrid-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")

@@ -110,6 +110,13 @@ def test_op2_against_brute_force(spark, texts):
     assert op2_line_dedup.line_keep_bitmaps(frame(spark, [])).count() == 0
 
 
+def test_op2_string_ids(spark):
+    line = "this one line is in every single document of all"
+    docs = spark.createDataFrame([(f"d{i}", f"a\n{line}\n{i}") for i in range(8)] + [(None, line)], "doc_id string, text string")
+    out = op2_line_dedup.apply_bitmaps(docs, op2_line_dedup.line_keep_bitmaps(docs)).select("doc_id", "dedup.n_dropped").collect()
+    assert {r[0]: r[1] for r in out} == {f"d{i}": int(i < 7) for i in range(8)} | {None: 1}
+
+
 def test_op2_hot_line_over_many_partitions(spark):
     line = "this one line is in every single document of all"
     rows = [(i, f"{prose(9)}\n{line}\n{i}") for i in range(300)]
@@ -165,6 +172,13 @@ def test_op3_members_that_are_subsets_of_their_centers(spark):
     check(op3_jaccard_join.jaccard_components(frame(spark, rows)).collect(), want)
 
 
+def test_op3_many_rows_of_one_key_verify_one_pair(spark):
+    a = prose(100)
+    b = a + " one"
+    got = op3_jaccard_join.jaccard_components(spark.createDataFrame([(None, a)] * 3000 + [(None, b)] * 3000 + [(5, b)], "doc_id string, text string")).collect()
+    assert len(got) == 6001 and {r["component_id"] for r in got} == {"5"}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -214,6 +228,45 @@ def test_op4_surrogates_stay_distinct(spark):
     assert len({r["surrogate"] for r in full}) == 10
 
 
+def test_op4_two_hundred_thousand_names_get_no_tag(spark):
+    rows = spark.range(200_000).selectExpr("'name' AS kind", "concat('q', lower(conv(id, 10, 36)), 'w') AS canon")
+    got = op4_surrogates.surrogates(rows)
+    n, distinct, tags = got.agg(F.count("*"), F.count_distinct("surrogate"), F.count_if(F.col("surrogate").startswith("["))).first()
+    assert (n, distinct, tags) == (200_000, 200_000, 0)
+
+
+def test_op4_coreference_and_distinctness_by_hand(spark):
+    """Each name word and number is replaced by one form wherever it stands, and different ones by different forms."""
+    rnd = random.Random(15)
+    given, family = [f"{a}{b}" for a in ("Ann", "Bor", "Cel", "Dan") for b in ("a", "is", "ia")], [f"{a}{b}" for a in ("Smith", "Jon", "Mill", "Carv") for b in ("son", "er", "ley")]
+    rows, said = [], []
+    for i in range(120):
+        title, g, f = rnd.choice(["Mr", "Mrs", "Dr", "Prof."]), rnd.choice(given), rnd.choice(family)
+        phone = f"{rnd.choice(['+1 ', ''])}(212) 555-{rnd.randrange(30):04}"
+        form = rnd.choice([f"{title} {g} {f}", f"{title} {f}"])
+        rows.append((i, f"here {form} left {phone} today"))
+        said.append((form.split()[1:], phone))
+    new, seen = {r["doc_id"]: r["text"] for r in op4_surrogates.replace_entities(frame(spark, rows)).collect()}, {}
+    for i, (words, phone) in enumerate(said):
+        m = re.fullmatch(r"here (?:Mr|Mrs|Dr|Prof\.) ((?:\w+ )+)left (.*) today", new[i])
+        for old, now in [*zip(words, m.group(1).split(), strict=True), (phone.replace("+1 ", ""), m.group(2).replace("+1 ", ""))]:
+            assert seen.setdefault(old, now) == now and old != now
+        assert m.group(2).startswith("+1") == phone.startswith("+1")
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_op4_scripts_and_other_kinds(spark):
+    texts = ["Dear Ana Lopez, hello", "my name is Jane Roe", "السيد محمد هنا", "מר כהן כאן", "श्रीमती शर्मा यहाँ", "昨天王小明先生来了", "田中さんは", "김철수 씨가", "at 2001:db8::ff00:42:8329 now", "pay DE89 3704 0044 0532 0130 00 now", "lives at 12 Baker Street now", "nothing to see Here", "x" * 300_000 + " Mr Longtext"]
+    got = [r for r in sorted(op4_surrogates.replace_entities(frame(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])]
+    assert [r["n_entities"] for r in got] == [1] * 11 + [0, 1]
+    for r, gone in zip(got, ["Lopez", "Roe", "محمد", "כהן", "शर्मा", "小明", "田中", "철수", "8329", "0532", "Baker"]):
+        assert gone not in r["text"]
+    script = [r"[a-zA-Z, ]+", r"[a-zA-Z ]+", r"[\u0600-\u06ff ]+", r"[\u0590-\u05ff ]+", r"[\u0900-\u097f ]+", r"[\u4e00-\u9fff]+", r"[\u4e00-\u9fff\u3040-\u30ff]+", r"[\uac00-\ud7af ]+"]
+    assert all(re.fullmatch(p, r["text"]) for p, r in zip(script, got))
+    iban = re.search(r"DE\d\d( \d{4}){4} \d\d", got[9]["text"]).group().replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and re.fullmatch(r"lives at \d\d \w+ Street now", got[10]["text"])
+
+
 def test_op5_finds_exact_and_changed_items_and_no_others(spark):
     rnd = random.Random(5)
     vocab = ["".join(rnd.choice("bcdfgaeiou") for _ in range(6)) for _ in range(3000)]
@@ -254,6 +307,33 @@ def test_op5_long_items_exact_and_changed(spark):
     assert got == {(300, 0), (301, 1), (310, 0), (311, 1)}
 
 
+def test_op5_recall_against_aligning_every_document(spark):
+    """Candidates from the latent space against aligning every item with every document, on changed, thinned and padded items."""
+    rnd = random.Random(18)
+    vocab = ["".join(rnd.choice("bcdfgaeiou") for _ in range(6)) for _ in range(2500)]
+    say = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [say(rnd.randint(12, 80)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w, leak = say(rnd.randint(40, 200)), list(items[i % 60])
+        for _ in range(int(rnd.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5]) * len(leak))):
+            k = rnd.randrange(len(leak))
+            leak[k : k + 1] = rnd.choice([[], say(1), [leak[k], *say(1)]])
+        at = rnd.randrange(len(w))
+        rows.append((i, " ".join(w[:at] + leak + w[at:])))
+    bench = spark.createDataFrame([(f"item {k}", " ".join(x)) for k, x in enumerate(items)], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op5_decontamination.contaminated(frame(spark, rows), bench).collect()}
+    number = {w: k for k, w in enumerate(vocab)}
+    want = set()
+    for k, x in enumerate(items):
+        it = op5_decontamination.Item([number[w] for w in x])
+        for i, t in rows:
+            share, answer = it.check([number[w] for w in t.split()])
+            if share >= op5_decontamination.SURE_LCS or share >= op5_decontamination.MIN_LCS and answer >= op5_decontamination.MIN_ANSWER:
+                want.add((i, f"item {k}"))
+    assert len(want) > 200 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
+
+
 def test_op5_alignment():
     it = op5_decontamination.Item([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
     assert it.lcs([1, 2, 9, 3, 4, 5]) == 5 and it.check([0, 0, *range(1, 11), 0])[0] == 1.0 and it.check([5, 4, 3])[0] == 0.0
@@ -297,13 +377,27 @@ def test_op7_learns_every_language(spark, monkeypatch):
 
 
 def test_op7_probabilities_sum_to_one():
-    keys, n = np.unique(np.random.default_rng(1).integers(0, 4, 500) << 24 | np.random.default_rng(2).integers(0, 4, 500) << 16 | np.random.default_rng(3).integers(0, 4, 500) << 8 | np.random.default_rng(4).integers(0, 4, 500), return_counts=True)
+    bits, rnd = op7_language_id.BITS, np.random.default_rng(1)
+    pack = lambda *s: sum(x << (bits * k) for k, x in enumerate(reversed(s)))
+    keys, n = np.unique(pack(*(rnd.integers(0, 4, 500) for _ in range(4))), return_counts=True)
     m = op7_language_id.Model(["a"], np.array([97], np.uint32), [(keys, n.astype(float))])
-    for context in (0x010203, 0x0F0F0F):
-        p = m._prob(m.tables[0], 3, context << 8 | np.arange(256))
+    for context in (pack(1, 2, 3), pack(15, 15, 15)):
+        p = m._prob(m.tables[0], 3, context << bits | np.arange(op7_language_id.N_SYMBOLS))
         assert abs(p.sum() - 1) < 1e-9
 
 
+def test_op7_held_out_accuracy_and_many_letters(spark):
+    """Languages of one script with thousands of letters are told apart on documents that training never saw."""
+    rnd = random.Random(14)
+    words = {g: ["".join(chr(0x4E00 + rnd.randrange(1500)) for _ in range(3)) for _ in range(80)] for g in ("p", "q", "r")}
+    rows = [(i, " ".join(rnd.choice(words["pqr"[i % 3]]) for _ in range(25)), "pqr"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows + [(None, rows[0][1], "p")] * 30 + [(9000, "", None)], "doc_id long, text string, lang string")
+    held = df.filter(op7_language_id.held_out() & F.col("lang").isNotNull())
+    got = op7_language_id.predict(held, op7_language_id.train(df)).collect()
+    want = {i: g for i, _, g in rows}
+    assert len(got) > 100 and sum(r["lang_pred"] == want[r["doc_id"]] for r in got) > 0.97 * len(got)
+
+
 def test_op8_against_plain_version(spark):
     rnd = random.Random(9)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 30)), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "src12", None])) for i in range(400)]
@@ -317,13 +411,17 @@ def test_op8_against_plain_version(spark):
             held[k] += len(t.split())
             by.setdefault(k, []).append((i, len(t.split())))
         held = {k: v for k, v in held.items() if v}
-        plan = op8_source_mixing.plan(held, op8_source_mixing.WEIGHTS, sum(held.values()) if budget is None else budget)
-        assert sum(plan.values()) <= (sum(held.values()) if budget is None else budget)
+        total = sum(held.values()) if budget is None else budget
+        above = Counter()
+        for k, v in held.items():
+            above[k[:2]] += v
+        plan = op8_source_mixing.plan(above, op8_source_mixing.WEIGHTS, total)
+        assert sum(plan.values()) <= total
         want = {}
         for k, docs in by.items():
             if k not in held:
                 continue
-            full, rest = divmod(plan.get(k, 0), held[k])
+            full, rest = divmod(held[k] * plan.get(k[:2], 0) // above[k[:2]], held[k])
             run = 0
             for _, i, n in sorted((hashlib.md5(f"{op8_source_mixing.SEED}:{full}:{i}".encode()).hexdigest(), i, n) for i, n in docs if n):
                 run += n
@@ -337,9 +435,20 @@ def test_op8_shortage_goes_to_siblings_first():
     n = op8_source_mixing.Node
     assert op8_source_mixing.share_out(100, {"a": n(1, 10), "b": n(1, 1000), "c": n(2, 1000)}) == {"a": 10, "b": 30, "c": 60}
     assert op8_source_mixing.share_out(100, {"a": n(1, 10), "b": n(0, 50)}) == {"a": 10, "b": 0}
-    leaves = {("web", "en", "s1"): 10, ("web", "de", "s1"): 1000, ("reference", "en", "s2"): 1000}
+    held = {("web", "en"): 10, ("web", "de"): 1000, ("reference", "en"): 1000}
     w = {"web": (0.5, {"en": 0.5, "de": 0.5}), "reference": (0.5, {"en": 1.0})}
-    assert op8_source_mixing.plan(leaves, w, 400, 1) == {("web", "en", "s1"): 10, ("web", "de", "s1"): 190, ("reference", "en", "s2"): 200}
+    assert op8_source_mixing.plan(held, w, 400, 1) == {("web", "en"): 10, ("web", "de"): 190, ("reference", "en"): 200}
+
+
+def test_op8_repeated_rows_never_exceed_the_budget(spark):
+    rows = [(None, "same words here", "en", "src0")] * 50 + [(7, "one more of these", "en", "src0")] * 9 + [(i, "w " * (i % 7 + 1), "en", "src0") for i in range(40, 60)] + [(None, None, None, None), (None, "x " * 3000, "en", "src3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("domain", op8_source_mixing.domain_of()).repartition(3)
+    weights = {"web": (1.0, {"en": 1.0})}
+    held = sum(len(r[1].split()) for r in rows if r[3] == "src0")
+    for budget in (20, 101, 170, held + 77, 3 * held + 5):
+        got = op8_source_mixing.mix(df, weights, budget).collect()
+        used = sum(r["n_tokens"] * r["copies"] for r in got)
+        assert budget - 7 < used <= budget and all(r["copies"] >= 1 for r in got) and len(got) <= 79
 
 
 def cheapest(roles):
@@ -388,6 +497,16 @@ def test_op9_is_cheapest_and_legal(spark):
     assert op9_chat_repair.repair_roles(df.limit(0)).count() == 0
 
 
+def test_op9_string_ids_and_turns_without_numbers(spark):
+    rows = [("c-1", None, "user" if k % 3 else "tool", f"t{k:05}") for k in range(1300)] + [("c-1", 0, "assistant", "z"), ("c-0", 1, "user", "q"), (None, 1, "user", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(3)
+    out = op9_chat_repair.repair_roles(df).collect()
+    assert len(out) == len(rows)
+    given = [op9_chat_repair.role_number(r[2]) for r in sorted(rows[:1301], key=lambda r: (r[1] is not None, r[2]))]
+    assert sum(r["cost"] for r in out if r["conv_id"] == "c-1") == cheapest(given)
+    assert [r["new_role"] for r in out if r["conv_id"] == "c-0"] == ["user"]
+
+
 def test_op10_statistics(spark, texts):
     rows = texts + [(700, "a b c d e x a b c d e"), (701, "s s s s s s s"), (702, "l1\nl1\n \nl1\n l1 #$"), (None, "A!? 12")]
     got = op10_quality_rules.with_statistics(frame(spark, rows)).select("doc_id", "text", "_qr_stats.*").collect()
@@ -416,6 +535,8 @@ def test_op10_learns_and_keeps_clean(spark):
     assert rules and all(kept[i] == (i % 4 != 0) for i in range(400))
     assert op10_quality_rules.train(docs, labels.limit(0)) == [] and op10_quality_rules.judge(frame(spark, []), rules).count() == 0
     assert len(op10_quality_rules.train(docs, labels, max_train=40)) <= op10_quality_rules.MAX_RULES
+    repeated = labels.filter("doc_id < 8").crossJoin(spark.range(100)).drop("id").unionByName(labels)
+    assert op10_quality_rules.train(docs.withColumn("_qr_t", F.lit(1)), repeated, max_train=60) is not None
 
 
 def test_words_and_hashes_on_slices():
