@@ -27,10 +27,13 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """One recording per class: its vectors one after another, 64 samples a second, on all channels that generators ask for."""
+    """One recording per class: its vectors one after another, 64 samples a second, on all channels that generators ask for; a stretch of the
+    recording is repeated until it lasts six minutes, the longest window of a generator and more."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    names = ["eeg", "eog", "emg", "ecg", "effort", "airflow", "thorax", "abdomen", "frontal", "occipital"]
-    v = vectors(spark, sf).withColumn("chunk_id", F.row_number().over(w).cast("long"))
+    names = ["eeg", "eog", "emg", "ecg", "effort_sum", "flow", "airflow_pressure", "effort_thoracic", "effort_abdominal", "eeg_frontal", "eeg_occipital", "spo2", "snore"]
+    v = vectors(spark, sf).withColumn("place", F.row_number().over(w))
+    v = v.withColumn("n", F.count("*").over(Window.partitionBy("label"))).withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(360) / F.col("n")).cast("int"))))
+    v = v.withColumn("chunk_id", (F.col("round") * F.col("n") + F.col("place")).cast("long"))
     return v.select(F.col("label").cast("long").alias("subject_id"), F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), "chunk_id", F.lit(64.0).alias("fs"), F.lit("uV").alias("units"), F.col("x").alias("samples"))
 
 
@@ -147,7 +150,9 @@ def spo2_clean(spark, sf):
 def _register_generator(name: str) -> None:
     @query(f"g_{name}")
     def run(spark, sf):
-        return generators.run_generator(chunks(spark, sf), name).withColumn("v", F.round("v", 6))
+        # breaths of the vectors, which are scaled to 1, need no least height; their random walks are no recording of beats either
+        options = {"cutoff": 0.0} if name == "respiration" else {}
+        return generators.run_generator(chunks(spark, sf), name, **options).withColumn("v", F.round("v", 6))
 
 
 for _name in generators.GENERATORS:
