@@ -1,4 +1,4 @@
-"""Oxygen drops, in SQL expressions only: bad runs, segment drops, depth. Jagged drops (F33) are not covered."""
+"""Oxygen drops, in SQL expressions only: bad runs, segment drops, jagged drops, depth. The same rules on one recording's samples are in ``generators.oxygen_masks``."""
 
 from __future__ import annotations
 
@@ -35,7 +35,20 @@ def segment_drops(x: DataFrame, threshold: float, value: str = "v") -> DataFrame
     return g.filter((F.col("range") >= threshold) & F.col("start").isNotNull()).drop("_s")
 
 
+def jagged_drops(x: DataFrame, threshold: float, value: str = "v", ahead: int = 30) -> DataFrame:
+    """where the value lies more than ``threshold`` above the least of the next samples, from the end of such a run to that least."""
+    w = Window.partitionBy("subject_id").orderBy("i")
+    near = w.rowsBetween(0, ahead - 1)
+    y = x.withColumns({"_c": F.col(value) - F.min(value).over(near) > threshold, "end": F.min(F.struct(F.col(value), F.col("i"))).over(near)["i"]})
+    y = y.withColumn("_next", F.coalesce(F.lead("_c").over(w), F.lit(False)))
+    return y.filter("_c AND NOT _next").select("subject_id", F.col("i").alias("start"), "end")
+
+
 def clean_drops(x: DataFrame, threshold: float, value: str = "v") -> DataFrame:
-    """Drops that touch no bad run."""
-    d = segment_drops(x, threshold, value).withColumn("id", F.col("start"))
-    return overlap_anti(d, bad_runs(x, value), "id", bucket=4096).drop("id")
+    """Samples in a segment drop or a jagged one, as runs that touch no bad run."""
+    d = segment_drops(x, threshold, value).select("subject_id", "start", "end").unionByName(jagged_drops(x, threshold, value))
+    w = Window.partitionBy("subject_id").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.coalesce((F.col("start") > before + 1).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_before", before).withColumn("_run", run).groupBy("subject_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return overlap_anti(d.drop("_run").withColumn("id", F.col("start")), bad_runs(x, value), "id", bucket=4096).drop("id")

@@ -31,11 +31,26 @@ def initial_shares(df: DataFrame, label: str, order: str, n_states: int, keys: t
     return x.withColumn("p", (F.col("n") + prior) / F.sum(F.col("n") + prior).over(Window.partitionBy()))
 
 
-def matrix(counts: DataFrame, n_states: int) -> np.ndarray:
+def emission_counts(df: DataFrame, label: str, obs: str, n_states: int, prior: float = 1.0) -> DataFrame:
+    """``state, obs, n, p`` of every pair, seen or not, with ``prior`` added."""
+    pairs = df.filter(F.col(label).isNotNull() & F.col(obs).isNotNull()).groupBy(F.col(label).alias("state"), F.col(obs).alias("obs")).agg(F.count("*").alias("n"))
+    spine = df.sparkSession.createDataFrame([(a, b) for a in range(n_states) for b in range(n_states)], "state int, obs int")
+    n = F.coalesce("n", F.lit(0)) + F.lit(prior)
+    x = spine.join(pairs, ["state", "obs"], "left").withColumn("n", n.cast("long") if float(prior).is_integer() else n)
+    return x.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
+
+
+def change_counts(df: DataFrame, label: str, order: str, n_states: int, keys: tuple[str, ...] = ("subject_id",), prior: float = 1.0) -> DataFrame:
+    """As ``transition_counts`` over changes only; a state never follows itself."""
+    x = transition_counts(df, label, order, n_states, keys, prior).filter("state <> next_state")
+    return x.withColumn("p", (F.col("n") + prior) / F.sum(F.col("n") + prior).over(Window.partitionBy("state")))
+
+
+def matrix(counts: DataFrame, n_states: int, to: str = "next_state") -> np.ndarray:
     """The small transition table on the driver."""
     m = np.zeros((n_states, n_states))
     for r in counts.collect():
-        m[r["state"], r["next_state"]] = r["p"]
+        m[r["state"], r[to]] = r["p"]
     return m
 
 

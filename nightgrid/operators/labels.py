@@ -72,8 +72,8 @@ def held_stages(changes: DataFrame, lengths: DataFrame, epoch: int = 30, t: str
 
 
 def subject_summary(epochs: DataFrame, events: DataFrame, stage: str = "stage", epoch_seconds: int = 30, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
-    """IO15: hours, hours asleep, events per hour asleep (NULL without sleep) and the central share."""
+    """IO15: hours, hours asleep, apneas and hypopneas per hour asleep (NULL without sleep), and the central share of the apneas (0 without any)."""
     e = epochs.groupBy(*keys).agg((F.count("*") * epoch_seconds / 3600.0).alias("hours"), (F.count_if(F.col(stage).between(1, 4)) * epoch_seconds / 3600.0).alias("sleep_hours"), *[F.count_if(F.col(stage) == k).alias("n_" + v) for k, v in STAGE_NAMES.items()])
-    r = events.groupBy(*keys).agg(F.count("*").alias("n_events"), F.count_if(F.col("label").endswith("-C")).alias("n_central"))
-    x = e.join(r, list(keys), "left").withColumns({"n_events": F.coalesce("n_events", F.lit(0)), "n_central": F.coalesce("n_central", F.lit(0))})
-    return x.withColumns({"ahi": F.try_divide(F.col("n_events").cast("double"), F.col("sleep_hours")), "central_fraction": F.try_divide(F.col("n_central").cast("double"), F.col("n_events"))})
+    r = events.groupBy(*keys).agg(F.count_if(F.col("label").rlike("^(APNEA|HYP)")).alias("n_events"), F.count_if(F.col("label").startswith("APNEA")).alias("n_apneas"), F.count_if(F.col("label") == "APNEA-C").alias("n_central"))
+    x = e.join(r, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_events", "n_apneas", "n_central")})
+    return x.withColumns({"ahi": F.try_divide(F.col("n_events").cast("double"), F.col("sleep_hours")), "central_fraction": F.coalesce(F.try_divide(F.col("n_central").cast("double"), F.col("n_apneas")), F.lit(0.0))})

@@ -48,10 +48,12 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two sets of closed day intervals per customer group: open orders and shipped lines of them."""
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("subject_id"), F.col("o_orderkey").alias("id"), F.expr("datediff(o_orderdate, date'1995-01-01')").cast("long").alias("start"))
-    a = o.withColumn("end", F.col("start") + F.col("id") % 5)
-    return a.filter("id % 3 = 0"), a.filter("id % 3 = 1").select("subject_id", "id", (F.col("start") + 2).alias("start"), (F.col("end") + 2).alias("end"))
+    """Two sets of closed day intervals per customer: their open orders, and the deliveries of their lines."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("subject_id"), F.expr("datediff(o_orderdate, date'1995-01-01')").cast("long").alias("day"), F.floor(F.col("o_totalprice") / 10000).cast("long").alias("days"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.expr("datediff(l_shipdate, date'1995-01-01')").cast("long").alias("start"), F.floor(F.col("l_quantity") / 10).cast("long").alias("long"))
+    a = o.select("subject_id", F.col("o_orderkey").alias("id"), F.col("day").alias("start"), (F.col("day") + F.col("days")).alias("end"))
+    z = lines.join(o.select("o_orderkey", "subject_id"), "o_orderkey").select("subject_id", (F.col("o_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "start", (F.col("start") + F.col("long")).alias("end"))
+    return a, z
 
 
 SIG = f"""sig AS (SELECT event_id, user_id AS subject_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t_us, value AS v,
@@ -63,7 +65,5 @@ m AS (SELECT subject_id, slot, min(stage) AS stage FROM (SELECT *, max(n) OVER (
 sp AS (SELECT subject_id, unnest(range(0, max(t_us) // {ROW} + 1)) AS slot FROM sig GROUP BY subject_id),
 rows6 AS (SELECT sp.subject_id, sp.slot, b.v, b.k, coalesce(m.stage, -1) AS stage FROM sp LEFT JOIN b USING (subject_id, slot) LEFT JOIN m USING (subject_id, slot))"""
 PAIRS = SIG + """, pairs AS (SELECT subject_id, event_id, t_us, stage AS truth, CASE WHEN event_id % 7 = 0 THEN (stage + 1) % 5 ELSE stage END AS pred, v FROM sig)"""
-EPISODES = """o AS (SELECT o_custkey % 50 AS subject_id, o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS start FROM orders),
-e AS (SELECT subject_id, id, start, start + id % 5 AS "end" FROM o),
-a AS (SELECT * FROM e WHERE id % 3 = 0),
-z AS (SELECT subject_id, id, start + 2 AS start, "end" + 2 AS "end" FROM e WHERE id % 3 = 1)"""
+EPISODES = """a AS (SELECT o_custkey AS subject_id, o_orderkey AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS start, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) + CAST(floor(o_totalprice / 10000) AS BIGINT) AS "end" FROM orders),
+z AS (SELECT o_custkey AS subject_id, o_orderkey * 8 + l_linenumber AS id, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS start, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(floor(l_quantity / 10) AS BIGINT) AS "end" FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

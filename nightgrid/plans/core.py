@@ -180,7 +180,7 @@ def j3(spark, sf):
     return intervals.overlap_semi(a, b.withColumn("end", F.col("end") + 3), "id", bucket=64).select("subject_id", "id")
 
 
-@query("j4_events_in_window", f'WITH {EPISODES} SELECT subject_id, id, start, "end" FROM e WHERE "end" >= 100 AND start <= 400 AND id % 3 = 0')
+@query("j4_events_in_window", f'WITH {EPISODES} SELECT subject_id, id, start, "end" FROM a WHERE "end" >= 100 AND start <= 400')
 def j4(spark, sf):
     return intervals.in_window(episodes(spark, sf)[0], 100, 400)
 
@@ -211,25 +211,25 @@ def j8(spark, sf):
     return rows6(spark, sf).groupBy("subject_id", F.floor(F.col("slot") / 5).cast("long").alias("epoch_index")).agg(r6(F.avg(hit), "fraction"), F.max(hit).cast("int").alias("mask"))
 
 
-@query("j9_prediction_update", f"WITH {PAIRS} SELECT p.event_id, coalesce(u.pred, p.truth) AS y FROM pairs p LEFT JOIN (SELECT event_id, pred FROM pairs WHERE event_id % 3 = 0) u USING (event_id)")
+@query("j9_prediction_update", f"WITH {PAIRS} SELECT p.event_id, coalesce(u.pred, p.truth) AS y FROM pairs p LEFT JOIN (SELECT event_id, pred FROM pairs WHERE v >= 30) u USING (event_id)")
 def j9(spark, sf):
     p = pairs(spark, sf)
-    u = p.filter("event_id % 3 = 0").select("event_id", F.col("pred").alias("new"))
+    u = p.filter("v >= 30").select("event_id", F.col("pred").alias("new"))
     return p.join(u, "event_id", "left").select("event_id", F.coalesce("new", "truth").alias("y"))
 
 
-@query("j10_expert_inner_chain", f"WITH {PAIRS} SELECT a.event_id, a.truth AS e1, b.pred AS e2, c.truth AS e3 FROM pairs a JOIN pairs b USING (event_id) JOIN pairs c USING (event_id) WHERE a.event_id % 2 = 0 AND b.event_id % 3 = 0")
+@query("j10_expert_inner_chain", f"WITH {PAIRS} SELECT a.event_id, a.truth AS e1, b.pred AS e2, c.truth AS e3 FROM pairs a JOIN pairs b USING (event_id) JOIN pairs c USING (event_id) WHERE a.truth <> 4 AND b.v >= 30")
 def j10(spark, sf):
     p = pairs(spark, sf)
-    a = p.filter("event_id % 2 = 0").select("event_id", F.col("truth").alias("e1"))
-    b = p.filter("event_id % 3 = 0").select("event_id", F.col("pred").alias("e2"))
+    a = p.filter("truth <> 4").select("event_id", F.col("truth").alias("e1"))
+    b = p.filter("v >= 30").select("event_id", F.col("pred").alias("e2"))
     return a.join(b, "event_id").join(p.select("event_id", F.col("truth").alias("e3")), "event_id")
 
 
-@query("j11_signal_expert_outer", f"WITH {PAIRS} SELECT event_id, a.truth AS e1, b.pred AS e2 FROM (SELECT * FROM pairs WHERE event_id % 2 = 0) a FULL JOIN (SELECT * FROM pairs WHERE event_id % 3 = 0) b USING (event_id)")
+@query("j11_signal_expert_outer", f"WITH {PAIRS} SELECT event_id, a.truth AS e1, b.pred AS e2 FROM (SELECT * FROM pairs WHERE truth <> 4) a FULL JOIN (SELECT * FROM pairs WHERE v >= 30) b USING (event_id)")
 def j11(spark, sf):
     p = pairs(spark, sf)
-    return p.filter("event_id % 2 = 0").select("event_id", F.col("truth").alias("e1")).join(p.filter("event_id % 3 = 0").select("event_id", F.col("pred").alias("e2")), "event_id", "full")
+    return p.filter("truth <> 4").select("event_id", F.col("truth").alias("e1")).join(p.filter("v >= 30").select("event_id", F.col("pred").alias("e2")), "event_id", "full")
 
 
 @query("j12_epoch_feature_joins", f"WITH {SIG}, e AS (SELECT subject_id, t_us // {EPOCH} AS epoch_index, median(v) AS med, avg(k) AS mean FROM sig GROUP BY 1, 2), b AS (SELECT subject_id, t_us // {EPOCH} AS epoch_index, count(*) AS bursts FROM sig WHERE v > 80 GROUP BY 1, 2) SELECT e.subject_id, e.epoch_index, round(med, 6) AS med, round(mean, 6) AS mean, coalesce(bursts, 0) AS bursts FROM e LEFT JOIN b USING (subject_id, epoch_index)")

@@ -6,7 +6,7 @@ The loops over folds and candidates are on the driver; every fit and score runs
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from nightgrid.operators import stats
 from nightgrid.operators.selectors import family
 
-from .models import cross_validated, permuted, with_class_weights
+from .models import cross_validated, estimator, permuted, subject_folds, with_class_weights
 
 
 def stage_fit(df: DataFrame, features: list[str], label: str, stage: int) -> float:
@@ -74,16 +74,13 @@ def family_importance(rows: list[tuple[str, float]]) -> dict[str, float]:
     return out
 
 
-def complexity_sweep(df: DataFrame, features: list[str], label: str, labels: list[int], depths: tuple[int, ...] = (2, 4, 6, 8)) -> list[tuple[int, int, float]]:
-    """T5: (depth, learned values, macro F1) of trees."""
-    x = df.withColumn(label, F.col(label).cast("double"))
-    prep = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=[f + "__imp" for f in features]), VectorAssembler(inputCols=[f + "__imp" for f in features], outputCol="_v")]).fit(x)
-    y = prep.transform(x)
+def complexity_sweep(df: DataFrame, features: list[str], label: str, labels: list[int], depths: tuple[int, ...] = (2, 4, 6, 8), k: int = 5) -> list[tuple[int, int, float]]:
+    """T5: (depth, learned values, macro F1) of trees: values of one fitted on all rows, score out of fold over subject groups."""
     out = []
+    x = with_class_weights(df.withColumn(label, F.col(label).cast("double")), label)
     for d in depths:
-        m = DecisionTreeClassifier(featuresCol="_v", labelCol=label, maxDepth=d, seed=7).fit(y)
-        p = m.transform(y).withColumn("y_pred", F.col("prediction").cast("int")).withColumn(label, F.col(label).cast("int"))
-        out.append((d, m.numNodes, macro_f1(p, label, labels)))
+        size = estimator("tree", features, label, "weight", depth=d).fit(x).stages[-1].numNodes
+        out.append((d, size, macro_f1(cross_validated(df, features, label, "tree", k=k, depth=d), label, labels)))
     return out
 
 
@@ -121,18 +118,25 @@ def vote(experts: list[str]) -> "F.Column":
     return (F.array_position(share, F.array_max(share)) - 1).cast("int")
 
 
-def one_vs_rest(df: DataFrame, features: list[str], label: str, labels: list[int]) -> DataFrame:
-    """One expert per class; a class with a single value in training gets its constant probability."""
-    out = df
-    for c in labels:
-        x = df.withColumn("_y", (F.col(label) == c).cast("double"))
-        share = x.agg(F.avg("_y")).collect()[0][0]
-        if share in (0.0, 1.0):
-            out = out.withColumn(f"expert_{c}", F.lit(float(share)))
-            continue
-        m = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=[f + "__imp" for f in features]), VectorAssembler(inputCols=[f + "__imp" for f in features], outputCol="_v"), LogisticRegression(featuresCol="_v", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_q", maxIter=30)]).fit(x)
-        out = m.transform(out).withColumn(f"expert_{c}", F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_q", *[f + "__imp" for f in features])
-    return out
+def one_vs_rest(df: DataFrame, features: list[str], label: str, labels: list[int], k: int = 3, seed: int = 7) -> DataFrame:
+    """One expert per class, each row scored by experts that did not see its subject; a class with a single value in training gets its constant probability."""
+    x = df.join(subject_folds(df, label, k, seed), "subject_id").persist()
+    shares = {r["fold"]: r for r in x.withColumn("fold", F.explode(F.filter(F.array(*map(F.lit, range(k))), lambda f: f != F.col("fold")))).groupBy("fold").agg(*[F.avg((F.col(label) == c).cast("double")).alias(f"c{c}") for c in labels]).collect()}
+    done = None
+    for f in range(k):
+        train, part = x.filter(F.col("fold") != f), x.filter(F.col("fold") == f)
+        for c in labels:
+            y = train.withColumn("_y", (F.col(label) == c).cast("double"))
+            share = shares[f][f"c{c}"] if f in shares else None
+            if share in (None, 0.0, 1.0):
+                part = part.withColumn(f"expert_{c}", F.lit(float(share or 0.0)))
+                continue
+            imputed = [n + "__imp" for n in features]
+            m = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="_v"), LogisticRegression(featuresCol="_v", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_q", maxIter=30)]).fit(y)
+            part = m.transform(part).withColumn(f"expert_{c}", F.get(vector_to_array("_p"), F.lit(1))).drop("_v", "_p", "_r", "_q", *imputed)
+        done = part if done is None else done.unionByName(part)
+    x.unpersist()
+    return done
 
 
 class Ledger:

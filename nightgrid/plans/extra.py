@@ -46,9 +46,9 @@ def x12(spark, sf):
     return sig(spark, sf).select("event_id", F.rint(F.col("t_us") / float(ROW)).cast("long").alias("slot"), F.when(F.col("stage").between(0, 4), F.col("stage")).otherwise(-1).alias("stage"))
 
 
-@query("x13_dense_seconds", f"WITH {ROWS6}, s AS (SELECT subject_id, slot * 6 + i AS second, slot FROM rows6, range(6) t(i) WHERE subject_id < 10) SELECT s.subject_id, s.second, round(r.v, 6) AS v FROM s JOIN rows6 r USING (subject_id, slot)")
+@query("x13_dense_seconds", f"WITH {ROWS6}, s AS (SELECT subject_id, slot * 6 + i AS second, slot FROM rows6, range(6) t(i)) SELECT s.subject_id, s.second, round(r.v, 6) AS v FROM s JOIN rows6 r USING (subject_id, slot)")
 def x13(spark, sf):
-    r = rows6(spark, sf).filter("subject_id < 10")
+    r = rows6(spark, sf)
     t = r.select("subject_id", F.explode(F.expr("sequence(slot * 6, slot * 6 + 5)")).alias("second"))
     return quality.dense_seconds(t, r, ["v"]).select("subject_id", "second", r6("v"))
 
@@ -98,7 +98,7 @@ def m15(spark, sf):
 
 @query("t5_complexity_sweep")
 def t5(spark, sf):
-    return spark.createDataFrame(experiments.complexity_sweep(model_frame(spark, sf), ["v", "k"], "target", [0, 1], (2, 4)), "depth int, learned_values int, macro_f1 double")
+    return spark.createDataFrame(experiments.complexity_sweep(model_frame(spark, sf), ["v", "k"], "target", [0, 1], (2, 4), 3), "depth int, learned_values int, macro_f1 double")
 
 
 @query("t11_expert_vote")

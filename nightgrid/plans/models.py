@@ -47,14 +47,14 @@ def subject_folds(df: DataFrame, label: str, k: int = 5, seed: int = 7, subject:
     return df.sparkSession.createDataFrame(rows, f"{subject} {df.schema[subject].dataType.simpleString()}, fold int")
 
 
-def estimator(family: str, features: list[str], label: str, weight: str | None = None, seed: int = 7, classes: int | None = None) -> Pipeline:
+def estimator(family: str, features: list[str], label: str, weight: str | None = None, seed: int = 7, classes: int | None = None, depth: int = 8) -> Pipeline:
     """Linear, tree, ensemble (bagged trees), random_forest or mlp, with imputed and (linear, mlp) scaled inputs."""
     imputed = [f"{f}__imp" for f in features]
     stages = [Imputer(strategy="median", inputCols=features, outputCols=imputed), VectorAssembler(inputCols=imputed, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)]
     extra = {"weightCol": weight} if weight else {}
     model = {
         "linear": lambda: LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50, regParam=1e-3, **extra),
-        "tree": lambda: DecisionTreeClassifier(featuresCol="_raw", labelCol=label, maxDepth=8, seed=seed, **extra),
+        "tree": lambda: DecisionTreeClassifier(featuresCol="_raw", labelCol=label, maxDepth=depth, seed=seed, **extra),
         "ensemble": lambda: RandomForestClassifier(featuresCol="_raw", labelCol=label, numTrees=60, maxDepth=5, featureSubsetStrategy="all", seed=seed, **extra),
         "random_forest": lambda: RandomForestClassifier(featuresCol="_raw", labelCol=label, numTrees=60, maxDepth=10, seed=seed, **extra),
         "mlp": lambda: MultilayerPerceptronClassifier(featuresCol="_x", labelCol=label, layers=[len(features), 16, classes or 2], seed=seed),
@@ -70,20 +70,30 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(c), label)  # one row per class
 
 
-def cross_validated(df: DataFrame, features: list[str], label: str, family: str = "linear", k: int = 5, seed: int = 7, balanced: bool = True, subject: str = "subject_id") -> DataFrame:
+def cross_validated(df: DataFrame, features: list[str], label: str, family: str = "linear", k: int = 5, seed: int = 7, balanced: bool = True, subject: str = "subject_id", depth: int = 8) -> DataFrame:
     """Out-of-fold predictions; no row is scored by a model that saw its subject."""
     folds = subject_folds(df, label, k, seed, subject)
-    x = df.join(folds, subject).withColumn(label, F.col(label).cast("double"))
-    x.persist()
+    x = df.join(folds, subject).withColumn(label, F.col(label).cast("double")).persist()
     out = None
     for f in range(k):
         train, test = x.filter(F.col("fold") != f), x.filter(F.col("fold") == f)
-        fit = estimator(family, features, label, "weight" if balanced else None, seed).fit(with_class_weights(train, label) if balanced else train)
+        fit = estimator(family, features, label, "weight" if balanced and family != "mlp" else None, seed, depth=depth).fit(with_class_weights(train, label) if balanced else train)
         p = fit.transform(test).select(*df.columns, "fold", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("proba"))
         out = p if out is None else out.unionByName(p)
+    x.unpersist()  # the predictions are worked out from the table again
     return out.withColumn(label, F.col(label).cast("int"))
 
 
+def inner_validation(subjects: DataFrame, fold: int, n: int = 1, seed: int = 7, subject: str = "subject_id") -> DataFrame:
+    """``subject, validation``: ``n`` subjects in name order, from a place that moves on with the fold and the seed (counted from 1)."""
+    x = subjects.select(F.col(subject)).distinct()
+    total = x.count()
+    if not 0 < n < total:
+        raise ValueError("not enough subjects to validate on")
+    place = F.row_number().over(Window.orderBy(F.col(subject).cast("string"))) - 1  # one row a subject
+    return x.withColumn("validation", F.pmod(place - F.lit((fold - 1 + seed) % total), F.lit(total)) < n)
+
+
 def fold_scores(pred: DataFrame, label: str, labels: list[int]) -> DataFrame:
     """Accuracy, macro F1 and kappa per fold."""
     return stats.summary(pred, label, "y_pred", labels, ("fold",))

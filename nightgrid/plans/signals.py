@@ -34,7 +34,10 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf).withColumn("place", F.row_number().over(w))
     v = v.withColumn("n", F.count("*").over(Window.partitionBy("label"))).withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(360) / F.col("n")).cast("int"))))
     v = v.withColumn("chunk_id", (F.col("round") * F.col("n") + F.col("place")).cast("long"))
-    return v.select(F.col("label").cast("long").alias("subject_id"), F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), "chunk_id", F.lit(64.0).alias("fs"), F.lit("uV").alias("units"), F.col("x").alias("samples"))
+    return v.select(F.col("label").cast("long").alias("subject_id"), F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), "chunk_id", F.lit(64.0).alias("fs"), F.lit("uV").alias("units"), "x").withColumn(
+        # a beat a second, as far from its middle as the vector's first number says
+        "samples", F.when(F.col("channel") == "ecg", F.expr("transform(x, (v, i) -> exp(-pow((i / 64.0 - 0.5 - 0.1 * x[0]) / 0.015, 2) / 2))")).otherwise(F.col("x"))
+    ).drop("x")
 
 
 @query("f5_f8_band_power", f"WITH {E}, s AS (SELECT vec_id, i, x[i + 1] AS v FROM e, range(64) t(i)), f AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, sum(v * sin(2 * pi() * k * i / 64)) AS im FROM s, range(33) t(k) GROUP BY 1, 2) SELECT vec_id, round(sum(re * re + im * im) FILTER (k >= 4 AND k < 8), 4) AS theta, round(sum(re * re + im * im) FILTER (k >= 8 AND k < 12), 4) AS alpha FROM f GROUP BY 1")
@@ -137,14 +140,24 @@ def spo2_drops(spark, sf):
     return spo2.segment_drops(oxygen(spark, sf), 40).select("subject_id", r6("range"), "start", "end")
 
 
+JAG = """, fm AS (SELECT *, v - min(v) OVER (PARTITION BY subject_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) > 40 AS c FROM i), je AS (SELECT *, lead(c) OVER (PARTITION BY subject_id ORDER BY i) AS nc FROM fm), jr AS (SELECT subject_id, i FROM je WHERE c AND NOT coalesce(nc, false)),
+jg AS (SELECT jr.subject_id, jr.i AS start, arg_min(x.i, (x.v, x.i)) AS "end" FROM jr JOIN i x ON x.subject_id = jr.subject_id AND x.i BETWEEN jr.i AND jr.i + 29 GROUP BY 1, 2)"""
+
+
+@query("f33_spo2_jagged_drops", f'WITH {OXY}{JAG} SELECT subject_id, start, "end" FROM jg')
+def spo2_jagged(spark, sf):
+    return spo2.jagged_drops(oxygen(spark, sf), 40)
+
+
 @query("f34_spo2_depth", f"WITH {OXY} SELECT subject_id, i, round(greatest(v - min(v) OVER (PARTITION BY subject_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING), 0), 6) AS depth FROM i")
 def spo2_depth(spark, sf):
     return spo2.with_depth(oxygen(spark, sf)).select("subject_id", "i", r6("depth"))
 
 
-@query("g14_spo2_clean_drops", f'WITH {BAD}{DROPS} SELECT subject_id, round(rng, 6) AS range, start, "end" FROM dr WHERE rng >= 40 AND start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.subject_id = dr.subject_id AND dr.start <= bad."end" AND dr."end" >= bad.start)')
+@query("g14_spo2_clean_drops", f"""WITH {BAD}{DROPS}{JAG}, u AS (SELECT subject_id, start, "end" FROM dr WHERE rng >= 40 AND start IS NOT NULL UNION ALL SELECT subject_id, start, "end" FROM jg), c AS (SELECT DISTINCT subject_id, unnest(range(start, "end" + 1)) AS i FROM u),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY subject_id ORDER BY i) AS g FROM c), m AS (SELECT subject_id, min(i) AS start, max(i) AS "end" FROM g GROUP BY subject_id, g) SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.subject_id = m.subject_id AND m.start <= bad."end" AND m."end" >= bad.start)""")
 def spo2_clean(spark, sf):
-    return spo2.clean_drops(oxygen(spark, sf), 40).select("subject_id", r6("range"), "start", "end")
+    return spo2.clean_drops(oxygen(spark, sf), 40)
 
 
 def _register_generator(name: str) -> None:
@@ -189,7 +202,8 @@ def peak_agreement(spark, sf):
 @query("d6_hsmm_viterbi")
 def hsmm(spark, sf):
     s = sig(spark, sf)
-    trans = decoders.matrix(decoders.transition_counts(s, "stage", "t_us", 5), 5)
+    trans = decoders.matrix(decoders.change_counts(s, "stage", "t_us", 5), 5)
+    emission = decoders.matrix(decoders.emission_counts(pairs(spark, sf), "truth", "pred", 5), 5, "obs")
     learned = decoders.learn_hsmm(runs.runs(s, "stage", "t_us"), "stage").collect()  # one row per state
     rates = np.ones(5)
     for r in learned:
@@ -199,8 +213,7 @@ def hsmm(spark, sf):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("t_us")
         o = np.array(t.column("pred").to_pylist())
-        p = np.full((len(o), 5), 0.05)
-        p[np.arange(len(o)), o] = 0.8
+        p = emission[:, o].T
         return pa.table({"subject_id": t.column("subject_id"), "t_us": t.column("t_us"), "state": pa.array(decoders.hsmm_viterbi(np.log(p), trans, rates, d_max), pa.int32())})
 
     return pairs(spark, sf).select("subject_id", "t_us", "pred").groupBy("subject_id").applyInArrow(run, "subject_id long, t_us long, state int")

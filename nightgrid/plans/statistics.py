@@ -18,9 +18,9 @@ def W():  # noqa: N802
 # --- labels ------------------------------------------------------------------------------------------------------
 
 
-@query("io9_stage_lines", f"WITH {SIG}, l AS (SELECT subject_id, stage, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS e FROM sig WHERE subject_id < 20) SELECT subject_id, e * 30 + s AS second, CASE stage WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE -1 END AS stage FROM l, range(30) t(s)")
+@query("io9_stage_lines", f"WITH {SIG}, l AS (SELECT subject_id, stage, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS e FROM sig) SELECT subject_id, e * 30 + s AS second, CASE stage WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE -1 END AS stage FROM l, range(30) t(s)")
 def io9(spark, sf):
-    lines = sig(spark, sf).filter("subject_id < 20").select("subject_id", F.col("t_us").alias("line_no"), F.format_string(" %d ", "stage").alias("line"))
+    lines = sig(spark, sf).select("subject_id", F.col("t_us").alias("line_no"), F.format_string(" %d ", "stage").alias("line"))
     return labels.stage_seconds(lines)
 
 
@@ -63,10 +63,10 @@ def io12(spark, sf):
     return held(spark, sf)
 
 
-@query("io15_subject_summary", f"""WITH {HOLD}, e AS (SELECT subject_id, count(*) * 30 / 3600.0 AS hours, count(*) FILTER (stage BETWEEN 1 AND 4) * 30 / 3600.0 AS sleep_hours FROM held GROUP BY 1), r AS (SELECT subject_id, count(*) AS n, count(*) FILTER (stage = 0) AS c FROM sig GROUP BY 1)
-SELECT subject_id, round(hours, 6) AS hours, round(sleep_hours, 6) AS sleep_hours, round(CASE WHEN sleep_hours > 0 THEN n / sleep_hours END, 6) AS ahi, round(c / CAST(n AS DOUBLE), 6) AS central_fraction FROM e JOIN r USING (subject_id)""")
+@query("io15_subject_summary", f"""WITH {HOLD}, e AS (SELECT subject_id, count(*) * 30 / 3600.0 AS hours, count(*) FILTER (stage BETWEEN 1 AND 4) * 30 / 3600.0 AS sleep_hours FROM held GROUP BY 1), r AS (SELECT subject_id, count(*) FILTER (stage <= 3) AS n, count(*) FILTER (stage <= 2) AS ap, count(*) FILTER (stage = 0) AS c FROM sig GROUP BY 1)
+SELECT subject_id, round(hours, 6) AS hours, round(sleep_hours, 6) AS sleep_hours, round(CASE WHEN sleep_hours > 0 THEN n / sleep_hours END, 6) AS ahi, round(CASE WHEN ap > 0 THEN c / CAST(ap AS DOUBLE) ELSE 0 END, 6) AS central_fraction FROM e JOIN r USING (subject_id)""")
 def io15(spark, sf):
-    ev = sig(spark, sf).select("subject_id", F.when(F.col("stage") == 0, "APNEA-C").otherwise("APNEA-O").alias("label"))
+    ev = sig(spark, sf).select("subject_id", F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(["APNEA-C", "APNEA-O", "APNEA-M", "HYP-C", "PERIODIC"]) for x in kv]), F.col("stage")).alias("label"))
     x = labels.subject_summary(held(spark, sf), ev)
     return x.select("subject_id", r6("hours"), r6("sleep_hours"), r6("ahi"), r6("central_fraction"))
 
@@ -313,9 +313,9 @@ def d1b(spark, sf):
     return decoders.initial_shares(sig(spark, sf), "stage", "t_us", 5).select("state", "n", r6("p"))
 
 
-@query("d2_emission_counts", f"WITH {PAIRS}, c AS (SELECT truth AS state, pred AS obs, count(*) + 1 AS n FROM pairs GROUP BY 1, 2) SELECT state, obs, n FROM c")
+@query("d2_emission_counts", f"WITH {PAIRS}, l AS (SELECT a.x AS state, b.x AS obs FROM (SELECT unnest([0, 1, 2, 3, 4]) AS x) a, (SELECT unnest([0, 1, 2, 3, 4]) AS x) b), c AS (SELECT l.state, l.obs, count(p.truth) + 1 AS n FROM l LEFT JOIN pairs p ON p.truth = l.state AND p.pred = l.obs GROUP BY 1, 2) SELECT state, obs, n, round(n / sum(n) OVER (PARTITION BY state), 6) AS p FROM c")
 def d2(spark, sf):
-    return pairs(spark, sf).groupBy(F.col("truth").alias("state"), F.col("pred").alias("obs")).agg((F.count("*") + 1).alias("n"))
+    return decoders.emission_counts(pairs(spark, sf), "truth", "pred", 5).select("state", "obs", "n", r6("p"))
 
 
 @query("d3_forward_backward")
@@ -332,13 +332,8 @@ def d3(spark, sf):
 def d4(spark, sf):
     s = sig(spark, sf)
     trans = decoders.matrix(decoders.transition_counts(s, "stage", "t_us", 5), 5)
-    e = pairs(spark, sf).select(F.col("truth").alias("state"), F.col("pred").alias("next_state"))
-    import numpy as np
-
-    emission = np.ones((5, 5))
-    for r in e.groupBy("state", "next_state").agg(F.count("*").alias("n")).collect():  # labels squared rows
-        emission[r["state"], r["next_state"]] += r["n"]
-    return decoders.decode_nights(pairs(spark, sf), "t_us", "pred", trans, emission / emission.sum(1, keepdims=True))
+    emission = decoders.matrix(decoders.emission_counts(pairs(spark, sf), "truth", "pred", 5), 5, "obs")
+    return decoders.decode_nights(pairs(spark, sf), "t_us", "pred", trans, emission)
 
 
 @query("d5_hsmm_learning", f"WITH {ROWS6}, y AS (SELECT *, slot - row_number() OVER (PARTITION BY subject_id, stage ORDER BY slot) AS g FROM rows6 WHERE stage >= 0), bt AS (SELECT stage, count(*) AS length FROM y GROUP BY subject_id, stage, g) SELECT stage, round(greatest(avg(length), 1), 6) AS rate, max(length) AS longest, count(*) AS runs FROM bt GROUP BY 1")
@@ -349,5 +344,4 @@ def d5(spark, sf):
 
 @query("d7_ordered_sequences", f"WITH {SIG} SELECT subject_id, list(stage ORDER BY t_us)[1] AS first_stage, list(stage ORDER BY t_us)[-1] AS last_stage, count(*) AS n FROM sig GROUP BY 1")
 def d7(spark, sf):
-    x = sig(spark, sf).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("t_us", "stage"))).alias("q"))
-    return x.select("subject_id", F.element_at("q", 1)["stage"].alias("first_stage"), F.element_at("q", -1)["stage"].alias("last_stage"), F.size("q").cast("long").alias("n"))
+    return sig(spark, sf).groupBy("subject_id").agg(F.min_by("stage", "t_us").alias("first_stage"), F.max_by("stage", "t_us").alias("last_stage"), F.count("*").alias("n"))
