@@ -182,14 +182,15 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, unit: str, lengt
         wanted = cold.groupBy("rk").agg(F.collect_list(F.struct("a", "d", "m", "pos", "own")).alias("want"))
         # rows with equal id and text have one key: one of them shows the text
         pieces = src.join(wanted, "rk").dropDuplicates(["rk"]).select("text", "want").mapInArrow(_fetch(unit, length), PIECE)
-        found = members.join(locate(pieces), ["a", "d"]).select("rk", "pos", F.expr("own * (reps - 1)").alias("more"), F.explode("spans").alias("x"))
+        found = members.join(materialise(locate(pieces), "answers"), ["a", "d"]).select("rk", "pos", F.expr("own * (reps - 1)").alias("more"), F.explode("spans").alias("x"))
         found = found.select("rk", F.expr("pos + x.s").alias("s"), F.expr("pos + more + x.e").alias("e"))
         spans = found if spans is None else spans.unionByName(found)
         if common is None or common.isEmpty():
             return spans.groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
         k = min(length, max(k + 1, (k + length) // 2)) if length - k > 4 else length
         runs = members.join(common, "a").groupBy("rk").agg(F.collect_list(F.struct(F.col("pos").alias("s"), F.expr("pos + own * reps").alias("e"))).alias("at"))
-        segs = src.join(runs, "rk").select("rk", "text", "at").mapInArrow(_anchored_again(unit, length, k), SEGMENT)
+        src = materialise(src.select("rk", "text").join(runs, "rk"), "common_texts")  # from here on only texts that hold common windows
+        segs = src.mapInArrow(_anchored_again(unit, length, k), SEGMENT)
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
