@@ -68,19 +68,19 @@ _AFTER = "|".join(t for g in HONORIFICS.values() for t in g)
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]{0,31}[0-9])[A-Fa-f0-9]{32,}+(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z]{2}[0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9])(?:\+1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[1-9][0-9]{0,2}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
-    "street": r"(?<![0-9])[0-9]{1,5} \p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2} (?:Street|Avenue|Road|Lane|Boulevard|Drive|Court)(?![\p{L}])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}|(?<={'|'.join(INTRODUCTIONS)}){_WORD}(?: {_WORD}){{0,2}}"
-    rf"|(?<![\p{{L}}\p{{M}}])(?:{_CASELESS})\.? [\p{{L}}\p{{M}}]+|[{HAN_FAMILIES}]\p{{IsHan}}{{0,2}}(?:先生|女士|小姐)|\p{{IsHan}}{{1,4}}(?:さん|様)|[{HANGUL_FAMILIES}]\p{{IsHangul}}{{1,2}} ?(?:씨|님)",
+    "street": r"(?=[0-9])(?<![0-9])[0-9]{1,5} \p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2} (?:Street|Avenue|Road|Lane|Boulevard|Drive|Court)(?![\p{L}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}|(?=\p{{Lu}})(?<={'|'.join(INTRODUCTIONS)}){_WORD}(?: {_WORD}){{0,2}}"
+    rf"|(?=[\u0590-\u06FF\u0900-\u097F])(?<![\p{{L}}\p{{M}}])(?:{_CASELESS})\.? [\p{{L}}\p{{M}}]+|[{HAN_FAMILIES}]\p{{IsHan}}{{0,2}}(?:先生|女士|小姐)|\p{{IsHan}}{{1,4}}(?:さん|様)|[{HANGUL_FAMILIES}]\p{{IsHangul}}{{1,2}} ?(?:씨|님)",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every pattern needs a digit, an at sign, a colon pair, a title or an introduction: a quick test that spares most texts the long pattern.
-HINT = rf"[0-9@]|::|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}|(?:{'|'.join(INTRODUCTIONS)})\p{{Lu}}|(?:{_CASELESS})|(?:{_AFTER})"
+HINT = rf"[0-9@]|::|(?=\p{{Lu}})(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}|(?:{'|'.join(INTRODUCTIONS)})\p{{Lu}}|(?:{_CASELESS})|(?:{_AFTER})"
 _HEAD = rf"^(?:(?:{_TITLE}|{_CASELESS})\.? )"
 _TAIL = rf" ?(?:{_AFTER})$"
 
