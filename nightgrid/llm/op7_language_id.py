@@ -193,7 +193,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # hashes up to a bound by the language's size: twice as many rows as wanted and some, whatever the language holds
     bound = lambda n: (1 << 63) - 1 if n <= 2 * share + 64 else int(-(1 << 63) + (1 << 64) * ((2 * share + 64) / n))
     tops = docs.sparkSession.createDataFrame([(g, k, bound(n)) for k, (g, n) in enumerate(held)], "lang string, number int, top long")
-    near = known.join(tops, "lang").filter("h <= top").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    # one row a language, as the models that every task gets: broadcast, so that only rows under the bound are shuffled with their texts
+    near = known.join(F.broadcast(tops), "lang").filter("h <= top").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     # every fifth is for calibration; a language's first one never is
     sample = materialise(near.filter(F.col("r") <= share).select(F.col("number").alias("lang"), "text", (F.col("r") % 5 == 0).alias("calibrate")), "sample")
     fit = sample.filter("NOT calibrate").select("lang", "text")
