@@ -29,7 +29,7 @@ TRACK_BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 12), "sigma": (1
 EPS = 1e-6
 #: name -> (channels that must be there, channels of which one must be, function)
 GENERATORS: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable[..., Tracks]]] = {}
-TRACK_SCHEMA = "subject_id long, algo string, signal string, idx long, t_us long, units string, v double"
+TRACK_SCHEMA = "algo string, signal string, idx long, t_us long, units string, v double"
 AIRFLOWS = ("flow", "airflow", "airflow_thermal", "airflow_pressure")
 
 
@@ -268,11 +268,23 @@ def beat_metrics(beat_ms: np.ndarray, hr: np.ndarray, width_ms: float = 30_000.0
     return out
 
 
+#: Beat detectors by name; a function of (samples, rate) may be given in place of a name.
+DETECTORS = {"adaptive": dsp.r_peaks}
+
+
+def beats(x: np.ndarray, fs: float, detector: str | Callable[[np.ndarray, float], np.ndarray] = "adaptive") -> np.ndarray:
+    """Samples of the beats by the named or given detector, in order and each once."""
+    f = detector if callable(detector) else DETECTORS.get(detector.strip().lower())
+    if f is None:
+        raise ValueError(f"no beat detector {detector}; there are {', '.join(DETECTORS)}")
+    return np.unique(np.asarray(f(x, fs), np.int64))
+
+
 @generator("pan_tompkins", "ecg")
-def pan_tompkins(ch: Channels) -> Tracks:
+def pan_tompkins(ch: Channels, detector: str | Callable[[np.ndarray, float], np.ndarray] = "adaptive") -> Tracks:
     """Beats, and rate and variability at each beat, held to the next, at the sample rate."""
     x, fs = ch["ecg"]
-    p = dsp.r_peaks(x, fs)
+    p = beats(x, fs, detector)
     hr = 60 * fs / np.diff(p) if len(p) > 1 else np.empty(0)
     beat = beat_metrics(p[1:] / fs * 1000, hr)
     mask = np.zeros(len(x))
@@ -746,9 +758,9 @@ def _recording(table: pa.Table) -> tuple[Channels, dict[str, str]]:
 
 
 def _run_all(names: tuple[str, ...], options: dict) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("subject_id", pa.int64()), ("algo", pa.string()), ("signal", pa.string()), ("idx", pa.int64()), ("t_us", pa.int64()), ("units", pa.string()), ("v", pa.float64())])
-
     def run(table: pa.Table) -> pa.Table:
+        id_type = table.schema.field("subject_id").type
+        schema = pa.schema([("subject_id", id_type), ("algo", pa.string()), ("signal", pa.string()), ("idx", pa.int64()), ("t_us", pa.int64()), ("units", pa.string()), ("v", pa.float64())])
         every, units = _recording(table)
         out = [schema.empty_table()]
         for name in names:
@@ -759,7 +771,7 @@ def _run_all(names: tuple[str, ...], options: dict) -> Callable[[pa.Table], pa.T
                 n = len(v)
                 t = np.round((start + np.arange(n) / rate) * 1e6).astype(np.int64)
                 same = lambda x: pa.repeat(pa.scalar(x, pa.string()), n)  # noqa: B023, E731
-                subject = pa.repeat(pa.scalar(table.column("subject_id")[0].as_py(), pa.int64()), n)
+                subject = pa.repeat(pa.scalar(table.column("subject_id")[0].as_py(), id_type), n)
                 out.append(pa.table([subject, same(name), same(signal), pa.array(np.arange(n)), pa.array(t), same(unit), pa.array(np.where(np.isfinite(v), v, np.nan), pa.float64(), from_pandas=True)], schema=schema))
         return pa.concat_tables(out)
 
@@ -770,11 +782,13 @@ def run_generators(chunks: DataFrame, names: tuple[str, ...], **options: dict) -
     """Tracks of several generators for every subject, long form; a recording is read once for all of them.
 
     A subject without a required channel (or in other units, where they matter) gives no rows of that generator. ``options``: keywords by generator.
+    Subjects may have ids of any type.
     """
     lane = F.col("lane") if "lane" in chunks.columns else F.lit(0)
     src = chunks.select("subject_id", "channel", lane.cast("int").alias("lane"), "chunk_id", F.col("fs").cast("double").alias("fs"), F.col("units").cast("string").alias("units"), F.col("samples").cast("array<double>").alias("samples"))
     wanted = sorted({c for n in names for c in GENERATORS[n][2].channels})
-    return src.filter(F.col("channel").isin(*wanted)).groupBy("subject_id").applyInArrow(_run_all(names, options), TRACK_SCHEMA)
+    schema = f"subject_id {chunks.schema['subject_id'].dataType.simpleString()}, {TRACK_SCHEMA}"
+    return src.filter(F.col("channel").isin(*wanted)).groupBy("subject_id").applyInArrow(_run_all(names, options), schema)
 
 
 def run_generator(chunks: DataFrame, name: str, **options) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightgrid.operators import binning, labels, sequences, stats
+from nightgrid.operators import binning, labels, markers, sequences, stats
 
 from . import models
-from .adapter import EPISODES, PAIRS, ROWS6, SIG, UNIT, episodes, pairs, rows6, sig
+from .adapter import EPISODES, PAIRS, ROW, ROWS6, SIG, UNIT, episodes, pairs, rows6, sig
 from .registry import query, r6
 from .statistics import HOLD, held
 
@@ -176,3 +176,31 @@ def m34(spark, sf):
     g = z.withColumn("class", F.explode(F.array(*[F.lit(c) for c in range(5)])))
     own = F.col("stage") == F.col("class")
     return g.groupBy("class").agg(*[r6(stats.cohens_d(F.col(x), own), f"d_{n}") for x, n in (("v", "raw"), ("z", "scaled"))])
+
+
+@query("f49_epoch_markers", f"""WITH {SIG}, s AS MATERIALIZED (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS i, v, k, v * k / 100 AS low, k * k / 100 AS theta FROM sig),
+m AS (SELECT subject_id, median(v) AS mv, median(k) AS mk, median(theta) AS mt, avg(low) AS ml, avg(v) AS av, avg(k) AS ak, var_pop(k) AS kk, var_pop(v) AS vv, covar_pop(k, v) AS kv, covar_pop(k, low) AS kl, covar_pop(v, low) AS vl FROM s GROUP BY 1),
+d AS (SELECT subject_id, median(abs(v - mv)) AS dv, median(abs(theta - mt)) AS dt FROM s JOIN m USING (subject_id) GROUP BY 1),
+f AS (SELECT *, kk * vv - kv * kv > 1e-10 * kk * vv AS two FROM m),
+c AS (SELECT *, CASE WHEN two THEN (kl * vv - vl * kv) / (kk * vv - kv * kv) WHEN kk > 0 THEN kl / kk ELSE 0 END AS fk, CASE WHEN two THEN (vl * kk - kl * kv) / (kk * vv - kv * kv) WHEN kk <= 0 AND vv > 0 THEN vl / vv ELSE 0 END AS fv FROM f),
+w AS (SELECT *, quantile_cont(v, 0.5) OVER x AS med, list(v) OVER x AS near FROM s WINDOW x AS (PARTITION BY subject_id ORDER BY i ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+j AS (SELECT *, 1.4826 * list_aggregate(list_transform(near, lambda y: abs(y - med)), 'median') AS sd FROM w),
+e AS MATERIALIZED (SELECT subject_id, i // 30 AS epoch_index, count(*) FILTER (v > mv + 2 * 1.4826 * dv AND k < mk) AS rem_eye_bursts, count(*) FILTER (sd > 0 AND v > med + 2.5 * sd AND k > mk) AS kcomplex_events,
+ avg(low - (ml + fk * (k - ak) + fv * (v - av))) AS slow, avg(k) AS alpha, avg(v) AS chin, count(*) FILTER (theta > mt + 2 * 1.4826 * dt AND v < mv) AS sawtooth_theta FROM j JOIN c USING (subject_id) JOIN d USING (subject_id) GROUP BY 1, 2),
+q AS (SELECT subject_id, quantile_cont(chin, 0.75) AS tense FROM e GROUP BY 1), l AS (SELECT subject_id, median(alpha) AS level FROM e JOIN q USING (subject_id) WHERE chin > tense GROUP BY 1)
+SELECT subject_id, epoch_index, rem_eye_bursts, kcomplex_events, round(slow, 6) AS slow_eye_movements, round(alpha / nullif(level, 0), 6) AS alpha_dropout, sawtooth_theta FROM e LEFT JOIN l USING (subject_id)""")
+def f49(spark, sf):
+    s = sig(spark, sf).withColumn("second", F.row_number().over(Window.partitionBy("subject_id").orderBy("t_us")) - 1)
+    as_track = {"eog_high": "v", "eog_low": "v * k / 100", "f_rel_delta": "k", "c_log_power": "v", "c_rel_delta": "k", "c_rel_theta": "k * k / 100", "emg_log_rms": "v", "o_rel_alpha": "k"}
+    x = markers.epoch_markers(s.select("subject_id", "second", *[F.expr(e).alias(c) for c, e in as_track.items()]))
+    return x.select("subject_id", "epoch_index", "rem_eye_bursts", "kcomplex_events", r6("slow_eye_movements"), r6("alpha_dropout"), "sawtooth_theta")
+
+
+@query("x2_array_features", f"""WITH {SIG}, i AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS i, v FROM sig), n AS (SELECT subject_id, count(*) AS n, max(t_us) // {ROW} + 1 AS rows FROM sig GROUP BY 1 HAVING count(*) >= 2),
+g AS (SELECT subject_id, n, unnest(range(0, rows)) AS j, rows FROM n), h AS (SELECT *, j * (n - 1) / greatest(rows - 1, 1)::DOUBLE AS x FROM g), f AS (SELECT *, CAST(floor(x) AS BIGINT) AS i FROM h)
+SELECT f.subject_id, 'rate' AS name, CAST(f.j AS INT) AS row, round(a.v + (x - f.i) * (b.v - a.v), 6) AS v FROM f JOIN i a USING (subject_id, i) JOIN i b ON b.subject_id = f.subject_id AND b.i = least(f.i + 1, n - 1)""")
+def x2(spark, sf):
+    s = sig(spark, sf)
+    night = s.groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "v"))), lambda p: p["v"]).alias("samples"), (F.floor(F.max("t_us") / ROW) + 1).alias("rows"))
+    arrays = night.select("subject_id", F.explode(F.array(F.lit("rate"), F.lit("peak_width"))).alias("name"), "samples")
+    return markers.array_features(arrays, night.select("subject_id", "rows")).select("subject_id", "name", "row", r6("v"))

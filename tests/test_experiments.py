@@ -1,10 +1,13 @@
 """Selectors, quality rules, builders and experiment loops."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightgrid.operators import quality, selectors
-from nightgrid.plans import experiments
+from nightgrid.functions import generators
+from nightgrid.operators import markers, quality, selectors
+from nightgrid.plans import experiments, reference
+from nightgrid.sources import recordings
 
 
 def test_selectors(spark):
@@ -70,3 +73,69 @@ def test_holdout_is_scored_once(spark, tmp_path):
         led.score_once("h", pred, "y", [0, 1], dev)
     with pytest.raises(ValueError):
         led.score_once("g", pred.withColumn("subject_id", F.lit(1).cast("long")), "y", [0, 1], dev)
+
+
+def test_markers_of_a_made_night(spark):
+    r = np.random.default_rng(3)
+    n = 600
+    t = {c: r.normal(0, 1, n) for c in markers.TRACKS}
+    t["f_rel_delta"][:300] -= 5  # low delta, where bursts of the eyes count
+    t["eog_high"][[5, 7, 35, 400]] = 50.0
+    t["eog_low"] = 3 + 2 * t["f_rel_delta"] - t["c_log_power"]
+    t["eog_low"][300:330] += 4
+    t["o_rel_alpha"] = np.full(n, 2.0)
+    t["o_rel_alpha"][90:120] = 1.0
+    t["emg_log_rms"][500:530] = np.nan
+    rows = [(7, i, *[float(t[c][i]) for c in markers.TRACKS]) for i in range(n)]
+    df = spark.createDataFrame(rows, "subject_id long, second long, " + ", ".join(f"{c} double" for c in markers.TRACKS))
+    got = {x["epoch_index"]: x for x in markers.epoch_markers(df).collect()}
+    high = lambda c: t[c] > np.nanmedian(t[c]) + 2 * 1.4826 * np.nanmedian(np.abs(t[c] - np.nanmedian(t[c])))
+    near = [t["c_log_power"][max(0, i - 15) : i + 16] for i in range(n)]
+    jump = np.array([x > np.median(w) + 2.5 * 1.4826 * np.median(np.abs(w - np.median(w))) for x, w in zip(t["c_log_power"], near)])
+    low = lambda c: t[c] < np.nanmedian(t[c])
+    plain = {"rem_eye_bursts": high("eog_high") & low("f_rel_delta"), "kcomplex_events": jump & (t["c_rel_delta"] > np.median(t["c_rel_delta"])), "sawtooth_theta": high("c_rel_theta") & low("emg_log_rms")}
+    assert len(got) == 20 and all([got[k][m] for k in range(20)] == v.reshape(20, 30).sum(1).tolist() for m, v in plain.items()) and plain["rem_eye_bursts"][[5, 7, 35, 400]].tolist() == [True] * 3 + [False]
+    slow = {k: v["slow_eye_movements"] for k, v in got.items()}
+    a = np.column_stack([np.ones(n), t["f_rel_delta"], t["c_log_power"]])
+    plain = t["eog_low"] - a @ np.linalg.lstsq(a, t["eog_low"], rcond=None)[0]
+    assert all(abs(slow[k] - plain[30 * k : 30 * k + 30].mean()) < 1e-9 for k in got) and max(slow, key=slow.get) == 10
+    assert got[3]["alpha_dropout"] == 0.5 and got[4]["alpha_dropout"] == 1.0
+    flat = markers.epoch_markers(df.withColumn("o_rel_alpha", F.lit(0.0)).withColumn("f_rel_delta", F.col("c_log_power"))).collect()
+    assert len(flat) == 20 and all(x["alpha_dropout"] is None and x["slow_eye_movements"] is not None for x in flat)
+    assert markers.epoch_markers(df.limit(0)).count() == 0
+
+
+def test_array_features_are_drawn_to_the_rows(spark):
+    df = spark.createDataFrame([(1, "rate", [0.0, 10.0, 0.0]), (1, "peak_Width", [1.0, 2.0]), (1, "one", [1.0]), (1, "none", None), (1, "same", [5.0, 6.0, 7.0, 8.0, 9.0])], "subject_id long, name string, samples array<double>")
+    rows = lambda n: markers.array_features(df, spark.createDataFrame([(1, n)], "subject_id long, rows long")).orderBy("name", "row").collect()
+    got = {}
+    for r in rows(5):
+        got.setdefault(r["name"], []).append(r["v"])
+    assert got == {"rate": [0, 5, 10, 5, 0], "same": [5, 6, 7, 8, 9]}
+    assert [(r["name"], r["v"]) for r in rows(1)] == [("rate", 0.0), ("same", 5.0)] and rows(0) == []
+
+
+def test_beat_detectors():
+    x = np.sin(np.arange(4000) / 20)
+    assert np.array_equal(generators.beats(x, 100.0, " Adaptive"), generators.beats(x, 100.0))
+    own = generators.pan_tompkins({"ecg": (x, 100.0)}, detector=lambda x, fs: [300, 100, 200, 200])
+    assert np.flatnonzero(own["heartbeat_mask"][0]).tolist() == [100, 200, 300]
+    with pytest.raises(ValueError):
+        generators.beats(x, 100.0, "unknown")
+
+
+def test_reference_of_one_and_two_data_sets(spark):
+    rows = [(1, i, i % 2, float(i), 2.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "subject_id long, slot long, stage int, respiration__rate double, other double")
+    one = reference.staging_reference({"a": df})
+    assert one.table is df and one.features == ["respiration__rate"] and sorted((r["epoch_index"], r["stage"]) for r in one.staging.collect()) == [(0, 0), (1, 1)]
+    two = reference.staging_reference({"a": df, "b": df.withColumn("x__eeg_1", F.lit(1))})
+    assert "x__eeg_1" not in two.table.columns and two.staging.count() == 4 and set(two.staging.select("dataset").distinct().toPandas()["dataset"]) == {"a", "b"}
+    assert reference.output_folder("out/", "run") == "out/run" and reference.output_folder("out", "run", ("a", "b")) == "out/run__a+b" and reference.output_folder("out") == "out"
+
+
+def test_record_from_file_to_tables(spark, tmp_path):
+    r = np.random.default_rng(2)
+    (tmp_path / "n01.rec").write_bytes(recordings.write_edf([(c, 100, r.normal(0, 30, 100 * 60)) for c in ("C3A2", "EMG", "ECG", "Lefteye", "RightEye")]))
+    tracks, tables = reference.record_features(spark, f"file://{tmp_path}", "staging")
+    assert {x["subject_id"] for x in tracks.select("subject_id").distinct().collect()} == {"n01"} and tables["6s"].count() == 10
