@@ -547,6 +547,14 @@ def resampled(x: np.ndarray, fs: float, to: float, n: int) -> np.ndarray:
     return line_through(np.arange(len(x)) * (to / fs), np.asarray(x, float), n) if len(x) > 1 else np.zeros(n)
 
 
+def block_rate(x: np.ndarray, fs: float, to: int, n: int) -> np.ndarray:
+    """``n`` seconds at ``to`` values a second: means of equal blocks where the rate allows, else straight lines."""
+    whole = int(round(fs))
+    if whole == fs and whole % to == 0:
+        return x[: n * whole].reshape(n * to, whole // to).mean(1)
+    return np.interp((np.arange(n * to) + 0.5) / to, np.arange(len(x)) / fs, x)
+
+
 def peak_baseline(t: np.ndarray, height: np.ndarray, ratio: float, all_count: bool, window: float = 120.0) -> tuple[np.ndarray, np.ndarray]:
     """for each peak the mean height of earlier peaks in the window that were no drop (of all where there is none, NaN
     without any), and whether it is a drop: below ``ratio`` of that. With ``all_count`` drops count for later means as well."""

@@ -20,7 +20,7 @@ SCHEMA = "subject_id string, channel string, chunk_id long, fs double, units str
 # Recorded names (letters and digits only, lower case) and the channel they mean.
 ALIASES = {
     "c3a2": "eeg", "c4a1": "eeg2", "c3m2": "eeg", "c4m1": "eeg2", "lefteye": "eog_left", "righteye": "eog_right", "lofeog": "eog_left", "e1m2": "eog", "chin1chin2": "emg", "emg": "emg", "ecg": "ecg",
-    "spo2": "spo2", "sao2": "spo2", "flow": "airflow", "airflow": "airflow", "ribcage": "thorax", "chest": "thorax", "abdo": "abdomen", "abd": "abdomen", "sum": "effort", "sound": "snore", "pulse": "pulse", "bodypos": "position",
+    "spo2": "spo2", "sao2": "spo2", "flow": "airflow", "airflow": "airflow", "ribcage": "effort_thoracic", "chest": "effort_thoracic", "abdo": "effort_abdominal", "abd": "effort_abdominal", "sum": "effort_sum", "sound": "snore", "pulse": "pulse", "bodypos": "position",
 }
 
 
@@ -131,15 +131,20 @@ def read_wfdb(spark: SparkSession, path: str) -> DataFrame:
 
 
 def derived_channels(chunks: DataFrame) -> DataFrame:
-    """IO2, IO8: ``eog`` = left - right and ``effort`` = thorax + abdomen, where rates agree; truncated to the shorter chunk."""
+    """IO2, IO8: ``eog`` = left - right and ``effort_sum`` = both belts, where rates agree; truncated to the shorter chunk.
+
+    A subject that was recorded with such a channel keeps its own.
+    """
 
     def both(a: str, b: str, name: str, sign: int) -> DataFrame:
         x = chunks.filter(F.col("channel") == a).alias("a").join(chunks.filter(F.col("channel") == b).alias("b"), ["subject_id", "chunk_id", "fs"])
+        own = chunks.filter(F.col("channel") == name).select("subject_id").distinct()
+        x = x.join(own, "subject_id", "left_anti")
         n = "least(size(a.samples), size(b.samples))"
         v = F.expr(f"zip_with(slice(a.samples, 1, {n}), slice(b.samples, 1, {n}), (x, y) -> x {'+' if sign > 0 else '-'} y)")
         return x.select("subject_id", F.lit(name).alias("channel"), "chunk_id", "fs", F.col("a.units").alias("units"), v.alias("samples"))
 
-    return chunks.unionByName(both("eog_left", "eog_right", "eog", -1)).unionByName(both("thorax", "abdomen", "effort", 1))
+    return chunks.unionByName(both("eog_left", "eog_right", "eog", -1)).unionByName(both("effort_thoracic", "effort_abdominal", "effort_sum", 1))
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:

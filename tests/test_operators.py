@@ -372,6 +372,29 @@ def test_lanes_units_and_pipelines(spark):
     assert other.count() == 0
 
 
+def test_heart_breath_and_oxygen_without_an_eeg():
+    fs, seconds = 200, 600
+    t = np.arange(fs * seconds) / fs
+    ecg = np.zeros(len(t))
+    for k in np.arange(0.5, seconds - 0.5, 0.8):
+        i = int(round(k * fs))
+        ecg[i - 4 : i + 5] += np.hanning(9)
+    belt = np.sin(2 * np.pi * 0.25 * t)
+    oxygen = np.full(seconds, 96.0)
+    oxygen[100:110], oxygen[300:330] = 90.0, 20.0
+    got = {k: v for k, (v, _, _, _) in generators.no_eeg_summaries({"ecg": (ecg, fs), "effort_thoracic": (belt, fs), "effort_abdominal": (-0.5 * belt, fs), "spo2": (oxygen, 1.0)}).items()}
+    epochs = [k for k in got if not k.startswith("sec_") and k != "ihr4"]
+    assert len(epochs) == 25 and all(len(got[k]) == 20 for k in epochs) and sum(k.startswith("sec_") for k in got) == 7 and len(got["ihr4"]) == 4 * seconds
+    mid = slice(3, 17)
+    for name, want, within in (("hr_mean", 75, 0.5), ("br_rate", 15, 0.2), ("resp_peak_hz", 0.25, 0.01), ("abd_chest_corr", -1, 1e-6), ("br_interval_cv", 0, 0.02), ("br_count", 7.5, 0.6), ("pnn50", 0, 0), ("br_amp_log", 0, 0.01)):
+        assert np.abs(got[name][mid] - want).max() <= within, name
+    assert np.isnan(got["ln_lf"][[0, 1, 18, 19]]).all() and np.isnan(got["resp_peak_hz"][[0, 1, 18, 19]]).all() and np.isfinite(got["lf_hf"][mid]).all()
+    assert got["spo2_min"][3] == 90 and abs(got["spo2_drop"][3] - 4) < 1e-9 and np.isnan(got["spo2_mean"][10]) and np.nanmax(got["spo2_sd"]) == got["spo2_sd"][3]
+    assert generators.no_eeg_summaries({c: (np.zeros(0), 10) for c in ("ecg", "effort_thoracic", "effort_abdominal", "spo2")}) == {}
+    silent = generators.no_eeg_summaries({"ecg": (np.zeros(100 * 40), 100), "effort_thoracic": (np.zeros(400), 10), "effort_abdominal": (np.zeros(1000), 25), "spo2": (np.zeros(40), 1)})
+    assert np.isnan(silent["hr_mean"][0]).all() and silent["br_count"][0].tolist() == [0] and np.isnan(silent["ecg_noise"][0]).all() and np.isnan(silent["abd_chest_corr"][0]).all()
+
+
 def test_sparse_closing():
     m = np.zeros(20, bool)
     m[[5, 9]] = True
@@ -394,7 +417,7 @@ def test_wfdb_round_trip(spark, tmp_path):
     (tmp_path / "tr01.hea").write_text("tr01 2 200 100\ntr01.mat 16+24 10(0)/uV 16 0 0 0 0 C3-M2\ntr01.mat 16+24 5(10)/uV 16 0 0 0 0 ABD\n")
     (tmp_path / "tr01.mat").write_bytes(b"\0" * 24 + raw.tobytes())
     rows = {r["channel"]: r for r in recordings.read_wfdb(spark, f"file://{tmp_path}").collect()}
-    assert rows["eeg"]["samples"][10] == 1.0 and rows["abdomen"]["samples"][10] == 2.0
+    assert rows["eeg"]["samples"][10] == 1.0 and rows["effort_abdominal"]["samples"][10] == 2.0
     assert recordings.record_length(spark, f"file://{tmp_path}").collect()[0]["seconds"] == 0.5
 
 
@@ -403,6 +426,14 @@ def test_derived_channels_truncate(spark):
     assert recordings.derived_channels(c).filter("channel = 'eog'").collect()[0]["samples"] == [2.0, 3.0]
 
 
+def test_belts_are_summed_once_and_reach_the_generators(spark):
+    rows = [(s, c, 0, 1.0, "uV", [v]) for s in ("a", "b") for c, v in (("effort_thoracic", 1.0), ("effort_abdominal", 2.0))] + [("b", "effort_sum", 0, 1.0, "uV", [7.0])]
+    out = recordings.derived_channels(spark.createDataFrame(rows, recordings.SCHEMA)).filter("channel = 'effort_sum'").collect()
+    assert sorted((r["subject_id"], r["samples"]) for r in out) == [("a", [3.0]), ("b", [7.0])]
+    known = {c for _, _, f in generators.GENERATORS.values() for c in f.channels}
+    assert {recordings.canonical(n) for n in ("CHEST", "ABD", "ribcage", "abdo", "Sum", "SaO2", "Flow", "ECG", "C3-M2", "E1-M2", "Chin1-Chin2")} <= known
+
+
 def test_study_cache_rerun_and_failure(spark, tmp_path):
     calls = []
 
