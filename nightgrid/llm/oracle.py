@@ -37,3 +37,11 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM t a JOIN t b
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 c(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.m)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.m) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) GROUP BY 1, 2"""
+
+OP13 = """WITH s AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS x, [CAST('0x' || substring(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS r FROM s),
+c AS (SELECT *, len(x) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS hi FROM c),
+q AS (SELECT *, array_to_string(x[1 : lo], '') AS a, array_to_string(x[lo + 1 : hi], '') AS b, array_to_string(x[hi + 1 : n], '') AS z FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM q"""

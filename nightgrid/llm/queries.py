@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .op1_suffix_array import op1_suffix_array
 from .op10_quality_rules import op10_quality_rules
+from .op13_fill_in_middle import op13_fill_in_middle
 from .op2_line_dedup import op2_line_dedup
 from .op3_jaccard_join import op3_jaccard_join
 from .op4_surrogates import op4_surrogates
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_repair": op9_chat_repair,
     "op10_quality_rules": op10_quality_rules,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL over whole tables. Operators without an entry are tested against plain versions in tests/llm.
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": oracle.OP2,
     "op3_jaccard_join": oracle.OP3,
     "op6_phrase_automata": oracle.OP6,
+    "op13_fill_in_middle": oracle.OP13,
 }
