@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .op1_suffix_array import op1_suffix_array
 from .op10_quality_rules import op10_quality_rules
+from .op11_deleted_interpolation import op11_deleted_interpolation
 from .op12_token_alignment import op12_token_alignment
 from .op13_fill_in_middle import op13_fill_in_middle
 from .op2_line_dedup import op2_line_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_repair": op9_chat_repair,
     "op10_quality_rules": op10_quality_rules,
+    "op11_deleted_interpolation": op11_deleted_interpolation,
     "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
