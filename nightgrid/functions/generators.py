@@ -909,17 +909,27 @@ def _run_all(names: tuple[str, ...], options: dict) -> Callable[[pa.Table], pa.T
     return run
 
 
+def channel_rows(chunks: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The rows that some generators look at, with only the columns that they need, and the schema of what they give."""
+    lane = F.col("lane") if "lane" in chunks.columns else F.lit(0)
+    src = chunks.select("subject_id", "channel", lane.cast("int").alias("lane"), "chunk_id", F.col("fs").cast("double").alias("fs"), F.col("units").cast("string").alias("units"), F.col("samples").cast("array<double>").alias("samples"))
+    wanted = sorted({c for n in names for c in GENERATORS[n][2].channels})
+    return src.filter(F.col("channel").isin(*wanted)), f"subject_id {chunks.schema['subject_id'].dataType.simpleString()}, {TRACK_SCHEMA}"
+
+
+def kernel(names: tuple[str, ...], **options: dict) -> Callable[[pa.Table], pa.Table]:
+    """What a task does with one subject's ``channel_rows``."""
+    return _run_all(names, options)
+
+
 def run_generators(chunks: DataFrame, names: tuple[str, ...], **options: dict) -> DataFrame:
     """Tracks of several generators for every subject, long form; a recording is read once for all of them.
 
     A subject without a required channel (or in other units, where they matter) gives no rows of that generator. ``options``: keywords by generator.
     Subjects may have ids of any type.
     """
-    lane = F.col("lane") if "lane" in chunks.columns else F.lit(0)
-    src = chunks.select("subject_id", "channel", lane.cast("int").alias("lane"), "chunk_id", F.col("fs").cast("double").alias("fs"), F.col("units").cast("string").alias("units"), F.col("samples").cast("array<double>").alias("samples"))
-    wanted = sorted({c for n in names for c in GENERATORS[n][2].channels})
-    schema = f"subject_id {chunks.schema['subject_id'].dataType.simpleString()}, {TRACK_SCHEMA}"
-    return src.filter(F.col("channel").isin(*wanted)).groupBy("subject_id").applyInArrow(_run_all(names, options), schema)
+    src, schema = channel_rows(chunks, names)
+    return src.groupBy("subject_id").applyInArrow(kernel(names, **options), schema)
 
 
 def run_generator(chunks: DataFrame, name: str, **options) -> DataFrame:

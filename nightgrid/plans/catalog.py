@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, extra, sequences, signals, statistics  # noqa: F401
+from . import core, extra, kept, sequences, signals, statistics  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_subject_report"

@@ -11,40 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nightgrid.operators import stats
+from nightgrid.operators.numbering import numbered
 
 
 def subject_folds(df: DataFrame, label: str, k: int = 5, seed: int = 7, subject: str = "subject_id") -> DataFrame:
-    """V1: ``subject, fold``. Subjects go, in seeded order of size, to the fold whose class counts stay most even.
+    """V1: ``subject, fold``. Subjects are lined up by the class of which they hold the largest share, by size and by a seeded hash, and dealt back and
+    forth over the folds, so each fold has its part of every class and size.
 
-    Only the (subject, class) count table reaches the driver.
+    The line is a distributed order of one row a subject; nothing of it reaches the driver.
     """
-    counts: dict = {}
-    for r in df.groupBy(subject, label).agg(F.count("*").alias("n")).collect():
-        counts.setdefault(r[subject], {})[r[label]] = r["n"]
-    classes = sorted({c for v in counts.values() for c in v})
-    import random
-
-    rng = random.Random(seed)
-    order = sorted(counts, key=lambda s: (-sum(counts[s].values()), rng.random(), s))
-    total = {c: max(1, sum(v.get(c, 0) for v in counts.values())) for c in classes}
-    load = [dict.fromkeys(classes, 0) for _ in range(k)]
-
-    def spread(f: int, s) -> tuple:
-        share = lambda g, c: (load[g][c] + (counts[s].get(c, 0) if g == f else 0)) / total[c]
-        out = 0.0
-        for c in classes:
-            v = [share(g, c) for g in range(k)]
-            m = sum(v) / k
-            out += sum((x - m) ** 2 for x in v)
-        return out, sum(load[f].values()), f
-
-    rows = []
-    for s in order:
-        f = min(range(k), key=lambda f: spread(f, s))
-        for c, n in counts[s].items():
-            load[f][c] += n
-        rows.append((s, f))
-    return df.sparkSession.createDataFrame(rows, f"{subject} {df.schema[subject].dataType.simpleString()}, fold int")
+    n = df.groupBy(subject, label).agg(F.count("*").alias("_n"))
+    n = n.withColumnRenamed(label, "_class")
+    every = n.groupBy(F.col("_class").alias("_c")).agg(F.sum("_n").alias("_all"))  # one row a class
+    share = n.join(F.broadcast(every), F.equal_null("_class", "_c")).withColumn("_share", F.col("_n") / F.col("_all"))
+    line = share.groupBy(subject).agg(F.sum("_n").alias("_size"), F.max_by("_class", F.struct("_share", "_class")).alias("_class"))
+    line = line.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(subject).cast("string"))))
+    line = numbered(line, F.col("_class").asc_nulls_last(), F.col("_size").desc(), F.col("_hash"), F.col(subject), name="_i")
+    place = F.col("_i") % (2 * k)
+    return line.select(subject, F.when(place < k, place).otherwise(2 * k - 1 - place).cast("int").alias("fold"))
 
 
 def estimator(family: str, features: list[str], label: str, weight: str | None = None, seed: int = 7, classes: int | None = None, depth: int = 8) -> Pipeline:
@@ -102,21 +86,9 @@ def fold_scores(pred: DataFrame, label: str, labels: list[int]) -> DataFrame:
 def permuted(df: DataFrame, column: str, seed: int = 7) -> DataFrame:
     """T4: ``column`` dealt anew among rows: each row takes the value of the row at the same place of a seeded order.
 
-    Both orders come from range-partitioned sorts with per-partition offsets, so no task numbers all rows.
+    Both orders are stored with their numbers before they are joined, so no value is lost or doubled.
     """
-    spark = df.sparkSession
-
-    def numbered(x: DataFrame, by) -> DataFrame:
-        s = x.repartitionByRange(by, "_tie").sortWithinPartitions(by, "_tie").withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-        s = s.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-        n = [(r["_p"], r["n"]) for r in s.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()]  # one row per partition
-        off, rows = 0, []
-        for p, c in n:
-            rows.append((p, off))
-            off += c
-        return s.join(F.broadcast(spark.createDataFrame(rows, "_p int, _o long")), "_p").withColumn("_n", F.col("_o") + F.col("_i")).drop("_p", "_m", "_i", "_o")
-
     keyed = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_r", F.xxhash64("_tie", F.lit(seed)))
-    a = numbered(keyed, "_tie").drop("_r", column)
-    b = numbered(keyed.select("_tie", "_r", column), "_r").select("_n", column)
-    return a.join(b, "_n").drop("_n", "_tie").select(df.columns)
+    a = numbered(keyed.drop("_r", column), "_tie", name="_n")
+    b = numbered(keyed.select("_tie", "_r", column), "_r", "_tie", name="_n").select("_n", column)
+    return a.join(b, "_n").select(df.columns)

@@ -223,7 +223,12 @@ def model_frame(spark, sf):
     return binning.centred_epochs(rows6(spark, sf), "slot", "stage", ["v", "k"]).withColumn("target", (F.col("stage") >= 2).cast("int"))
 
 
-@query("v1_subject_folds")
+EPOCHS = f"""WITH {ROWS6}, bl AS (SELECT subject_id, slot // 5 AS epoch_index, avg(v) AS v, avg(k) AS k FROM rows6 GROUP BY 1, 2 HAVING count(*) = 5), cn AS (SELECT subject_id, slot // 5 AS epoch_index, stage, count(*) AS n FROM rows6 WHERE stage >= 0 GROUP BY 1, 2, 3), lb AS (SELECT subject_id, epoch_index, arg_max(stage, n * 100 - stage) AS stage FROM cn GROUP BY 1, 2), ep AS (SELECT subject_id, epoch_index, v, k, stage FROM bl JOIN lb USING (subject_id, epoch_index))"""
+
+
+@query("v1_subject_folds", f"""{EPOCHS}, n AS (SELECT subject_id, CASE WHEN stage >= 2 THEN 1 ELSE 0 END AS c, count(*) AS n FROM ep GROUP BY 1, 2),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY c) AS share FROM n), l AS (SELECT subject_id, sum(n) AS size, arg_max(c, share * 2 + c * 1e-12) AS c, md5('7:' || subject_id) AS h FROM s GROUP BY 1),
+i AS (SELECT subject_id, (row_number() OVER (ORDER BY c, size DESC, h) - 1) % 10 AS i FROM l) SELECT subject_id, CAST(CASE WHEN i < 5 THEN i ELSE 9 - i END AS INTEGER) AS fold FROM i""")
 def folds(spark, sf):
     return models.subject_folds(model_frame(spark, sf), "target")
 
@@ -239,6 +244,14 @@ def permuted(spark, sf):
     return models.permuted(model_frame(spark, sf).select("subject_id", "epoch_index", "v", "k"), "v")
 
 
+@query("t4_permuted_totals", f"""{EPOCHS} SELECT count(*) AS n, count(DISTINCT (subject_id, epoch_index)) AS epochs, count(v) AS with_v, round(sum(v), 4) AS sum_v, round(sum(v * v), 4) AS sum_v2, round(sum(k), 4) AS sum_k FROM ep""")
+def permuted_totals(spark, sf):
+    """What a permutation must leave as it is: rows, epochs, and the values of the permuted column and of the others."""
+    x = permuted(spark, sf)
+    r4 = lambda c, name: F.round(F.sum(c), 4).alias(name)
+    return x.agg(F.count("*").alias("n"), F.count_distinct("subject_id", "epoch_index").alias("epochs"), F.count("v").alias("with_v"), r4(F.col("v"), "sum_v"), r4(F.col("v") * F.col("v"), "sum_v2"), r4(F.col("k"), "sum_k"))
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     return raw.select(F.col("user_id").alias("subject_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from nightgrid.functions import dsp, generators, spo2
 from nightgrid.operators import asof, binning, decoders, intervals, labels, rolling, runs, stats
+from nightgrid.operators.numbering import numbered
 from nightgrid.plans import models
-from nightgrid.plans.study import Runner, Step, Study
 from nightgrid.sources import recordings
 from nightgrid.streaming import twins
 
@@ -434,43 +434,12 @@ def test_belts_are_summed_once_and_reach_the_generators(spark):
     assert {recordings.canonical(n) for n in ("CHEST", "ABD", "ribcage", "abdo", "Sum", "SaO2", "Flow", "ECG", "C3-M2", "E1-M2", "Chin1-Chin2")} <= known
 
 
-def test_study_cache_rerun_and_failure(spark, tmp_path):
-    calls = []
-
-    def step(name, need, bad=False):
-        def build(inputs):
-            calls.append(name)
-            if bad:
-                raise RuntimeError("no")
-            return spark.range(3)
-
-        return Step(name, build, need)
-
-    st = Study("s", [step("a", ("raw",)), step("b", ("a",)), step("c", ("b",))])
-    src = {"raw": spark.range(1)}
-    run = Runner(spark, str(tmp_path))
-    assert st.problems(("raw",)) == [] and Study("x", [step("q", ("zz",))]).problems() == ["q needs zz"]
-    run.run(st, src)
-    assert calls == ["a", "b", "c"]
-    import shutil
-
-    shutil.rmtree(tmp_path / "s" / "a"), shutil.rmtree(tmp_path / "s" / "b")
-    calls.clear()
-    run.run(st, src, rerun={"a"})
-    assert calls == []  # all later steps are cached, which comes before a rerun
-    run.run(st, src, force={"a"})
-    assert calls == ["a"]
-    bad = Study("t", [step("a", ("raw",), bad=True), step("b", ("a",)), step("c", ("raw",))])
-    run.log.clear()
-    out = run.run(bad, src)
-    assert "c" in out and {(r["step"], r["code"]) for r in run.log_table().collect()} == {("a", "EXTRACT_FAILED"), ("b", "MISSING_DEPENDENCY"), ("c", "")}
-
-
 def test_folds_keep_subjects_apart(spark):
     rows = [(s, i, float(i % 7 + s), (i + s) % 2) for s in range(6) for i in range(40)]
     df = spark.createDataFrame(rows, "subject_id long, i long, f double, y int")
     folds = models.subject_folds(df, "y", 3)
-    assert folds.count() == 6 and [r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()] == [2, 2, 2]
+    assert folds.count() == 6 and folds.join(models.subject_folds(df.repartition(7), "y", 3), ["subject_id", "fold"]).count() == 6  # however the rows lie
+    assert [r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()] == [2, 2, 2]
     p = models.cross_validated(df, ["f"], "y", k=3)
     assert p.count() == 240 and p.groupBy("subject_id").agg(F.count_distinct("fold").alias("n")).agg(F.max("n")).collect()[0][0] == 1
 
@@ -481,6 +450,33 @@ def test_permutation_keeps_values(spark):
     assert sorted(col(p, "i", "v")) == [float(i) for i in range(200)] and col(p, "i", "v") != [float(i) for i in range(200)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_permutation_of_a_large_table_keeps_every_row(spark, tmp_path, adaptive):
+    """Stored rows over many partitions: each id once, the same values, and the other columns as they were."""
+    n = 2_000_000
+    spark.range(0, n, 1, 64).select("id", (F.col("id") % 1000).alias("g"), (F.col("id") * 3 % 700_001).cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        p = models.permuted(df, "v")
+        got = p.agg(F.count("*"), F.count_distinct("id"), F.sum("v"), F.sum((F.col("g") == F.col("id") % 1000).cast("int")), F.sum((F.col("v") == F.col("id") * 3 % 700_001).cast("int"))).first()
+        assert got[:4] == (n, n, df.agg(F.sum("v")).first()[0], n) and got[4] < n / 100
+        counts = p.groupBy("v").count().join(df.groupBy("v").agg(F.count("*").alias("want")), "v", "full")
+        assert counts.filter("NOT count <=> want").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 37 % 101, f"x{i}") for i in range(101)] + [(5, "tie")], "k long, s string").repartition(9)
+    rows = numbered(df, F.col("k").desc(), "s", name="i").orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(102)) and [r["k"] for r in rows] == sorted((r["k"] for r in rows), reverse=True)
+    assert numbered(df.limit(0), "k").count() == 0
+    with pytest.raises(ValueError):
+        numbered(df, "k", name="s")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(1, i * 10 * S, float(10 if i not in (5, 6) else 2)) for i in range(12)]
     df = spark.createDataFrame(rows, "subject_id long, t_us long, v double")
