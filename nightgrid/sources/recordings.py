@@ -86,27 +86,36 @@ def read_edf(spark: SparkSession, path: str, low_gain_below: float | None = None
                 signals = parse_edf(data.as_py())
                 if low_gain_below is not None:
                     signals = [(n, fs, u, m, v * 10 if m < low_gain_below else v) for n, fs, u, m, v in signals]
-                for row in _rows(os.path.splitext(name.rsplit("/", 1)[-1])[0], signals):
+                for row in _rows(os.path.splitext(name.rsplit("/", 1)[-1])[0].removesuffix("_lifecard"), signals):
                     yield _batch([row])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{edf,rec}").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    # a subject's lifecard file counts only where it has no other: the chosen names are a row a night
+    chosen = [r["path"] for r in discover(spark, path, "*.{edf,rec}").select("path").collect()]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{edf,rec}").load(chosen or path)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def parse_wfdb(header: str, data: bytes) -> list[tuple[str, float, str, float, np.ndarray]]:
-    """Signals of a WFDB record: 16-bit samples in turn, after the offset that the header gives ("16+24": 24 bytes)."""
+def wfdb_signals(header: str) -> tuple[int, list[tuple[str, float, str, float, float]]]:
+    """Bytes before the samples ("16+24": 24), and (name, fs, units, gain, stored zero) of each signal."""
     lines = [x.split() for x in header.splitlines() if x and not x.startswith("#")]
     n, fs = int(lines[0][1]), float(lines[0][2].split("/")[0])
-    offset = int(lines[1][1].partition("+")[2] or 0)
-    raw = np.frombuffer(data, "<i2", offset=offset)
-    raw = raw[: len(raw) // n * n].reshape(-1, n)
+    offset = int(lines[1][1].partition("+")[2] or 0) if n else 0
     out = []
-    for k, x in enumerate(lines[1 : n + 1]):
+    for x in lines[1 : n + 1]:
         gain, _, units = x[2].partition("/")
         base = re.search(r"\((-?\d+)\)", gain)
         g = float(re.sub(r"\(.*\)", "", gain)) or 200.0
         zero = int(base.group(1)) if base else int(x[4]) if len(x) > 4 else 0
-        out.append((x[-1], fs, units or "mV", 0.0, (raw[:, k] - zero) / g))
-    return out
+        out.append((x[-1], fs, units or "mV", g, float(zero)))
+    return offset, out
+
+
+def parse_wfdb(header: str, data: bytes) -> list[tuple[str, float, str, float, np.ndarray]]:
+    """Signals of a WFDB record: 16-bit samples in turn, after the offset that the header gives."""
+    offset, signals = wfdb_signals(header)
+    raw = np.frombuffer(data, "<i2", offset=offset)
+    raw = raw[: len(raw) // len(signals) * len(signals)].reshape(-1, len(signals))
+    return [(name, fs, units, 0.0, (raw[:, k] - zero) / gain) for k, (name, fs, units, gain, zero) in enumerate(signals)]
 
 
 def record_length(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +167,7 @@ def discover(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """IO3: ids and paths of files, without reading them, ordered by number where names have one."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
     f = f.withColumn("subject_id", F.regexp_extract("path", r"([^/]+?)(?:_lifecard)?\.[^./]+$", 1))
-    w = Window.partitionBy("subject_id").orderBy(F.when(F.col("path").endswith(".rec"), 0).otherwise(1), "path")
+    w = Window.partitionBy("subject_id").orderBy(F.when(F.col("path").endswith(".rec"), 0).when(F.col("path").contains("_lifecard"), 2).otherwise(1), "path")
     return f.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").orderBy(F.regexp_extract("subject_id", r"(\d+)", 1).try_cast("long"), "subject_id")
 
 
