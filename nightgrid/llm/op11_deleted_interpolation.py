@@ -36,7 +36,9 @@ from . import kernels as K
 from .shared import materialise, read_table
 
 ORDER = 3
-BLOCK_TOKENS, SHARD_KEYS = 1 << 20, 1 << 21
+BLOCK_TOKENS, SHARD_KEYS = 3 << 18, 1 << 20
+#: Tokens whose scores are worked out at once.
+SCORE_TOKENS = 1 << 17
 #: Training documents in a hundred whose counts are held out to learn the weights.
 TUNE_PERCENT, TUNE_SEED = 10, 11
 EM_ROUNDS = 12
@@ -48,11 +50,24 @@ START, END = np.uint64(0x5BD1E995A7C3F1E7), np.uint64(0x1B873593CC9E2D51)
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """Numbers byte by byte, all their lowest bytes first: the high ones are nearly all zero and compress away."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
 def grams(word: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -85,7 +100,7 @@ def _blocks(block_tokens: int):
             vocabulary, tokens = np.unique(word, return_inverse=True)
             sums = [int(n[role == r].sum()) for r in (0, 1)]
             one = pa.ListArray.from_arrays(np.array([0, len(ids)], np.int32), ids)
-            cols = [pa.array([base | made]), one, *(pa.array([pack(x)], pa.binary()) for x in (role.astype("<i1"), n.astype("<i8"), vocabulary.astype("<u8"), tokens.astype("<u4"))), pa.array([len(word)]), pa.array([sum(sums)]), pa.array(sums[1:])]
+            cols = [pa.array([base | made]), one, *(pa.array([x], pa.binary()) for x in (pack(role.astype("<i1")), pack(n.astype("<i8")), pack_sorted(vocabulary), pack(tokens.astype("<u4")))), pa.array([len(word)]), pa.array([sum(sums)]), pa.array(sums[1:])]
             made += 1
             return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -112,7 +127,7 @@ class Block:
     def __init__(self, role: bytes, n: bytes, vocabulary: bytes, tokens: bytes, order: int):
         self.role, self.n = unpack(role, "<i1"), unpack(n, "<i8")
         first = np.cumsum(self.n) - self.n
-        word = np.insert(unpack(vocabulary, "<u8")[unpack(tokens, "<u4")], first, START)
+        word = np.insert(unpack_sorted(vocabulary)[unpack(tokens, "<u4")], first, START)
         self.starts = first + np.arange(len(first))
         self.grams = grams(word, self.starts, order)
         self.role_at = np.repeat(self.role, self.n + 1)
@@ -144,7 +159,7 @@ def _ask(order: int, shards: int):
                 shard, cut = _shard_cuts(key, shards)
                 spans = list(zip(cut.tolist(), cut[1:].tolist()))
                 cols = [pa.array(shard), pa.array(np.full(len(shard), block))]
-                cols += [pa.array([f(v[s:e]) for s, e in spans], pa.binary()) for v, f in ((key, np.ndarray.tobytes), (n, pack), (m, pack))]
+                cols += [pa.array([f(v[s:e]) for s, e in spans], pa.binary()) for v, f in ((key, pack_sorted), (n, pack), (m, pack))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -152,7 +167,7 @@ def _ask(order: int, shards: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """One shard: what the blocks say of each n-gram added up, to each block in its own order."""
-    keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+    keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
     key, back = np.unique(np.concatenate(keys), return_inverse=True)
     sums = [np.bincount(back, weights=np.concatenate([unpack(x, "<u4") for x in table[c].to_pylist()]), minlength=len(key)).astype("<u8") for c in ("n", "m")]
     cut = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).tolist()
@@ -162,16 +177,17 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "shard": table["shard"], "n": pa.array(said[0], pa.binary()), "m": pa.array(said[1], pa.binary()), "known": known})
 
 
-def _positions(row: list, order: int) -> tuple[Block, list[np.ndarray], list[np.ndarray]]:
-    """A block with its answers: how often each position's n-gram is in training documents, and in held-out ones, by order."""
+def _positions(row: list, order: int, held_too: bool) -> tuple[Block, list[np.ndarray], list[np.ndarray]]:
+    """A block with its answers: how often each position's n-gram is in training documents, and (``held_too``) in held-out ones, by order."""
     *packed, answers = row
     x = Block(*packed, order)
     n, m = [], []
     for k in range(1, order + 1):
         _, back = x.keys(k)
         own = sorted((a for a in answers if a["k"] == k), key=lambda a: a["shard"])
-        for out, c in ((n, "n"), (m, "m")):
+        for out, c in ((n, "n"), (m, "m"))[: 1 + held_too]:
             out.append(np.concatenate([unpack(a[c], "<u8") for a in own]).astype(np.int64)[back])
+    x.grams = []
     return x, n, m
 
 
@@ -190,7 +206,7 @@ def _held_out_rows(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                x, n, m = _positions(list(row), order)
+                x, n, m = _positions(list(row), order, True)
                 left = [u - v for u, v in zip(n, m)]
                 at = np.flatnonzero(x.real & (x.role_at == 1))
                 cols = [left[0][at]]
@@ -262,16 +278,28 @@ def _scores(order: int, weights: np.ndarray, train_tokens: int, known: int):
         for b in batches:
             ids = b.column(0)
             for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
-                x, n, _ = _positions(list(row), order)
-                contexts = [_before(v) for v in n[: order - 1]]
-                w = weights[bucket_of(contexts) if contexts else np.zeros(len(n[0]), np.int64)]
-                p = w[:, 0] / (known + 1) + w[:, 1] * n[0] / max(train_tokens, 1)
-                for k, d in enumerate(contexts, 2):
-                    p += w[:, k] * n[k - 1] / np.maximum(d, 1)
-                logs = [np.log10((n[0] + 1) / (train_tokens + known + 1)), np.log10(p)]
-                sums = [np.add.reduceat(np.where(x.real, v, 0.0), x.starts) for v in logs]
-                seen = np.add.reduceat(((n[0] > 0) & x.real).astype(np.int64), x.starts)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 1).flatten(), pa.array(x.role.astype(np.int32)), pa.array(x.n), pa.array(seen), *map(pa.array, sums)], names=names)
+                x, n, _ = _positions(list(row), order, False)
+                ends = np.append(x.starts[1:], len(x.real))
+                parts: list[list[np.ndarray]] = []
+                d = 0
+                while d < len(x.n):  # some documents at a time
+                    to = max(d + 1, int(np.searchsorted(ends, x.starts[d] + SCORE_TOKENS, "right")))
+                    parts.append(scored(x, n, int(x.starts[d]), int(ends[to - 1]), x.starts[d:to]))
+                    d = to
+                seen, base, score = (np.concatenate([p[c] for p in parts]) for c in range(3))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 1).flatten(), pa.array(x.role.astype(np.int32)), pa.array(x.n), *map(pa.array, (seen, base, score))], names=names)
+
+    def scored(x: Block, n: list[np.ndarray], low: int, high: int, starts: np.ndarray) -> list[np.ndarray]:
+        """Known tokens, base score and score of the documents between two positions."""
+        own, real = [v[low:high] for v in n], x.real[low:high]
+        contexts = [_before(v) for v in own[: order - 1]]
+        w = weights[bucket_of(contexts) if contexts else np.zeros(high - low, np.int64)]
+        p = w[:, 0] / (known + 1) + w[:, 1] * own[0] / max(train_tokens, 1)
+        for k, d in enumerate(contexts, 2):
+            p += w[:, k] * own[k - 1] / np.maximum(d, 1)
+        logs = [np.log10((own[0] + 1) / (train_tokens + known + 1)), np.log10(p)]
+        at = starts - low
+        return [np.add.reduceat(((own[0] > 0) & real).astype(np.int64), at), *(np.add.reduceat(np.where(real, v, 0.0), at) for v in logs)]
 
     return run
 
