@@ -83,12 +83,13 @@ def fold_scores(pred: DataFrame, label: str, labels: list[int]) -> DataFrame:
     return stats.summary(pred, label, "y_pred", labels, ("fold",))
 
 
-def permuted(df: DataFrame, column: str, seed: int = 7) -> DataFrame:
-    """T4: ``column`` dealt anew among rows: each row takes the value of the row at the same place of a seeded order.
+def permuted(df: DataFrame, column: str | list[str], seed: int = 7) -> DataFrame:
+    """T4: ``column`` (or several together) dealt anew among rows: each row takes the values of the row at the same place of a seeded order.
 
     Both orders are stored with their numbers before they are joined, so no value is lost or doubled.
     """
     keyed = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_r", F.xxhash64("_tie", F.lit(seed)))
-    a = numbered(keyed.drop("_r", column), "_tie", name="_n")
-    b = numbered(keyed.select("_tie", "_r", column), "_r", "_tie", name="_n").select("_n", column)
+    columns = [column] if isinstance(column, str) else list(column)
+    a = numbered(keyed.drop("_r", *columns), "_tie", name="_n")
+    b = numbered(keyed.select("_tie", "_r", *columns), "_r", "_tie", name="_n").select("_n", *columns)
     return a.join(b, "_n").select(df.columns)
