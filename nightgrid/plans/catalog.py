@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, extra, files, kept, sequences, signals, statistics, trees  # noqa: F401
+from . import core, extra, files, kept, resampled, sequences, signals, statistics, trees  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "flagship_subject_report"
