@@ -36,9 +36,9 @@ from . import kernels as K
 from .shared import materialise, read_table
 
 ORDER = 3
-BLOCK_TOKENS, SHARD_KEYS = 3 << 18, 1 << 20
+BLOCK_TOKENS, SHARD_KEYS = 1 << 18, 1 << 20
 #: Tokens whose scores are worked out at once.
-SCORE_TOKENS = 1 << 17
+SCORE_TOKENS = 1 << 16
 #: Training documents in a hundred whose counts are held out to learn the weights.
 TUNE_PERCENT, TUNE_SEED = 10, 11
 EM_ROUNDS = 12
