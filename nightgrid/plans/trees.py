@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightgrid.operators import binning
 
-from . import boosting
+from . import boosting, selection
 from .adapter import rows6
 from .registry import query, r6
 from .signals import EPOCHS
@@ -56,3 +56,34 @@ def window_model(spark, sf):
     p = boosting.window_model(rows6(spark, sf), epochs(spark, sf), ["v", "k"], "stage", k=3, rounds=6, depth=3)
     r = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
     return p.select("subject_id", "epoch_index", "stage", "fold", "y_pred", r("proba"), r("smoothed"), "decoded")
+
+
+FEATURES = ["v", "k", "vk", "late"]
+
+
+def selection_frame(spark, sf):
+    x = epochs(spark, sf).filter("v IS NOT NULL AND k IS NOT NULL")
+    return x.select("subject_id", "stage", "v", "k", (F.col("v") * F.col("k")).alias("vk"), (F.col("epoch_index") % 4).cast("double").alias("late"))
+
+
+@query("m25_moments", f"""{EPOCHS}, x AS (SELECT subject_id, stage, v, k FROM ep WHERE v IS NOT NULL AND k IS NOT NULL), q AS (SELECT subject_id, quantile_cont(v, 0.25) AS v1, median(v) AS v2, quantile_cont(v, 0.75) AS v3, quantile_cont(k, 0.25) AS k1, median(k) AS k2, quantile_cont(k, 0.75) AS k3 FROM x GROUP BY 1),
+z AS (SELECT stage, (v - v2) / CASE WHEN v3 > v1 THEN v3 - v1 ELSE 1 END AS v, (k - k2) / CASE WHEN k3 > k1 THEN k3 - k1 ELSE 1 END AS k FROM x JOIN q USING (subject_id)) SELECT stage, count(*) AS n, round(sum(v), 4) AS sum_v, round(sum(k), 4) AS sum_k, round(sum(sum(v * k)) OVER (), 4) AS vk, round(sum(sum(v * v)) OVER (), 4) AS vv FROM z GROUP BY 1""")
+def moments(spark, sf):
+    """What the left-out models are made of: rows and sums by class, and products."""
+    rows = selection.scaled_rows(selection_frame(spark, sf), ["v", "k"], "stage", [0, 1, 2, 3, 4])
+    m = selection.moments(rows, 2, 5)
+    r = lambda x: round(float(x), 4)
+    return spark.createDataFrame([(c, int(m.n[c]), r(m.sums[c, 0]), r(m.sums[c, 1]), r(m.products[0, 1]), r(m.products[0, 0])) for c in range(5) if m.n[c]], "stage int, n long, sum_v double, sum_k double, vk double, vv double")
+
+
+@query("m25_left_out_selection")
+def left_out(spark, sf):
+    """A greedy selection with each subject left out in turn."""
+    out = selection.select_features(selection_frame(spark, sf), FEATURES, "stage", most=3, least_pct=-100.0)
+    return out.select("step", "added_feature", F.round("cumulative_macro_f1", 8).alias("cumulative_macro_f1"), F.round("delta_f1", 8).alias("delta_f1"), "mode")
+
+
+@query("m25_baseline", f"""{EPOCHS}, cl AS (SELECT stage, count(*) AS n FROM ep WHERE v IS NOT NULL AND k IS NOT NULL GROUP BY 1) SELECT 0 AS step, '__baseline__' AS added_feature, round(2.0 * max(n) / (max(n) + sum(n)) / count(*), 8) AS cumulative_macro_f1 FROM cl""")
+def baseline(spark, sf):
+    out = selection.select_features(selection_frame(spark, sf), FEATURES, "stage", "auc_rank", most=1)
+    return out.filter("step = 0").select("step", "added_feature", F.round("cumulative_macro_f1", 8).alias("cumulative_macro_f1"))
