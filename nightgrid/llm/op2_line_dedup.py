@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .repeats import row_key
-from .shared import materialise, read_table
+from .shared import free_name, materialise, read_table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 _STRIP = b" \t\n\x0b\x0c\r"
-_KEY = "_line_dedup_key"
 _ROWS = "h1 long, h2 long, doc {}, rk long, line int, n_lines int"
 
 
@@ -155,10 +154,11 @@ def _apply(text: pa.Array, keep: pa.Array) -> pa.Array:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", result: str = "dedup") -> DataFrame:
-    """``docs`` with a struct ``result``: n_lines, n_dropped and the kept text."""
-    keyed = docs.withColumn(_KEY, row_key(id_col, text_col))
-    maps = bitmaps.select(F.col("rk").alias(_KEY), F.col("keep").alias("_keep"))
-    return keyed.join(maps, _KEY, "left").withColumn(result, _apply(F.col(text_col), F.col("_keep"))).drop(_KEY, "_keep")
+    """``docs`` with a struct ``result``: n_lines, n_dropped and the kept text. A column of that name is replaced; all others stay, whatever their names."""
+    key, keep = (free_name(c, docs.columns) for c in ("_key", "_keep"))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    maps = bitmaps.select(F.col("rk").alias(key), F.col("keep").alias(keep))
+    return keyed.join(maps, key, "left").withColumn(result, _apply(F.col(text_col), F.col(keep))).drop(key, keep)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

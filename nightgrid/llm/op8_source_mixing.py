@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import materialise, read_table
+from .shared import free_name, materialise, read_table
 
 SEED = 20
 MAX_EPOCHS = 4
@@ -104,6 +104,13 @@ def mix(docs: DataFrame, weights: Mapping, budget_tokens: int | None = None, id_
     ``budget_tokens`` defaults to all tokens that the documents hold.
     """
     spark = docs.sparkSession
+    # columns that have names of this module's own go by others meanwhile
+    own_names = [c for c in docs.columns if c.lower().startswith("_mix_")]
+    if own_names:
+        safe = {c: free_name(f"_own{k}", docs.columns) for k, c in enumerate(own_names)}
+        new = lambda c: safe.get(c, c)
+        out = mix(docs.withColumnsRenamed(safe), weights, budget_tokens, new(id_col), new(text_col), tuple(map(new, levels)), max_epochs, seed)
+        return out.withColumnsRenamed({v: k for k, v in safe.items()})
     names = ["_mix_d", "_mix_l", "_mix_s"]
     tagged = docs.withColumns(
         {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, levels)}

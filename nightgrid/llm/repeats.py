@@ -15,7 +15,8 @@ An anchor with more than ``max_group`` different segments is too common for one
 way to the window's length first and the window itself last, where a group has one piece. So no group grows with the corpus,
 and all text goes through the same method.
 
-Rows are told apart by a 64-bit hash of id and text, so null or repeated ids are fine.
+Rows are told apart by a 64-bit hash of id and text, so null or repeated ids are fine. Rows that share one (equal id and text) count as often as they are there;
+what is found for them is a set, so each of them gets every stretch once, however many they are.
 """
 
 from __future__ import annotations
@@ -186,9 +187,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, unit: str, lengt
         found = found.select("rk", F.expr("pos + x.s").alias("s"), F.expr("pos + more + x.e").alias("e"))
         spans = found if spans is None else spans.unionByName(found)
         if common is None or common.isEmpty():
-            return spans.groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+            return spans.groupBy("rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
         k = min(length, max(k + 1, (k + length) // 2)) if length - k > 4 else length
-        runs = members.join(common, "a").groupBy("rk").agg(F.collect_list(F.struct(F.col("pos").alias("s"), F.expr("pos + own * reps").alias("e"))).alias("at"))
+        runs = members.join(common, "a").groupBy("rk").agg(F.collect_set(F.struct(F.col("pos").alias("s"), F.expr("pos + own * reps").alias("e"))).alias("at"))
         src = materialise(src.select("rk", "text").join(runs, "rk"), "common_texts")  # from here on only texts that hold common windows
         segs = src.mapInArrow(_anchored_again(unit, length, k), SEGMENT)
 

@@ -59,6 +59,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores in front as no taken name has (Spark does not tell case apart)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table by Spark's own reader, so any store that Spark knows will do."""
     bound_batches(spark)
