@@ -73,12 +73,12 @@ def aligned_probabilities(proba: str, from_classes: list[int], to_classes: list[
 
 
 def resampled_window(samples: str, fs: float, start: Column, seconds: float, points: int) -> Column:
-    """``points`` values at bin centres of [start, start + seconds) of an array of samples, by straight lines; broken samples are bridged
+    """``points`` values at bin centres of [start, start + seconds) of an array of samples, by straight lines; broken samples (no number, or no end to it) are bridged
     first; NULL with fewer than two samples."""
     s = F.greatest(F.floor(start * fs), F.lit(0)).cast("int")
     e = F.least(F.ceil((start + seconds) * fs), F.size(samples)).cast("int")
     cut = F.slice(samples, s + 1, F.greatest(e - s, F.lit(0)))
-    good = F.filter(F.transform(cut, lambda v, i: F.struct(i.alias("i"), F.when(~F.isnan(v), v).alias("v"))), lambda x: x["v"].isNotNull())
+    good = F.filter(F.transform(cut, lambda v, i: F.struct(i.alias("i"), F.when(F.abs(v) < float("inf"), v).alias("v"))), lambda x: x["v"].isNotNull())
 
     def at(g: Column, place: Column) -> Column:
         left = F.element_at(F.filter(g, lambda p: p["i"] <= place), -1)
@@ -101,9 +101,10 @@ def whole_second_events(events: DataFrame) -> DataFrame:
 
 
 def hypnogram(lines: DataFrame, lengths: DataFrame, codes: Column, epoch: int = 30, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
-    """IO14: whole numbers in line order, mapped (``codes``, of ``code``), cut or filled with -1 to the recording's length."""
-    x = lines.filter(F.trim("line").rlike("^-?[0-9]+$")).withColumn("code", F.trim("line").try_cast("int"))
-    x = x.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1).alias("epoch_index"), codes.alias("stage"))
+    """IO14: whole numbers in order, one or several a line, mapped (``codes``, of ``code``), cut or filled with -1 to the recording's length. What is no whole number is passed over."""
+    x = lines.select(*keys, "line_no", F.posexplode(F.split("line", r"\s+")).alias("at", "word")).filter(F.col("word").rlike("^-?[0-9]+$"))
+    x = x.withColumn("code", F.col("word").try_cast("int"))
+    x = x.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("line_no", "at")) - 1).alias("epoch_index"), codes.alias("stage"))
     spine = lengths.filter(F.col("length") >= epoch).select(*keys, F.explode(F.expr(f"sequence(0, cast(floor(length / {epoch}) AS int) - 1)")).alias("epoch_index"))
     return spine.join(x, [*keys, "epoch_index"], "left").withColumn("stage", F.coalesce("stage", F.lit(-1)))
 
@@ -126,20 +127,40 @@ def night_bounds(df: DataFrame, order: str, keys: tuple[str, ...] = ("subject_id
     return df.withColumns({"place": F.row_number().over(by(order, keys)) - 1, "size": F.count("*").over(Window.partitionBy(*keys))})
 
 
-def target_row(df: DataFrame, slot: str, fraction: str, anchors: list[str], size: int, anchor: int, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
-    """Per block of ``size`` rows: event seconds and fraction, and the anchor row's codes; 0 where something is missing."""
-    block = F.floor(F.col(slot) / size).cast("long").alias("block")
-    at = F.col(slot) % size == anchor
-    f = F.coalesce(clean(fraction), F.lit(0.0))
-    return df.groupBy(*keys, block).agg(F.sum(f).alias("event_seconds"), (F.sum(f) / F.count("*")).alias("event_fraction"), *[F.coalesce(F.max(F.when(at, F.rint(F.col(a).cast("double")))), F.lit(0.0)).cast("int").alias(a) for a in anchors])
+def target_row(df: DataFrame, slot: str, fraction: str, anchors: list[str], size: int, anchor_seconds: float, keys: tuple[str, ...] = ("subject_id",), seconds_per_row: int = 1) -> DataFrame:
+    """Per block of ``size`` rows: event seconds, their share of the block, and the codes of the row at ``anchor_seconds`` (the last row of a block that ends before); 0 where a code is missing."""
+    block = F.floor(F.col(slot) / size).cast("long")
+    of = Window.partitionBy(*keys, "block")
+    anchor = max(int(round(anchor_seconds / max(seconds_per_row, 1))), 0)
+    x = df.withColumn("block", block).withColumn("_at", (F.row_number().over(of.orderBy(slot)) - 1) == F.least(F.lit(anchor), F.count("*").over(of) - 1))
+    f = F.sum(F.coalesce(F.when(F.abs(clean(fraction)) < float("inf"), clean(fraction)), F.lit(0.0))) * seconds_per_row
+    code = lambda c: F.coalesce(F.max(F.when(F.col("_at"), F.rint(F.col(c).cast("double")))), F.lit(0.0)).cast("int").alias(c)
+    return x.groupBy(*keys, "block").agg(f.alias("event_seconds"), (f / (F.count("*") * seconds_per_row)).alias("event_fraction"), *map(code, anchors))
+
 
+def enriched(
+    df: DataFrame, order: str, codes: list[str], events: DataFrame, lags: list[int], values: list[str], width: int, keys: tuple[str, ...] = ("subject_id",), tracks: dict[str, tuple[DataFrame, dict[int, str]]] | None = None, kinds: list[str] | None = None
+) -> DataFrame:
+    """A feature table with what truth tracks and events say about each row, and lagged values.
 
-def enriched(df: DataFrame, order: str, codes: list[str], events: DataFrame, lags: list[int], values: list[str], width: int, keys: tuple[str, ...] = ("subject_id",)) -> DataFrame:
-    """A feature table with what truth tracks and events say about each row, and lagged values."""
+    ``tracks``: per name a second-by-second track (keys, ``second``, ``code``) and its classes; a row gets the most frequent code of its ``width`` seconds as ``label__name`` and the class as ``label__name__class``
+    (-1 and "unknown" where it has none). ``kinds``: types of events (column ``kind``); a row gets the number that overlap it as ``event__kind``, and ``event__any``.
+    """
+    from .labels import mapped
     from .rolling import lag_features
 
-    hit = events.select(*keys, F.explode(F.expr(f"sequence(start div {width}, `end` div {width})")).alias(order)).groupBy(*keys, order).agg(F.count("*").alias("events"))
-    x = df.join(hit, [*keys, order], "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    own = events if kinds is None else events.filter(F.col("kind").isin(kinds))
+    touched = own.select(*keys, *(["kind"] if kinds is not None else []), F.explode(F.expr(f"sequence(start div {width}, `end` div {width})")).alias(order))
+    counts = [F.count("*").alias("events")] + [F.count_if(F.col("kind") == k).alias(f"event__{k}") for k in kinds or []]
+    x = df.join(touched.groupBy(*keys, order).agg(*counts), [*keys, order], "left")
+    x = x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ["events", *(f"event__{k}" for k in kinds or [])]})
+    if kinds is not None:
+        x = x.withColumn("event__any", F.col("events") > 0)
+    for name, (track, classes) in (tracks or {}).items():
+        rows = track.withColumn(order, F.floor(F.col("second") / width).cast("long"))
+        mode = windowed_mode(rows.filter(F.col("code") >= 0), "code", [*keys, order]).withColumnRenamed("code", f"label__{name}")
+        x = x.join(mode, [*keys, order], "left").withColumn(f"label__{name}", F.coalesce(f"label__{name}", F.lit(-1)))
+        x = x.withColumn(f"label__{name}__class", mapped(F.col(f"label__{name}"), classes, "unknown"))
     return lag_features(x.withColumns({c + "__known": F.col(c) >= 0 for c in codes}), order, values, lags, keys)
 
 

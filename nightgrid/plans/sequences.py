@@ -32,6 +32,15 @@ def io14(spark, sf):
     return sequences.hypnogram(lines, lengths, labels.mapped(F.col("code"), labels.ISRUC_STAGES, -1))
 
 
+@query("io14_codes_on_a_line", f"WITH {SIG}, o AS (SELECT subject_id, stage, row_number() OVER (PARTITION BY subject_id ORDER BY t_us) - 1 AS i FROM sig), l AS (SELECT subject_id, stage, 2 * i + x AS epoch_index FROM o, range(2) t(x)), s AS (SELECT subject_id, unnest(range(160)) AS epoch_index FROM (SELECT DISTINCT subject_id FROM sig)) SELECT s.subject_id, s.epoch_index, coalesce(CASE WHEN l.stage = 4 THEN 3 ELSE l.stage END, -1) AS stage FROM s LEFT JOIN l USING (subject_id, epoch_index)")
+def io14b(spark, sf):
+    """Two codes on each line, with words and spaces about them."""
+    s = sig(spark, sf)
+    lines = s.select("subject_id", F.col("t_us").alias("line_no"), F.format_string("  %d\tand %d ", "stage", "stage").alias("line"))
+    lengths = s.select("subject_id").distinct().withColumn("length", F.lit(160 * 30.0))
+    return sequences.hypnogram(lines, lengths, labels.mapped(F.col("code"), labels.ISRUC_STAGES, -1))
+
+
 @query("p5_experiment_frame", f"WITH {ROWS6} SELECT subject_id, slot, round(v, 6) AS v, round(k, 6) AS k, stage FROM rows6 WHERE v IS NOT NULL AND k IS NOT NULL AND stage >= 0")
 def p5(spark, sf):
     return sequences.experiment_frame(rows6(spark, sf), ["v", "k"], "stage").select("subject_id", "slot", r6("v"), r6("k"), "stage")
@@ -47,12 +56,35 @@ def s2(spark, sf):
     return sequences.night_bounds(sig(spark, sf), "t_us").select("event_id", "place", "size")
 
 
-@query("x8_target_rows", f"WITH {ROWS6} SELECT subject_id, slot // 11 AS block, round(sum(CASE WHEN stage = 4 THEN 1.0 ELSE 0 END), 6) AS event_seconds, round(sum(CASE WHEN stage = 4 THEN 1.0 ELSE 0 END) / count(*), 6) AS event_fraction, coalesce(max(CASE WHEN slot % 11 = 1 THEN stage END), 0) AS stage FROM rows6 GROUP BY 1, 2")
+PLACES = f"WITH {ROWS6}, q AS (SELECT *, row_number() OVER (PARTITION BY subject_id, slot // 11 ORDER BY slot) - 1 AS p, count(*) OVER (PARTITION BY subject_id, slot // 11) AS n FROM rows6)"
+
+
+@query("x8_target_rows", PLACES + " SELECT subject_id, slot // 11 AS block, round(sum(CASE WHEN stage = 4 THEN 1.0 ELSE 0 END), 6) AS event_seconds, round(sum(CASE WHEN stage = 4 THEN 1.0 ELSE 0 END) / count(*), 6) AS event_fraction, max(CASE WHEN p = least(1, n - 1) THEN stage END) AS stage FROM q GROUP BY 1, 2")
 def x8(spark, sf):
     x = rows6(spark, sf).withColumn("hit", F.when(F.col("stage") == 4, 1.0))
     return sequences.target_row(x, "slot", "hit", ["stage"], 11, 1).select("subject_id", "block", r6("event_seconds"), r6("event_fraction"), "stage")
 
 
+@query("x8_target_rows_of_six_seconds", PLACES + " SELECT subject_id, slot // 11 AS block, round(sum(CASE WHEN stage = 4 THEN 6.0 ELSE 0 END), 6) AS event_seconds, round(sum(CASE WHEN stage = 4 THEN 6.0 ELSE 0 END) / (6 * count(*)), 6) AS event_fraction, max(CASE WHEN p = least(8, n - 1) THEN stage END) AS stage FROM q GROUP BY 1, 2")
+def x8b(spark, sf):
+    """Rows of six seconds: the anchor is the row at 50 s, or the last of a shorter block."""
+    x = rows6(spark, sf).withColumn("hit", F.when(F.col("stage") == 4, 1.0))
+    return sequences.target_row(x, "slot", "hit", ["stage"], 11, 50, seconds_per_row=6).select("subject_id", "block", r6("event_seconds"), r6("event_fraction"), "stage")
+
+
+@query("w10_truth_and_events", f"""WITH {ROWS6}, {EPISODES}, ev AS (SELECT subject_id, start, "end", CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM a WHERE start >= 0), h AS (SELECT subject_id, kind, unnest(range(start // 7, "end" // 7 + 1)) AS slot FROM ev), hc AS (SELECT subject_id, slot, count(*) AS n, count(*) FILTER (kind = 'even') AS ev, count(*) FILTER (kind = 'odd') AS od FROM h GROUP BY 1, 2),
+tk AS (SELECT subject_id, t_us // {UNIT} // 7 AS slot, stage, count(*) AS n FROM sig WHERE stage >= 0 GROUP BY 1, 2, 3), md AS (SELECT subject_id, slot, arg_max(stage, n * 100 - stage) AS code FROM tk GROUP BY 1, 2)
+SELECT r.subject_id, r.slot, coalesce(hc.n, 0) AS events, coalesce(hc.ev, 0) AS event__even, coalesce(hc.od, 0) AS event__odd, coalesce(hc.n, 0) > 0 AS event__any, coalesce(md.code, -1) AS label__stage, CASE md.code WHEN 0 THEN 'wake' WHEN 1 THEN 'n1' WHEN 2 THEN 'n2' WHEN 3 THEN 'n3' WHEN 4 THEN 'rem' ELSE 'unknown' END AS label__stage__class,
+round(lag(r.v, 1) OVER w, 6) AS v__prev1 FROM rows6 r LEFT JOIN hc USING (subject_id, slot) LEFT JOIN md USING (subject_id, slot) WINDOW w AS (PARTITION BY r.subject_id ORDER BY r.slot)""")
+def w10b(spark, sf):
+    """Truth tracks by row with their classes, and events by type."""
+    events = episodes(spark, sf)[0].filter("start >= 0").withColumn("kind", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    track = sig(spark, sf).select("subject_id", F.floor(F.col("t_us") / UNIT).cast("long").alias("second"), F.col("stage").alias("code"))
+    classes = {0: "wake", 1: "n1", 2: "n2", 3: "n3", 4: "rem"}
+    x = sequences.enriched(rows6(spark, sf), "slot", ["stage"], events, [1], ["v"], 7, tracks={"stage": (track, classes)}, kinds=["even", "odd"])
+    return x.select("subject_id", "slot", "events", "event__even", "event__odd", "event__any", "label__stage", "label__stage__class", r6("v__prev1"))
+
+
 @query("w10_enrichment", f'WITH {ROWS6}, {EPISODES}, h AS (SELECT subject_id, unnest(range(start // 7, "end" // 7 + 1)) AS slot FROM a), hc AS (SELECT subject_id, slot, count(*) AS n FROM h GROUP BY 1, 2) SELECT r.subject_id, r.slot, r.stage >= 0 AS stage__known, coalesce(hc.n, 0) AS events, round(lag(r.v, 1) OVER w, 6) AS v__prev1, round(lag(r.v, 5) OVER w, 6) AS v__prev5 FROM rows6 r LEFT JOIN hc USING (subject_id, slot) WINDOW w AS (PARTITION BY r.subject_id ORDER BY r.slot)')
 def w10(spark, sf):
     x = sequences.enriched(rows6(spark, sf), "slot", ["stage"], episodes(spark, sf)[0].filter("start >= 0"), [1, 5], ["v"], 7)
