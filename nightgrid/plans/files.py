@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightgrid.sources import formats
+from nightgrid.sources import bundles, formats
 from nightgrid.sources.scratch import new_folder
 
-from .adapter import SIG, sig
+from .adapter import SIG, UNIT, sig
 from .registry import query
 
 PLACED = f"WITH {SIG}, p AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY t_us, event_id) - 1 AS i, CAST(k AS BIGINT) AS k, stage FROM sig), c AS (SELECT subject_id, i, 'k' AS channel, k AS v FROM p UNION ALL SELECT subject_id, i, 'stage', stage FROM p)"
@@ -46,3 +46,17 @@ def pruned_channel(spark, sf):
     """One channel of each recording; the scan is for this one, so others are not decoded."""
     x = stored(spark, sf, "edf", ["stage"])
     return x.groupBy("subject_id").agg(F.max("v").alias("highest"), F.min_by("i", F.struct("v", "i")).alias("first_lowest"))
+
+
+@query("io22_result_bundle", f"""WITH {SIG} SELECT 'daily' AS "table", subject_id, count(DISTINCT t_us // {24 * UNIT}) AS n, 2 AS version FROM sig GROUP BY 2 UNION ALL SELECT 'stages', subject_id, count(DISTINCT stage), 2 FROM sig GROUP BY 2""")
+def result_bundle(spark, sf):
+    """Two tables as one bundle, published twice; what is read is the second version."""
+    s, path = sig(spark, sf), new_folder(spark, "bundle")
+    daily = s.groupBy("subject_id", F.floor(F.col("t_us") / (24 * UNIT)).alias("day")).agg(F.avg("v").alias("v"))
+    stages = s.groupBy("subject_id", "stage").agg(F.count("*").alias("n"))
+    bundles.save_bundle(spark, path, {"daily": daily.filter("day < 10"), "stages": stages}, {"days": 10})
+    bundles.save_bundle(spark, path, {"daily": daily, "stages": stages}, {"days": "all"})
+    tables, _ = bundles.load_bundle(spark, path)
+    version = bundles.versions(path)[-1]
+    each = [t.groupBy("subject_id").agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "subject_id", "n", F.lit(version).alias("version")) for k, t in sorted(tables.items())]
+    return each[0].unionByName(each[1])
