@@ -6,7 +6,7 @@ A recording is bounded by a night, so a (subject) group fits a task; subjects ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,15 @@ EPS = 1e-6
 #: name -> (channels that must be there, channels of which one must be, function)
 GENERATORS: dict[str, tuple[tuple[str, ...], tuple[str, ...], Callable[..., Tracks]]] = {}
 TRACK_SCHEMA = "algo string, signal string, idx long, t_us long, units string, v double"
+EVENT_SCHEMA = "algo string, event string, kind string, start long, end long, start_us long, end_us long, rate double"
+# Masks whose runs are events, and what these are called; a beat is a point.
+EVENT_MASKS = {
+    "eeg_arousal_mask": "eeg_arousal", "emg_suppression_mask": "emg_suppression", "spo2_bad_mask": "bad_spo2", "spo2_drop3_mask": "spo2_drop_3", "spo2_drop4_mask": "spo2_drop_4", "snore_mask": "snore_event",
+    "poor_thermal_airflow_mask": "poor_thermal_airflow", "poor_pressure_airflow_mask": "poor_pressure_airflow", "thoracic_effort_mask": "thoracic_effort_event", "abdominal_effort_mask": "abdominal_effort_event", "sum_effort_mask": "sum_effort_event",
+}
+POINT_MASKS = {"heartbeat_mask": "r_peak"}
+#: Outputs of a generator whose name begins so are no tracks: first and last samples (rows) of its events.
+EVENT = "event:"
 AIRFLOWS = ("flow", "airflow", "airflow_thermal", "airflow_pressure")
 
 
@@ -461,7 +470,9 @@ def respiration(ch: Channels, cutoff: float = 5.0) -> Tracks:
     z = dsp.analytic(y)
     agreed = [agreed_peaks([found[k][i] for k in order], [found[k][i + 1] for k in order])[0] for i in (0, 2)]
     rate = _median_of([_breath_rate(p, fs, len(x)) for p in agreed])
-    return {"respiration_filtered": (y, fs, 0.0, "au"), "respiration_phase_cos": (np.cos(np.angle(z)), fs, 0.0, "au"), "respiration_envelope": (np.abs(z), fs, 0.0, "au"), "respiration_rate_bpm": (rate, fs, 0.0, "bpm")}
+    return {"respiration_filtered": (y, fs, 0.0, "au"), "respiration_phase_cos": (np.cos(np.angle(z)), fs, 0.0, "au"), "respiration_envelope": (np.abs(z), fs, 0.0, "au"), "respiration_rate_bpm": (rate, fs, 0.0, "bpm")} | {
+        EVENT + name: (np.stack([p, p], 1), fs, 0.0, "point") for name, p in zip(("breath_peak", "breath_trough"), agreed)
+    }
 
 
 def oxygen_masks(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
@@ -610,6 +621,7 @@ def apnea_events(ch: Channels) -> Tracks:
         raw = apneas
         clear = ~dsp.touching(*apneas, *poor)
         apneas = settled(*_confirmed(apneas[0][clear], apneas[1][clear], fs, drops, bad, fd), fs, n)
+        tracks[EVENT + "apnea"] = (np.stack([apneas[0], apneas[1] - 1], 1), fs, 0.0, "period")
     shallow = np.zeros(n, bool)
     if pressure is not None:
         x, fp = pressure
@@ -627,6 +639,7 @@ def apnea_events(ch: Channels) -> Tracks:
         tracks["poor_pressure_airflow_mask"] = (dsp.filled(*poor, len(x)).astype(float), fp, 0.0, "binary")
         clear = ~dsp.touching(a, b, *poor)
         a, b = settled(*_confirmed(a[clear], b[clear], fp, drops, bad, fd), fp, len(x))
+        tracks[EVENT + "hypopnea"] = (np.stack([a, b - 1], 1), fp, 0.0, "period")
         shallow = dsp.nearest_on(np.arange(len(x)) / fp, dsp.filled(a, b, len(x)), np.arange(n) / fs) > 0.5
     vector = np.where(dsp.filled(*apneas, n), 2.0, shallow.astype(float))
     return {"apnea_event_vector": (vector, fs, 0.0, "class")} | tracks
@@ -899,6 +912,8 @@ def _run_all(names: tuple[str, ...], options: dict) -> Callable[[pa.Table], pa.T
             ch = {c: every[c] for c in f.channels if c in every}
             fits = all(c in ch for c in need) and (not any_of or any(c in ch for c in any_of)) and all(units[c] in ok for c, ok in getattr(f, "units", {}).items())
             for signal, (v, rate, start, unit) in (f(ch, **options.get(name, {})) if fits else {}).items():
+                if signal.startswith(EVENT):
+                    continue
                 n = len(v)
                 t = np.round((start + np.arange(n) / rate) * 1e6).astype(np.int64)
                 same = lambda x: pa.repeat(pa.scalar(x, pa.string()), n)  # noqa: B023, E731
@@ -932,6 +947,45 @@ def run_generators(chunks: DataFrame, names: tuple[str, ...], **options: dict) -
     return src.groupBy("subject_id").applyInArrow(kernel(names, **options), schema)
 
 
+def _events(tracks: Tracks) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, float, float]]:
+    """(event, kind, first samples, last samples, rate, seconds of sample 0) of a generator's outputs."""
+    for signal, (v, rate, start, unit) in tracks.items():
+        if signal.startswith(EVENT):
+            yield signal[len(EVENT) :], unit, v[:, 0], v[:, 1], rate, start
+        elif signal in EVENT_MASKS:
+            a, b = dsp.runs(v > 0.5)
+            yield EVENT_MASKS[signal], "period", a, b - 1, rate, start
+        elif signal in POINT_MASKS:
+            p = np.flatnonzero(v > 0.5)
+            yield POINT_MASKS[signal], "point", p, p, rate, start
+
+
+def run_events(chunks: DataFrame, names: tuple[str, ...], **options: dict) -> DataFrame:
+    """Events of several generators for every subject: first and last sample (at ``rate``) and their times. Only events leave a task, not the tracks that they are read from.
+
+    ``period``: arousals, suppressed tone, apneas, hypopneas, poor airflow, oxygen drops and bad stretches, snoring, effort; ``point``: beats, breath peaks and troughs.
+    """
+    src, _ = channel_rows(chunks, names)
+
+    def run(table: pa.Table) -> pa.Table:
+        id_type = table.schema.field("subject_id").type
+        every, units = _recording(table)
+        cols: list[list] = [[] for _ in range(8)]
+        for name in names:
+            need, any_of, f = GENERATORS[name]
+            ch = {c: every[c] for c in f.channels if c in every}
+            fits = all(c in ch for c in need) and (not any_of or any(c in ch for c in any_of)) and all(units[c] in ok for c, ok in getattr(f, "units", {}).items())
+            for event, kind, a, b, rate, start in _events(f(ch, **options.get(name, {})) if fits else {}):
+                us = lambda v: np.round((start + v / rate) * 1e6).astype(np.int64).tolist()  # noqa: B023, E731
+                for c, v in zip(cols, ([name] * len(a), [event] * len(a), [kind] * len(a), a.tolist(), b.tolist(), us(a), us(b), [float(rate)] * len(a))):
+                    c.extend(v)
+        kinds = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.float64()]
+        who = pa.array([table.column("subject_id")[0].as_py()] * len(cols[0]), id_type)
+        return pa.table([who, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["subject_id", "algo", "event", "kind", "start", "end", "start_us", "end_us", "rate"])
+
+    return src.groupBy("subject_id").applyInArrow(run, f"subject_id {chunks.schema['subject_id'].dataType.simpleString()}, {EVENT_SCHEMA}")
+
+
 def run_generator(chunks: DataFrame, name: str, **options) -> DataFrame:
     """Tracks of one generator for every subject."""
     return run_generators(chunks, (name,), **{name: options})
