@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightgrid.functions import dsp, generators, spo2
+from nightgrid.functions import dsp, generators, spo2, table_functions
 from nightgrid.operators import binning, decoders, runs
 from nightgrid.streaming import twins
 
@@ -181,15 +181,30 @@ def event_tables(spark, sf):
     return generators.run_events(chunks(spark, sf), EVENT_GENERATORS, respiration={"cutoff": 0.0}).select("subject_id", "algo", "event", "kind", "start", "end", "start_us", "end_us")
 
 
-@query("g_flat_stretches", """WITH x AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events), lo AS (SELECT *, k <= 20 AS low FROM x), g AS (SELECT subject_id, i, i - row_number() OVER (PARTITION BY subject_id ORDER BY i) AS g FROM lo WHERE low),
+FLAT = """WITH x AS (SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events), lo AS (SELECT *, k <= 20 AS low FROM x), g AS (SELECT subject_id, i, i - row_number() OVER (PARTITION BY subject_id ORDER BY i) AS g FROM lo WHERE low),
 r AS (SELECT subject_id, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY subject_id, g), n AS (SELECT subject_id, count(*) AS n FROM x GROUP BY 1), w AS (SELECT subject_id, greatest(a - 60, 0) AS a, least(greatest(a - 60, 0) + (b - a) + 120, n) AS b FROM r JOIN n USING (subject_id)), c AS (SELECT DISTINCT subject_id, unnest(range(a, b)) AS i FROM w),
-h AS (SELECT subject_id, i, i - row_number() OVER (PARTITION BY subject_id ORDER BY i) AS g FROM c) SELECT subject_id, min(i) AS start, max(i) AS "end" FROM h GROUP BY subject_id, g""")
-def flat_stretches(spark, sf):
-    """Bad oxygen stretches as events: each user's series, of which values up to twenty count as lost."""
+h AS (SELECT subject_id, i, i - row_number() OVER (PARTITION BY subject_id ORDER BY i) AS g FROM c)"""
+
+
+def oxygen_nights(spark, sf):
+    """Each user's series as an oxygen recording of one second a sample; values up to twenty count as lost."""
     w = Window.partitionBy("subject_id").orderBy("t_us", "event_id")
     x = sig(spark, sf).select("subject_id", (F.row_number().over(w) - 1).alias("i"), F.greatest(F.col("k") - 20, F.lit(0.0)).alias("k"))
-    night = x.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("s")).select("subject_id", F.lit("spo2").alias("channel"), F.lit(0).cast("long").alias("chunk_id"), F.lit(1.0).alias("fs"), F.lit("%").alias("units"), F.col("s.k").alias("samples"))
-    return generators.run_events(night, ("spo2_drop",)).filter("event = 'bad_spo2'").select("subject_id", "start", "end")
+    return x.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("i", "k"))).alias("s")).select("subject_id", F.lit("spo2").alias("channel"), F.lit(0).cast("long").alias("chunk_id"), F.lit(1.0).alias("fs"), F.lit("%").alias("units"), F.col("s.k").alias("samples"))
+
+
+@query("g_flat_stretches", FLAT + ' SELECT subject_id, min(i) AS start, max(i) AS "end" FROM h GROUP BY subject_id, g')
+def flat_stretches(spark, sf):
+    """Bad oxygen stretches as events."""
+    return generators.run_events(oxygen_nights(spark, sf), ("spo2_drop",)).filter("event = 'bad_spo2'").select("subject_id", "start", "end")
+
+
+@query("tvf_bad_oxygen", FLAT + " SELECT x.subject_id, count(*) AS seconds, count(h.i) AS bad FROM x LEFT JOIN h USING (subject_id, i) GROUP BY 1")
+def bad_oxygen(spark, sf):
+    """A generator called from SQL as a table function."""
+    table_functions.register(spark, names=("spo2_drop",))
+    oxygen_nights(spark, sf).createOrReplaceTempView("oxygen_nights")
+    return spark.sql("SELECT subject_id, count(*) AS seconds, CAST(sum(v) AS BIGINT) AS bad FROM spo2_drop(TABLE(oxygen_nights) PARTITION BY subject_id) WHERE signal = 'spo2_bad_mask' GROUP BY subject_id")
 
 
 @query("g20_feature_table")
