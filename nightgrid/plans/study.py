@@ -230,7 +230,8 @@ class Runner:
                     have[s.name] = s.build(inputs)
             elif (df := self.table(study.name, s.name, subject)) is not None:
                 have[s.name] = df
-                newest[s.name] = self.state(study.name).filter((F.col("step") == s.name) & F.col("state").isin(OK, WARN)).agg(F.max("run")).first()[0]
+                if any(not x.per_subject for x in study.steps):
+                    newest[s.name] = self.state(study.name).filter((F.col("step") == s.name) & F.col("state").isin(OK, WARN)).agg(F.max("run")).first()[0]
             # Consumed streams are gone for later steps, R6: so are those whose last consumer has run
             gone |= {k for k in names if any(fnmatch.fnmatch(k, t) for t in s.touches) and k != s.name}
             for k in [k for k, at in last.items() if at == s.name and k in have and k not in {x.name for x in study.steps if x.keep} and k not in sources]:
@@ -277,6 +278,7 @@ class Runner:
         """A step for the subjects that lack it; the manifest's rows come last."""
         if who.isEmpty():
             return
+        lost = None
         for name in inputs:
             if not any(r != "all" and fnmatch.fnmatch(name, r) for r in s.requires):
                 continue
@@ -285,19 +287,20 @@ class Runner:
             else:
                 has = inputs[name].select(F.col(subject).cast("string").alias("subject")).distinct() if subject in inputs[name].columns else None
             if has is not None:
-                lost = who.join(has, "subject", "left_anti")
-                self._mark(lost, study, s, number, FAIL, "MISSING_DEPENDENCY" if name in produced else "MISSING_INPUT", name)
-                who = self._without_failed(who, study, number)
+                code = "MISSING_DEPENDENCY" if name in produced else "MISSING_INPUT"
+                gone = who.join(has, "subject", "left_anti").select("subject", F.lit(code).alias("code"), F.lit(name).alias("message"))
+                lost = gone if lost is None else lost.unionByName(gone)
+        if lost is not None and not lost.isEmpty():
+            first = lost.groupBy("subject").agg(F.min(F.struct("code", "message")).alias("x"))
+            self._commit(first.select(F.lit(study.name).alias("study"), F.lit(s.name).alias("step"), "subject", F.lit(number).alias("run"), F.lit(FAIL).alias("state"), "x.code", "x.message"))
+            failed = self.manifest().filter((F.col("study") == study.name) & (F.col("run") == number) & (F.col("state") == FAIL)).select("subject").distinct()
+            who = who.join(failed, "subject", "left_anti")
         self._jobs = 0
         self._attempt(study, s, inputs, who, subject, number, 0, 0)
 
     def _kept(self, study: Study, name: str) -> bool:
         return any(x.name == name and x.keep and x.per_subject for x in study.steps)
 
-    def _without_failed(self, who: DataFrame, study: Study, number: int) -> DataFrame:
-        failed = self.manifest().filter((F.col("study") == study.name) & (F.col("run") == number) & (F.col("state") == FAIL)).select("subject").distinct()
-        return who.join(failed, "subject", "left_anti")
-
     def _attempt(self, study: Study, s: Step, inputs: dict[str, DataFrame], who: DataFrame, subject: str, number: int, depth: int, part: int) -> None:
         path = f"{self._path(study.name, s.name)}/run={number}"
         mine = who if depth == 0 else who.filter(F.pmod(F.xxhash64("subject"), F.lit(1 << depth)) == part)

@@ -11,7 +11,7 @@ from nightgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["flagship_subject_report", "a1_time_bin_mean", "a8_labelled_epochs_with_gaps", "j1_interval_semi_join", "j18_gap_limited_linear", "w8_windowed_cv", "w24_sliding_windows", "m9_summary", "io12_stage_forward_hold", "f5_f8_band_power", "g14_spo2_clean_drops"]
+SAMPLE = ["flagship_subject_report", "a1_time_bin_mean", "a8_labelled_epochs_with_gaps", "j1_interval_semi_join", "j18_gap_limited_linear", "w8_windowed_cv", "w24_sliding_windows", "m9_summary", "io12_stage_forward_hold", "f5_f8_band_power", "g14_spo2_clean_drops", "v1_subject_folds", "f17_polyphase", "t1_split_gains", "io1_edf_scan", "w10_truth_and_events", "tvf_bad_oxygen"]
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
