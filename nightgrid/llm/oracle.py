@@ -45,3 +45,11 @@ p AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n
 q AS (SELECT *, array_to_string(x[1 : lo], '') AS a, array_to_string(x[lo + 1 : hi], '') AS b, array_to_string(x[hi + 1 : n], '') AS z FROM p)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM q"""
+
+#: The base of op10: what its contract fixes, without the learned list's verdict.
+OP10_BASE = f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM s), d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+v AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 0))) AS i FROM s)),
+r AS (SELECT doc_id, g FROM v GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT v.doc_id, unnest(range(v.i, v.i + 5)) AS p FROM v JOIN r USING (doc_id, g)) GROUP BY 1),
+b AS (SELECT s.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM s LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracle
+from . import oracle, op10_quality_rules as rules
 from .op1_suffix_array import op1_suffix_array
 from .op10_quality_rules import op10_quality_rules
 from .op11_deleted_interpolation import op11_deleted_interpolation
@@ -20,6 +21,15 @@ from .op6_phrase_automata import op6_phrase_automata
 from .op7_language_id import op7_language_id
 from .op8_source_mixing import op8_source_mixing
 from .op9_chat_repair import op9_chat_repair
+from .shared import read_table
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that its contract fixes, which SQL can express; the verdict of the learned list is not among them."""
+    docs = rules.with_statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return docs.select("doc_id", *[F.col(f"_qr_stats.{n}").alias(n) for n in names], rules.base_failed("_qr_stats").alias("base_failed"))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
@@ -35,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_deleted_interpolation": op11_deleted_interpolation,
     "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
+    "quality_base_columns": quality_base_columns,
 }
 
 #: DuckDB SQL over whole tables. Operators without an entry are tested against plain versions in tests/llm.
@@ -44,4 +55,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": oracle.OP3,
     "op6_phrase_automata": oracle.OP6,
     "op13_fill_in_middle": oracle.OP13,
+    "quality_base_columns": oracle.OP10_BASE,
 }
