@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 
 from nightgrid.functions import dsp, generators, spo2, table_functions
 from nightgrid.operators import binning, decoders, runs
+from nightgrid.sources.scratch import new_folder
 from nightgrid.streaming import twins
 
 from . import models
@@ -293,11 +293,20 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drained(df: DataFrame) -> DataFrame:
-    """All that a stream has now, as a table."""
-    name = "s" + uuid.uuid4().hex
-    q = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    """All that a stream has now, as a stored table: a trigger's result is written by the tasks and replaces the one before; nothing comes to the driver. State is kept in
+    RocksDB on the executors' disks, its checkpoint in the shared folder."""
+    spark = df.sparkSession
+    path, provider = new_folder(spark, "stream"), "spark.sql.streaming.stateStore.providerClass"
+    spark.createDataFrame([], df.schema).write.parquet(path)  # what a stream without a row has
+    known = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        sink = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", new_folder(spark, "stream-state"))
+        q = sink.outputMode("complete").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, known)
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query("stream_tumbling_mean", "SELECT user_id AS subject_id, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000000 AS start, round(avg(value), 6) AS v, count(*) AS n FROM events GROUP BY 1, 2")
