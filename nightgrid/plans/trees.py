@@ -11,7 +11,7 @@ from .adapter import rows6
 from .registry import query, r6
 from .signals import EPOCHS
 
-WHOLE = f"{EPOCHS}, fr AS (SELECT subject_id, least(floor(v), 200) AS a, least(floor(k), 200) AS b, stage AS y FROM ep WHERE v IS NOT NULL AND k IS NOT NULL)"
+WHOLE = f"{EPOCHS}, fr AS (SELECT subject_id, least(floor(round(v, 9)), 200) AS a, least(floor(round(k, 9)), 200) AS b, stage AS y FROM ep WHERE v IS NOT NULL AND k IS NOT NULL)"
 
 
 def epochs(spark, sf):
@@ -19,9 +19,10 @@ def epochs(spark, sf):
 
 
 def whole_numbers(spark, sf):
-    """Epochs with features of few values, so that bins are values and SQL can name them."""
+    """Epochs with features of few values, so that bins are values and SQL can name them. A mean is a whole number to nine places: its last bits are the order's in which it was summed up."""
     x = epochs(spark, sf).filter("v IS NOT NULL AND k IS NOT NULL")
-    return x.select("subject_id", "epoch_index", F.least(F.floor("v"), F.lit(200)).cast("double").alias("a"), F.least(F.floor("k"), F.lit(200)).cast("double").alias("b"), F.col("stage").alias("y"))
+    whole = lambda c: F.least(F.floor(F.round(c, 9)), F.lit(200)).cast("double")
+    return x.select("subject_id", "epoch_index", whole("v").alias("a"), whole("k").alias("b"), F.col("stage").alias("y"))
 
 
 @query("t1_split_gains", f"""{WHOLE}, pr AS (SELECT y AS c, count(*) / sum(count(*)) OVER () AS p FROM fr GROUP BY 1), lg AS (SELECT 'a' AS feature, a AS x, y FROM fr UNION ALL SELECT 'b', b, y FROM fr),

@@ -15,3 +15,11 @@ def test_stream_results_are_stored_tables(spark):
     assert n == spark.read.parquet(f"{SF}/events.parquet").count()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
     assert signals.stream_sessions(spark, SF).inputFiles()
+
+
+def test_whole_part_of_a_mean_does_not_hang_on_the_order_of_its_sum(spark, monkeypatch):
+    from nightgrid.plans import trees
+
+    means = spark.createDataFrame([(1, 0, 14 - 2e-15, 14 + 2e-15, 1), (1, 1, 13.99, 250.0, 2)], "subject_id long, epoch_index long, v double, k double, stage int")
+    monkeypatch.setattr(trees, "epochs", lambda *_: means)
+    assert [(r["a"], r["b"]) for r in trees.whole_numbers(spark, SF).orderBy("epoch_index").collect()] == [(14.0, 14.0), (13.0, 200.0)]
