@@ -26,15 +26,22 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
+#: Seconds of a class's series that make a recording; the last one has what is left over as well, so a recording is as long as this and shorter than twice this.
+NIGHT = 4 * 3600
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """One recording per class: its vectors one after another, 64 samples a second, on all channels that generators ask for; a stretch of the
-    recording is repeated until it lasts six minutes, the longest window of a generator and more."""
+    """A class's vectors one after another, 64 samples a second, on all channels that generators ask for; a stretch of the
+    recording is repeated until it lasts six minutes, the longest window of a generator and more. A series longer than a night is one recording a night, back to back."""
     w = Window.partitionBy("label").orderBy("vec_id")
     names = ["eeg", "eog", "emg", "ecg", "effort_sum", "flow", "airflow_pressure", "effort_thoracic", "effort_abdominal", "eeg_frontal", "eeg_occipital", "spo2", "snore"]
     v = vectors(spark, sf).withColumn("place", F.row_number().over(w))
     v = v.withColumn("n", F.count("*").over(Window.partitionBy("label"))).withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(360) / F.col("n")).cast("int"))))
     v = v.withColumn("chunk_id", (F.col("round") * F.col("n") + F.col("place")).cast("long"))
-    return v.select(F.col("label").cast("long").alias("subject_id"), F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), "chunk_id", F.lit(64.0).alias("fs"), F.lit("uV").alias("units"), "x").withColumn(
+    total = F.col("n") * (F.ceil(F.lit(360) / F.col("n")) + 1)
+    night = F.least(F.floor((F.col("chunk_id") - 1) / NIGHT), F.greatest(F.floor(total / NIGHT) - 1, F.lit(0)))
+    v = v.withColumn("start_us", (night * NIGHT * 1_000_000).cast("long"))
+    return v.select(F.col("label").cast("long").alias("subject_id"), "start_us", F.explode(F.array(*[F.lit(n) for n in names])).alias("channel"), "chunk_id", F.lit(64.0).alias("fs"), F.lit("uV").alias("units"), "x").withColumn(
         # a beat a second, as far from its middle as the vector's first number says
         "samples", F.when(F.col("channel") == "ecg", F.expr("transform(x, (v, i) -> exp(-pow((i / 64.0 - 0.5 - 0.1 * x[0]) / 0.015, 2) / 2))")).otherwise(F.col("x"))
     ).drop("x")
@@ -210,8 +217,7 @@ def bad_oxygen(spark, sf):
 @query("g20_feature_table")
 def feature_table(spark, sf):
     c = chunks(spark, sf)
-    t = generators.run_generator(c, "one_second_tracks").unionByName(generators.run_generator(c, "slow_wave_features"))
-    return generators.feature_table(t)
+    return generators.feature_table(generators.run_generators(c, ("one_second_tracks", "slow_wave_features")))
 
 
 @query("j19_peak_agreement")

@@ -23,3 +23,60 @@ def test_whole_part_of_a_mean_does_not_hang_on_the_order_of_its_sum(spark, monke
     means = spark.createDataFrame([(1, 0, 14 - 2e-15, 14 + 2e-15, 1), (1, 1, 13.99, 250.0, 2)], "subject_id long, epoch_index long, v double, k double, stage int")
     monkeypatch.setattr(trees, "epochs", lambda *_: means)
     assert [(r["a"], r["b"]) for r in trees.whole_numbers(spark, SF).orderBy("epoch_index").collect()] == [(14.0, 14.0), (13.0, 200.0)]
+
+
+def test_long_series_are_recordings_back_to_back(spark, monkeypatch):
+    from nightgrid.functions import generators
+    from nightgrid.plans import signals
+
+    whole = signals.chunks(spark, SF).groupBy("subject_id", "channel").count().filter("channel = 'eog'")
+    assert "start_us" in signals.chunks(spark, SF).columns
+    want = {r["subject_id"]: r["count"] for r in whole.collect()}
+    monkeypatch.setattr(signals, "NIGHT", 120)
+    c = signals.chunks(spark, SF)
+    sizes = c.filter("channel = 'eog'").groupBy("subject_id", "start_us").count().collect()
+    assert {120} <= {r["count"] for r in sizes} and max(r["count"] for r in sizes) < 240
+    t = generators.run_generator(c, "eye_movement_activity").filter("signal = 'eye_movement_activity'")
+    got = t.groupBy("subject_id").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("places"), F.max("idx").alias("last"), F.max(F.col("t_us") - F.round(F.col("idx") / 64 * 1e6)).alias("off")).collect()
+    assert {r["subject_id"]: r["n"] for r in got} == {k: 64 * n for k, n in want.items()}
+    assert all(r["places"] == r["n"] == r["last"] + 1 and abs(r["off"]) <= 1 for r in got)
+    beats = generators.run_events(c, ("pan_tompkins",))
+    assert beats.filter("abs(start_us - start / 64 * 1e6) > 1").count() == 0 and beats.agg(F.max("start")).first()[0] > 240 * 64
+
+
+def test_kernels_hold_some_frames_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    from nightgrid.functions import dsp, generators
+
+    x = np.random.default_rng(0).normal(size=64 * 3600)
+    tracemalloc.start()
+    generators.eog_rem_features({"eog": (x, 64.0)})
+    generators._median_of([x] * 4)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    size, seen = 128, list(dsp.magnitude_blocks(x, 64.0, 128, 0.9))
+    assert len(seen) > 1 and sum(map(len, seen)) == len(dsp.spectrogram_grid(len(x), 64.0, size, 0.9)[1])
+
+
+def test_beats_look_at_the_whole_recording_once(monkeypatch):
+    import numpy as np
+
+    from nightgrid.functions import dsp
+
+    t = np.arange(64 * 120) / 64
+    calls, median = [], np.median
+    monkeypatch.setattr(np, "median", lambda v, *a, **k: calls.append(len(v)) or median(v, *a, **k))
+    assert len(dsp.r_peaks(np.exp(-(((t % 1) - 0.5) / 0.015) ** 2 / 2), 64.0)) > 100
+    assert calls.count(len(t)) <= 1
+
+
+def test_feature_table_reads_stored_rows(spark):
+    from nightgrid.functions import generators
+
+    t = spark.createDataFrame([(1, "a", "x", 0, 0, "au", 1.0), (1, "a", "x", 1, 6_000_000, "au", 3.0)], f"subject_id long, {generators.TRACK_SCHEMA}")
+    out = generators.feature_table(t)
+    assert [r["a__x"] for r in out.orderBy("row").collect()] == [1.0, 3.0]
+    assert all("track-rows" in f for f in out.inputFiles()) and out.inputFiles()
