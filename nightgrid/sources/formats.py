@@ -1,6 +1,6 @@
 """EDF and WFDB recordings as Spark data sources: ``spark.read.format("edf").load(path)``.
 
-A partition is a range of chunks (``CHUNK_SECONDS`` each) of one recording. Headers are read once, when the scan is planned; a task seeks to its records and reads them a few chunks
+A partition is a range of chunks (``CHUNK_SECONDS`` each) of one large recording, or some small recordings. Headers of large files are read when the scan is planned, those of small ones by the task that reads them; a task seeks to its records and reads them a few chunks
 at a time, so a file of any size is read by many tasks, none of which holds more than ``READ_BYTES`` and one chunk of it. A scan is told the subjects, channels and chunks that it is for: other subjects'
 files are not opened, other chunks not read, other channels not decoded. Rows come out as Arrow batches; nothing is shuffled.
 
@@ -31,6 +31,8 @@ from .recordings import CHUNK_SECONDS, SCHEMA, canonical, wfdb_signals
 PARTITION_BYTES, READ_BYTES = 32 << 20, 4 << 20
 #: Headers that are read at the same time while a scan is planned.
 HEADER_THREADS = 32
+#: Bytes that opening a file counts as much as, and the number of small files beyond which they share partitions.
+OPEN_BYTES, FEW_FILES = 64 << 10, 64
 
 
 @dataclass(frozen=True)
@@ -71,8 +73,20 @@ class Recording:
     signals: tuple[Signal, ...]
 
 
+@dataclass(frozen=True)
+class Found:
+    """A recording's file as the listing has it (``head``: the WFDB header's); its header is still to be read."""
+
+    path: str
+    subject: str
+    size: int
+    head: str = ""
+
+
 @dataclass
 class Range(InputPartition):
+    """Chunks of one recording."""
+
     recording: Recording
     low: int
     high: int
@@ -82,6 +96,16 @@ class Range(InputPartition):
         InputPartition.__init__(self, None)
 
 
+@dataclass
+class Share(InputPartition):
+    """Small files that one task reads whole, headers and all."""
+
+    files: list[Found]
+
+    def __post_init__(self) -> None:
+        InputPartition.__init__(self, None)
+
+
 def edf_recording(path: str, subject: str, head: bytes, size: int, low_gain_below: float | None = None) -> Recording:
     """What an EDF header says (``head``: at least the header)."""
     text = lambda a, n: head[a : a + n].decode("latin-1").strip()
@@ -116,36 +140,62 @@ class RecordingReader(DataSourceReader):
         if "path" not in options:
             raise ValueError("load() needs a path")
         self.options = {k.lower(): v for k, v in options.items()}
-        self.partition_bytes = int(self.options.get("partitionbytes", PARTITION_BYTES))
+        self.partition_bytes, self.parallelism = int(self.options.get("partitionbytes", PARTITION_BYTES)), max(1, int(self.options.get("parallelism", 1)))
         self.subjects, self.channels = (set(json.loads(self.options[k])) if k in self.options else None for k in ("subjects", "channels"))
         self.low, self.high = (int(self.options[k]) if k in self.options else None for k in ("fromchunk", "tochunk"))
 
     # ---- planning
 
-    def recordings(self, store: pafs.FileSystem, files: list[pafs.FileInfo]) -> list[Recording]:
+    def found(self, files: list[pafs.FileInfo]) -> list[Found]:
+        """The files that are recordings, of the subjects that the scan is for."""
         raise NotImplementedError
 
+    def recording(self, store: pafs.FileSystem, f: Found) -> Recording:
+        """What a file's header says."""
+        raise NotImplementedError
+
+    def ranges(self, r: Recording) -> list[Range]:
+        """The chunks that the scan is for, by ranges of ``partition_bytes``."""
+        wanted = tuple(k for k, s in enumerate(r.signals) if self.channels is None or s.channel in self.channels)
+        chunks = max((r.signals[k].chunks(r.records) for k in wanted), default=0)
+        chunk_bytes = max(1, -(-2 * r.record * r.records // max(1, max((s.chunks(r.records) for s in r.signals), default=1))))
+        n = max(1, self.partition_bytes // chunk_bytes)
+        top = chunks if self.high is None else min(chunks, self.high)
+        return [Range(r, low, min(low + n, top), wanted) for low in range(max(self.low or 0, 0), top, n)]
+
     def partitions(self) -> Sequence[InputPartition]:
+        """Large files by ranges, from their headers; small ones too, if they are few. Of many small ones only names and sizes are looked at here; they are dealt out by size, about as many shares as the session has cores or more."""
         store, root = pafs.FileSystem.from_uri(self.options["path"]) if "://" in self.options["path"] or self.options["path"].startswith("file:") else (pafs.LocalFileSystem(), self.options["path"])
         info = store.get_file_info(root)
         files = [info] if info.type == pafs.FileType.File else [f for f in store.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File]
-        out = []
-        for r in sorted(self.recordings(store, files), key=lambda r: (r.subject, r.path)):
-            wanted = tuple(k for k, s in enumerate(r.signals) if self.channels is None or s.channel in self.channels)
-            chunks = max((r.signals[k].chunks(r.records) for k in wanted), default=0)
-            chunk_bytes = max(1, -(-2 * r.record * r.records // max(1, max((s.chunks(r.records) for s in r.signals), default=1))))
-            n = max(1, self.partition_bytes // chunk_bytes)
-            top = chunks if self.high is None else min(chunks, self.high)
-            out += [Range(r, low, min(low + n, top), wanted) for low in range(max(self.low or 0, 0), top, n)]
-        return out
+        found = sorted(self.found(files), key=lambda f: (f.subject, f.path))
+        large, small = ([f for f in found if (f.size > self.partition_bytes) == big] for big in (True, False))
+        if len(small) <= FEW_FILES:
+            large, small = found, []
+        with ThreadPoolExecutor(HEADER_THREADS) as pool:
+            out: list[InputPartition] = [part for r in pool.map(lambda f: self.recording(store, f), large) for part in self.ranges(r)]
+        cost = lambda f: f.size + OPEN_BYTES
+        most = min(self.partition_bytes, max(map(cost, small), default=0) + sum(map(cost, small)) // self.parallelism)
+        share, held = [], 0
+        for f in small:
+            if share and held + cost(f) > most:
+                out.append(Share(share))
+                share, held = [], 0
+            share.append(f)
+            held += cost(f)
+        return out + ([Share(share)] if share else [])
 
     # ---- reading
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Share | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark asks for where nothing was planned
             return
         path = self.options["path"]
         store = pafs.FileSystem.from_uri(path)[0] if "://" in path or path.startswith("file:") else pafs.LocalFileSystem()
+        for r in [partition] if isinstance(partition, Range) else (r for f in partition.files for r in self.ranges(self.recording(store, f))):
+            yield from self.read_range(store, r)
+
+    def read_range(self, store: pafs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         r = partition.recording
         names = ["subject_id", "channel", "chunk_id", "fs", "units", "samples"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.list_(pa.float64())]
@@ -182,7 +232,7 @@ def _stem(path: str) -> str:
 class EdfReader(RecordingReader):
     """One file a subject: its ``.rec`` if there is one, else its ``.edf`` (a ``_lifecard`` file is the fallback)."""
 
-    def recordings(self, store: pafs.FileSystem, files: list[pafs.FileInfo]) -> list[Recording]:
+    def found(self, files: list[pafs.FileInfo]) -> list[Found]:
         best: dict[str, pafs.FileInfo] = {}
         rank = lambda f: (not f.path.endswith(".rec"), "_lifecard" in f.path, f.path)
         for f in files:
@@ -190,35 +240,32 @@ class EdfReader(RecordingReader):
                 at = posixpath.join(posixpath.dirname(f.path), _stem(f.path))
                 if at not in best or rank(f) < rank(best[at]):
                     best[at] = f
-        low_gain = self.options.get("lowgainbelow")
+        return [Found(f.path, _stem(f.path), f.size) for f in best.values()]
 
-        def one(f: pafs.FileInfo) -> Recording:
-            with store.open_input_file(f.path) as x:
-                head = x.read(256)
-                head += x.read(256 * int(head[252:256].decode("latin-1")))
-            return edf_recording(f.path, _stem(f.path), head, f.size, float(low_gain) if low_gain is not None else None)
-
-        with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            return list(pool.map(one, best.values()))
+    def recording(self, store: pafs.FileSystem, f: Found) -> Recording:
+        low_gain = self.options.get("lowgainbelow")
+        with store.open_input_file(f.path) as x:
+            head = x.read(256)
+            head += x.read(256 * int(head[252:256].decode("latin-1")))
+        return edf_recording(f.path, f.subject, head, f.size, float(low_gain) if low_gain is not None else None)
 
 
 class WfdbReader(RecordingReader):
     """A header (``.hea``) and its signal file (``.mat`` or ``.dat``) are one recording."""
 
-    def recordings(self, store: pafs.FileSystem, files: list[pafs.FileInfo]) -> list[Recording]:
+    def found(self, files: list[pafs.FileInfo]) -> list[Found]:
         size = {f.path: f.size for f in files}
-        heads = [f.path for f in files if f.path.endswith(".hea") and (self.subjects is None or posixpath.splitext(posixpath.basename(f.path))[0] in self.subjects)]
-
-        def one(head: str) -> Recording | None:
+        out = []
+        for head in (f.path for f in files if f.path.endswith(".hea") and (self.subjects is None or posixpath.splitext(posixpath.basename(f.path))[0] in self.subjects)):
             stem = posixpath.splitext(head)[0]
             data = next((stem + e for e in (".mat", ".dat") if stem + e in size), None)
-            if data is None:
-                return None
-            with store.open_input_file(head) as x:
-                return wfdb_recording(data, posixpath.basename(stem), x.read().decode("latin-1"), size[data])
+            if data is not None:
+                out.append(Found(data, posixpath.basename(stem), size[data], head))
+        return out
 
-        with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            return [r for r in pool.map(one, heads) if r is not None]
+    def recording(self, store: pafs.FileSystem, f: Found) -> Recording:
+        with store.open_input_file(f.head) as x:
+            return wfdb_recording(f.path, f.subject, x.read().decode("latin-1"), f.size)
 
 
 class EdfSource(DataSource):
@@ -257,6 +304,7 @@ def register(spark: SparkSession) -> None:
 
 def _scan(spark: SparkSession, kind: str, path: str, subjects, channels, chunks, options: dict) -> DataFrame:
     register(spark)
+    options = {"parallelism": str(spark.sparkContext.defaultParallelism)} | options
     if subjects is not None:
         options["subjects"] = json.dumps(list(subjects))
     if channels is not None:

@@ -80,3 +80,19 @@ def test_feature_table_reads_stored_rows(spark):
     out = generators.feature_table(t)
     assert [r["a__x"] for r in out.orderBy("row").collect()] == [1.0, 3.0]
     assert all("track-rows" in f for f in out.inputFiles()) and out.inputFiles()
+
+
+def test_many_small_recordings_share_partitions(tmp_path):
+    import numpy as np
+
+    from nightgrid.sources import formats, recordings
+
+    for k in range(200):
+        (tmp_path / f"s{k}.edf").write_bytes(recordings.write_edf([("ECG", 1, np.arange(5.0) + k), ("EMG", 1, np.arange(5.0) - k)]))
+    r = formats.EdfReader({"path": str(tmp_path), "parallelism": "8", "channels": '["emg"]'})
+    parts = r.partitions()
+    assert 8 <= len(parts) <= 16
+    rows = [row for p in parts for b in r.read(p) for row in b.to_pylist()]
+    assert sorted(x["subject_id"] for x in rows) == sorted(f"s{k}" for k in range(200)) and {x["channel"] for x in rows} == {"emg"}
+    only = formats.EdfReader({"path": str(tmp_path), "parallelism": "8", "subjects": '["s7"]'})
+    assert [p.recording.subject for p in only.partitions()] == ["s7"]
