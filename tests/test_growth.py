@@ -96,3 +96,57 @@ def test_many_small_recordings_share_partitions(tmp_path):
     assert sorted(x["subject_id"] for x in rows) == sorted(f"s{k}" for k in range(200)) and {x["channel"] for x in rows} == {"emg"}
     only = formats.EdfReader({"path": str(tmp_path), "parallelism": "8", "subjects": '["s7"]'})
     assert [p.recording.subject for p in only.partitions()] == ["s7"]
+
+
+def _noise(seconds):
+    import numpy as np
+
+    return np.random.default_rng(1).normal(size=64 * seconds).cumsum() % 7 - 3
+
+
+def test_kernels_need_little_room_beside_their_results():
+    import tracemalloc
+
+    from nightgrid.functions import generators
+
+    x = _noise(3 * 3600)
+    for name, channel, times in (("emg_tone_features", "emg", 8), ("slow_wave_features", "eeg", 9), ("spo2_drop", "spo2", 8), ("airflow_morphology", "flow", 6)):
+        tracemalloc.start()
+        generators.GENERATORS[name][2]({channel: (x, 64.0)})
+        peak = tracemalloc.get_traced_memory()[1] / x.nbytes
+        tracemalloc.stop()
+        assert peak < times, (name, peak)
+
+
+def test_stretches_of_a_recording_give_what_the_whole_gives(monkeypatch):
+    import numpy as np
+
+    from nightgrid.functions import dsp, generators
+
+    x = _noise(1200)
+    every = {c: (np.roll(x, 999 * i), 64.0) for i, c in enumerate(("eeg", "eog", "emg", "ecg", "effort_sum", "effort_thoracic", "effort_abdominal", "flow", "airflow_pressure", "spo2", "snore"))}
+    names = ("emg_tone_features", "slow_wave_features", "spo2_drop", "airflow_morphology", "respiration", "apnea_events", "effort_snore_features", "channel_quality", "epoch_ratio_features", "one_second_tracks")
+    run = lambda: {n: generators.GENERATORS[n][2]({c: every[c] for c in generators.GENERATORS[n][2].channels if c in every}) for n in names}
+    whole = run()
+    monkeypatch.setattr(dsp, "STRETCH", 1 << 12)
+    for n, tracks in run().items():
+        assert tracks.keys() == whole[n].keys()
+        for k, (v, *_) in tracks.items():
+            assert np.allclose(np.asarray(v, float), np.asarray(whole[n][k][0], float), rtol=1e-9, atol=1e-7, equal_nan=True), (n, k)
+
+
+def test_recordings_are_put_together_batch_by_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    from nightgrid.functions import generators
+
+    rows = [{"start_us": s, "channel": c, "lane": lane, "chunk_id": k, "fs": 2.0, "units": "uV", "samples": [1000.0 * lane + 10 * k, None] if k % 2 else [10.0 * k]} for s in (60, 0) for k in range(5) for c, lane in (("b", 0), ("a", 1), ("a", 0))]
+    rows.append({"start_us": 0, "channel": "b", "lane": 0, "chunk_id": 9, "fs": 2.0, "units": "uV", "samples": None})
+    rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
+    schema = pa.schema([("start_us", pa.int64()), ("channel", pa.string()), ("lane", pa.int32()), ("chunk_id", pa.int64()), ("fs", pa.float64()), ("units", pa.string()), ("samples", pa.list_(pa.float64()))])
+    read, taken = [], pa.Table.from_pylist(rows, schema).to_batches(7)
+    (first, ch, units), (second, *_) = generators._recordings(read.append(len(b)) or b for b in taken)
+    want = [0, 10, np.nan, 20, 30, np.nan, 40]
+    assert (first, second, len(read)) == (0, 60, 5) and units == {"a": "uv", "b": "uv"} and ch["b"][1] == 2.0
+    assert np.array_equal(ch["b"][0], want, equal_nan=True) and np.array_equal(ch["a"][0][:, 0], want, equal_nan=True) and ch["a"][0][1, 1] == 1010
