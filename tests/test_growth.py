@@ -150,3 +150,14 @@ def test_recordings_are_put_together_batch_by_batch():
     want = [0, 10, np.nan, 20, 30, np.nan, 40]
     assert (first, second, len(read)) == (0, 60, 5) and units == {"a": "uv", "b": "uv"} and ch["b"][1] == 2.0
     assert np.array_equal(ch["b"][0], want, equal_nan=True) and np.array_equal(ch["a"][0][:, 0], want, equal_nan=True) and ch["a"][0][1, 1] == 1010
+
+
+def test_events_of_each_generator_are_tasks_of_their_own(spark):
+    from nightgrid.functions import generators
+    from nightgrid.plans import signals
+
+    c, names = signals.chunks(spark, SF), ("pan_tompkins", "spo2_drop")
+    both = generators.run_events(c, names)
+    assert "algo" in str(both._jdf.queryExecution().analyzed()).split("FlatMapGroupsInArrow")[1].split("]")[0]
+    alone = [r for n in names for r in generators.run_events(c, (n,)).collect()]
+    assert sorted(both.collect()) == sorted(alone) and {r["algo"] for r in alone} == set(names)
