@@ -161,3 +161,31 @@ def test_events_of_each_generator_are_tasks_of_their_own(spark):
     assert "algo" in str(both._jdf.queryExecution().analyzed()).split("FlatMapGroupsInArrow")[1].split("]")[0]
     alone = [r for n in names for r in generators.run_events(c, (n,)).collect()]
     assert sorted(both.collect()) == sorted(alone) and {r["algo"] for r in alone} == set(names)
+
+
+def test_coupling_works_on_many_windows_at_once(monkeypatch):
+    import numpy as np
+
+    from nightgrid.functions import dsp, generators
+
+    rng = np.random.default_rng(2)
+    fs, seconds = 10.0, 600.0
+    t = np.cumsum(rng.uniform(0.7, 1.1, 640))
+    t = t[t < seconds]
+    rr, ok = np.diff(t) * 1000, rng.random(len(t) - 1) > 0.05
+    effort = np.sin(2 * np.pi * 0.25 * np.arange(int(fs * seconds)) / fs) + rng.normal(size=int(fs * seconds))
+    calls, rfft = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda *a, **k: calls.append(1) or rfft(*a, **k))
+    got = generators.coupling(t[1:], rr, ok, effort, fs, seconds)
+    assert np.isfinite(got).sum() > 300 and len(calls) < 20
+    monkeypatch.setattr(dsp, "STRETCH", 4096)
+    assert np.allclose(got, generators.coupling(t[1:], rr, ok, effort, fs, seconds), rtol=1e-12, equal_nan=True)
+    # window by window
+    grid = np.arange(0, seconds, 0.25)
+    beat = np.interp(grid, t[1:][ok], rr[ok])
+    breath = np.interp(grid, np.arange(len(effort)) / fs, dsp.bandpass(effort - effort.mean(), fs, 0.1, 0.7, order=2))
+    for k in np.flatnonzero(np.isfinite(got))[::50]:
+        s = slice(int(4 * k - 238), int(4 * k + 242))
+        f, p = dsp.welch(breath[s], 4, 128)
+        top = 4 + p[(f >= 0.1) & (f <= 0.5)].argmax()
+        assert abs(got[k] - dsp.coherence(dsp.detrended(beat[s]), breath[s], 4, 128)[1][top - 1 : top + 2].mean()) < 1e-9
