@@ -189,3 +189,15 @@ def test_coupling_works_on_many_windows_at_once(monkeypatch):
         f, p = dsp.welch(breath[s], 4, 128)
         top = 4 + p[(f >= 0.1) & (f <= 0.5)].argmax()
         assert abs(got[k] - dsp.coherence(dsp.detrended(beat[s]), breath[s], 4, 128)[1][top - 1 : top + 2].mean()) < 1e-9
+
+
+def test_beats_ask_for_slopes_only_where_beats_are_close(monkeypatch):
+    import numpy as np
+
+    from nightgrid.functions import dsp
+
+    t = np.arange(64 * 120) / 64
+    calls, gradient = [], np.gradient
+    monkeypatch.setattr(np, "gradient", lambda v, *a, **k: calls.append(len(v)) or gradient(v, *a, **k))
+    assert len(dsp.r_peaks(np.exp(-(((t % 1) - 0.5) / 0.015) ** 2 / 2), 64.0)) > 100
+    assert len(calls) < 20
