@@ -201,3 +201,20 @@ def test_beats_ask_for_slopes_only_where_beats_are_close(monkeypatch):
     monkeypatch.setattr(np, "gradient", lambda v, *a, **k: calls.append(len(v)) or gradient(v, *a, **k))
     assert len(dsp.r_peaks(np.exp(-(((t % 1) - 0.5) / 0.015) ** 2 / 2), 64.0)) > 100
     assert len(calls) < 20
+
+
+def test_kernels_of_several_channels_need_room_for_a_few_copies_of_one():
+    import tracemalloc
+
+    import numpy as np
+
+    from nightgrid.functions import generators
+
+    x = _noise(3 * 3600)
+    for name, channels, times in (("apnea_events", ("flow", "airflow_pressure", "spo2"), 10), ("spindle_features", ("eeg",), 7), ("channel_quality", ("eeg", "ecg"), 8)):
+        every = {c: (np.roll(x, 999 * i), 64.0) for i, c in enumerate(channels)}
+        tracemalloc.start()
+        generators.GENERATORS[name][2](every)
+        peak = tracemalloc.get_traced_memory()[1] / x.nbytes
+        tracemalloc.stop()
+        assert peak < times, (name, peak)
