@@ -1,5 +1,6 @@
 """What must not grow with the tables: what comes to the driver, and what a task holds."""
 
+import pytest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -218,3 +219,26 @@ def test_kernels_of_several_channels_need_room_for_a_few_copies_of_one():
         peak = tracemalloc.get_traced_memory()[1] / x.nbytes
         tracemalloc.stop()
         assert peak < times, (name, peak)
+
+
+#: Most that a generator may hold, in copies of a channel; behind it, what it held at the start of round 3.
+ROOM = [
+    ("apnea_events", ("flow", "airflow_pressure", "spo2"), 10),  # 13.9
+]
+
+
+@pytest.mark.parametrize("name, channels, times", ROOM)
+def test_a_night_takes_a_few_copies_of_a_channel(name, channels, times):
+    import tracemalloc
+
+    import numpy as np
+
+    from nightgrid.functions import generators
+
+    x = _noise(3 * 3600)
+    every = {c: (np.roll(x, 999 * i), 64.0) for i, c in enumerate(channels)}
+    tracemalloc.start()
+    generators.GENERATORS[name][2](every)
+    peak = tracemalloc.get_traced_memory()[1] / x.nbytes
+    tracemalloc.stop()
+    assert peak < times
