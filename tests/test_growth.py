@@ -226,6 +226,7 @@ ROOM = [
     ("apnea_events", ("flow", "airflow_pressure", "spo2"), 10),  # 13.9
     ("slow_wave_features", ("eeg",), 7),  # 9.0
     ("airflow_morphology", ("flow",), 4.3),  # 5.0
+    ("spindle_features", ("eeg",), 7),  # 26.1
 ]
 
 
