@@ -227,6 +227,7 @@ ROOM = [
     ("slow_wave_features", ("eeg",), 7),  # 9.0
     ("airflow_morphology", ("flow",), 4.3),  # 5.0
     ("spindle_features", ("eeg",), 7),  # 26.1
+    ("channel_quality", ("eeg", "ecg"), 7.4),  # 8.3
 ]
 
 
